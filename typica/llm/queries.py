@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, quality_rules, simhash
-from typica.llm.common import table
+from typica.llm import decontaminate, quality_rules, reply_trees, simhash, url_filter
+from typica.llm.common import table, write_out
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,31 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"qr_{c}").alias(c) for c in names))
 
 
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, as a reply tree: formatted, then read back from the formatted text."""
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    nodes = write_out(reply_trees.chains(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)), "reply-nodes")
+    out = reply_trees.format_paths(reply_trees.tree_paths(nodes), nodes)
+    turns = reply_trees.read_back(F.col("formatted"))
+    out = out.select("tree", "formatted", turns.alias("turns"), reply_trees.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, longest rule and verdict, by the rule or by the character models."""
+    judged = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", *(F.col(f"uf_{c}").alias(c) for c in ("host", "path", "rule", "verdict")), F.round("uf_score", 6).alias("score"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows and the items that they come from."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -31,7 +56,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op8_wu_manber, op9_simhash_groups)}
+    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op8_wu_manber, op9_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
