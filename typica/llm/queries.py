@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, quality_rules, reply_trees, simhash, url_filter
+from typica.llm import decontaminate, quality_rules, reply_trees, simhash, url_filter, warc
 from typica.llm.common import table, write_out
 
 
@@ -43,6 +43,11 @@ def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *(F.col(f"uf_{c}").alias(c) for c in ("host", "path", "rule", "verdict")), F.round("uf_score", 6).alias("score"))
 
 
+def op5_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as read back from the WARC archives that it was written to."""
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), spark)
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows and the items that they come from."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -56,7 +61,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op8_wu_manber, op9_simhash_groups)}
+    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op8_wu_manber, op9_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
