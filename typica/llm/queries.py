@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, quality_rules, reply_trees, simhash, url_filter, warc
+from typica.llm import decontaminate, quality_rules, reply_trees, simhash, subword_classifier, url_filter, warc
 from typica.llm.common import table, write_out
 
 
@@ -48,6 +48,15 @@ def op5_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), spark)
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = subword_classifier.fold("doc_id", 4)
+    model = subword_classifier.fit(docs, table(spark, sf_dir, "labels"), train_rows=fold != 2)
+    scored = subword_classifier.score(docs, model)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), F.col("qc_score").alias("score"), (F.col("qc_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows and the items that they come from."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -61,7 +70,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op8_wu_manber, op9_simhash_groups)}
+    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op8_wu_manber, op9_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
