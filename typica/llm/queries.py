@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, quality_rules, reply_trees, simhash, subword_classifier, url_filter, warc
+from typica.llm import decontaminate, neural_lm, quality_rules, reply_trees, simhash, subword_classifier, url_filter, warc
 from typica.llm.common import table, write_out
 
 
@@ -57,6 +57,14 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), F.col("qc_score").alias("score"), (F.col("qc_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the unigram base and by the log-bilinear model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = subword_classifier.fold("doc_id", 7) == 2
+    scored = neural_lm.score(docs, ~held)
+    return scored.withColumnRenamed("id", "doc_id").select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows and the items that they come from."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -70,7 +78,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op8_wu_manber, op9_simhash_groups)}
+    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
