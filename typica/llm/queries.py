@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, neural_lm, quality_rules, reply_trees, simhash, subword_classifier, url_filter, warc
+from typica.llm import decontaminate, mixing, neural_lm, quality_rules, reply_trees, simhash, subword_classifier, token_offsets, url_filter, warc
 from typica.llm.common import table, write_out
 
 
+def op1_offset_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines with their tokens; a token across a line's end goes to the line with most of it."""
+    found = token_offsets.section_tokens(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "section", "start", "stop", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, base verdict and verdict after frequent lines are gone. Empty table: no rows."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -77,8 +83,15 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability after raking to the targets, and whether it is drawn."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.TARGETS)
+    return out.select("doc_id", "source", "lang", *(F.col(f"mx_{c}").alias(c) for c in ("topic", "n_tokens", "probability", "kept")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups)}
+    own = (op1_offset_tokens, op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups, op10_raked_mix)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
