@@ -21,3 +21,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def load_all() -> tuple[dict[str, Query], dict[str, str]]:
+    """Import every module of queries; (queries, SQL)."""
+    from typica.plans.registered import corpora, guards, ranking, vectors  # noqa: F401
+
+    return QUERIES, SQL

@@ -70,7 +70,7 @@ def guard_wildguard(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLICY = ["Prompt harmful: yes S1, S10", "Prompt harmful: no", "Response refusal: yes", "response unsafe: true S2 S14", "prompt ok", "harmfulness: yes", "S3 only", "prompt harmful: no; response harmful yes S4"]
 
 
-@query(scored_sql(POLICY, "[0.2, 1.0, 0.5, 0.1, 1.0, 0.3, 1.0, 0.25][doc_id % 8 + 1]"))
+@query(scored_sql(POLICY, "[0.2, 1.0, 0.5, 0.15, 1.0, 0.3, 1.0, 0.25][doc_id % 8 + 1]"))
 def guard_polyguard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, G.policy_guard(pick(POLICY)))
 
@@ -183,17 +183,16 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE = f"st AS (SELECT doc_id, {WORDS} AS wc, doc_id % 3 = 0 AS done, doc_id % 2 = 0 AS here FROM documents), si AS (SELECT *, wc - least(wc, doc_id % 97) AS since FROM st), ti AS (SELECT *, CASE WHEN here AND (since >= 20 OR done) THEN 1 WHEN NOT done AND since >= 12 THEN 2 WHEN done THEN 3 END AS tier FROM si)"
 
 
-@query(f"WITH {STATE} SELECT doc_id AS req_id, wc::BIGINT AS word_count, tier FROM ti")
+@query(f"WITH {STATE} SELECT doc_id AS req_id, wc::BIGINT AS word_count, coalesce(tier, 0) AS tier FROM ti")
 def guard_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.candidates(_state(spark, sf_dir)).select("req_id", F.col("word_count").cast("long").alias("word_count"), "tier")
+    return guard.candidates(_state(spark, sf_dir)).select("req_id", F.col("word_count").cast("long").alias("word_count"), F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
-@query(f"""WITH {STATE}, few AS (SELECT * FROM ti WHERE doc_id % 50 IN (1, 3, 4)), n AS (SELECT count(*) AS n FROM few WHERE tier = 1), f AS (SELECT *, row_number() OVER (ORDER BY tier, -doc_id, doc_id) AS k FROM few WHERE tier > 1)
-SELECT doc_id AS req_id, tier FROM few WHERE tier = 1 UNION ALL SELECT doc_id, tier FROM f, n WHERE k <= greatest(0, 30 - n)""")
+@query(f"""WITH {STATE}, n AS (SELECT count(*) AS n FROM ti WHERE tier = 1), f AS (SELECT *, row_number() OVER (ORDER BY tier, -doc_id, doc_id) AS k FROM ti WHERE tier > 1)
+SELECT doc_id AS req_id, tier FROM ti WHERE tier = 1 UNION ALL SELECT doc_id, tier FROM f, n WHERE k <= greatest(0, 700 - n)""")
 def guard_batch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A step of a few requests, filled up to a minimum of thirty: which requests a step sees is the operator's own input."""
-    few = _state(spark, sf_dir).where("req_id % 50 IN (1, 3, 4)")
-    return guard.batch(few, least=30).select("req_id", "tier")
+    """A step over all requests, filled up to a minimum batch of 700."""
+    return guard.batch(_state(spark, sf_dir), least=700).select("req_id", "tier")
 
 
 @query()
