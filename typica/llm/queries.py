@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, mixing, neural_lm, quality_rules, reply_trees, simhash, subword_classifier, token_offsets, url_filter, warc
+from typica.llm import decontaminate, mixing, neural_lm, oracles, quality_rules, reply_trees, simhash, subword_classifier, token_offsets, url_filter, warc
 from typica.llm.common import table, write_out
 
 
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
