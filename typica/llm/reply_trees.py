@@ -56,19 +56,19 @@ def tree_paths(nodes: DataFrame, *, top: int | None = 1, by: str = "mean") -> Da
     nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     present = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = nodes.join(present, nodes["tree"].eqNullSafe(present["t"]) & (nodes["parent"] == present["n"]), "left")
-    up = write_out(first.select("tree", "node", F.col("n").alias("up"), "score", "score", F.lit(1).cast("long").alias("count")).toDF("tree", "node", "up", "own", "total", "count"), "reply-up")
-    steps, open_before = [], None
-    while True:
-        steps.append(up)
-        still = up.where("up is not null").count()
-        if still == 0 or still == open_before:
+    at = write_out(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("count")), "reply-up")
+    steps, rooted, n_open = [at.where("up is not null")], at.where("up is null"), None
+    while True:  # nodes that know their root stay aside; the others double the way that they know
+        still = steps[-1].count()
+        if still == 0 or still == n_open:
             break
-        open_before = still
-        above = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("count").alias("count2"))
-        both = up.join(above, up["tree"].eqNullSafe(above["t"]) & (up["up"] == above["n"]), "left")
-        up = write_out(both.select("tree", "node", F.col("up2").alias("up"), "own", (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("count") + F.coalesce("count2", F.lit(0))).alias("count")), "reply-up")
-    rooted = up.where("up is null")
-    parents = steps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+        n_open = still
+        above = rooted.unionByName(steps[-1]).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("count").alias("count2"))
+        own = steps[-1].join(above, steps[-1]["tree"].eqNullSafe(above["t"]) & (steps[-1]["up"] == above["n"]))
+        at = write_out(own.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("count") + F.col("count2")).alias("count")), "reply-up")
+        rooted = rooted.unionByName(at.where("up is null"))
+        steps.append(at.where("up is not null"))
+    parents = steps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["n"]), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("count") if by == "mean" else F.col("total")).alias("path_score"), "count")
     if top == 1:  # combines before the shuffle, for trees with very many leaves
@@ -80,7 +80,7 @@ def tree_paths(nodes: DataFrame, *, top: int | None = 1, by: str = "mean") -> Da
         leaves = leaves if top is None else leaves.where(F.col("rank") <= top)
     paths = write_out(leaves.select("tree", "leaf", F.col("leaf").alias("node"), (F.col("count") - 1).alias("depth"), "rank", "path_score"), "reply-paths")
     for k in range(len(steps) - 1, -1, -1):
-        jump = steps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        jump = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = paths.join(jump, paths["tree"].eqNullSafe(jump["t"]) & (paths["node"] == jump["n"])).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), "rank", "path_score")
         paths = write_out(paths.unionByName(more), "reply-paths")
     return paths
