@@ -133,4 +133,4 @@ def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float]], prefix:
     for x in parts[1:]:
         out = out.unionByName(x)
     total = out.groupBy("dimension").agg(*(F.sum(c).alias(f"t{c}") for c in "abc"))
-    return out.join(total, "dimension").select("dimension", "value", (F.col("a") / F.col("ta")).alias("share_before"), (F.col("b") / F.col("tb")).alias("share_expected"), (F.col("c") / F.col("tc")).alias("share_kept"))
+    return out.join(total, "dimension").select("dimension", "value", *(F.try_divide(c, f"t{c}").alias(n) for c, n in (("a", "share_before"), ("b", "share_expected"), ("c", "share_kept"))))

@@ -89,7 +89,7 @@ def calibrated_bound(scores: DataFrame) -> DataFrame:
     bins = scores.where("example is not null").groupBy(F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("score"))) * 100).alias("bin")).agg(F.sum(F.when(F.col("example") == "rej", F.col("n")).otherwise(0)).alias("rej"), F.sum(F.when(F.col("example") == "acc", F.col("n")).otherwise(0)).alias("acc"))
     w = Window.orderBy(F.desc("bin"))  # at most 2001 rows
     total = Window.partitionBy()
-    up = bins.select("bin", (F.sum("rej").over(w) / F.sum("rej").over(total)).alias("tpr"), (F.sum("acc").over(w) / F.sum("acc").over(total)).alias("fpr"), F.coalesce(F.lead("bin").over(w), F.col("bin") - 1).alias("under"))
+    up = bins.select("bin", F.try_divide(F.sum("rej").over(w), F.sum("rej").over(total)).alias("tpr"), F.try_divide(F.sum("acc").over(w), F.sum("acc").over(total)).alias("fpr"), F.coalesce(F.lead("bin").over(w), F.col("bin") - 1).alias("under"))
     gain = up.select("bin", "under", F.round(F.col("tpr") - F.col("fpr"), 9).alias("gain"))
     best = gain.select("bin", "under", "gain", F.max("gain").over(total).alias("best")).where("gain = best")
     return best.agg(((F.max("bin") + F.max_by("under", "bin") + 1) / 200.0).alias("bound"))
