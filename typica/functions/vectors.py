@@ -38,7 +38,8 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """Null if a vector is zero."""
+    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def eucos(a: Column, b: Column, weight: float = 0.5) -> Column:

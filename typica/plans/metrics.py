@@ -1,6 +1,6 @@
 """Ranking metrics of scores (score double, is_id int): higher scores should be in-distribution rows, is_id = 1.
 
-All start from counts per distinct score. Running sums go over ranges of the scores, so that no task holds all of them
+A batch without rows of one kind has null metrics where they divide by them. All start from counts per distinct score. Running sums go over ranges of the scores, so that no task holds all of them
 when there are many.
 """
 
@@ -53,13 +53,13 @@ def corners(scores: DataFrame) -> DataFrame:
 
 def roc(scores: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr): the curve's corners and its ends; the first point has no threshold."""
-    points = corners(scores).where("keep").select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    points = corners(scores).where("keep").select(F.col("score").alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
     start = scores.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
 
 def auroc_of(tp: Column, fp: Column, tp0: Column, fp0: Column) -> Column:
-    return F.sum((fp - fp0) * (tp + tp0) / 2.0) / (F.max(tp) * F.max(fp))
+    return F.try_divide(F.sum((fp - fp0) * (tp + tp0) / 2.0), F.max(tp) * F.max(fp))
 
 
 def auroc(scores: DataFrame) -> DataFrame:
@@ -68,14 +68,14 @@ def auroc(scores: DataFrame) -> DataFrame:
 
 def average_precision(scores: DataFrame) -> DataFrame:
     step = (F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return curve(scores).agg((F.sum(step) / F.max("tp")).alias("auprc"))
+    return curve(scores).agg(F.try_divide(F.sum(step), F.max("tp")).alias("auprc"))
 
 
 def f1_curve(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """(score, f1) of accepting all rows from that score up."""
     total = F.max("tp").over(Window.partitionBy())
     c = curve(scores).select("score", "tp", "fp", total.alias("P"))
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("P")
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "P")
     return c.select("score", (2 * precision * recall / (precision + recall + eps)).alias("f1"))
 
 
@@ -86,8 +86,8 @@ def best_f1(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 def fpr_at(tpr: float) -> Column:
     """Over corners: the false positive rate at the one nearest to tpr, the highest threshold of equals; it may lie below tpr."""
-    near = F.struct(F.abs(F.col("tp") / F.col("P") - tpr).alias("gap"), (-F.col("score")).alias("high"))
-    return F.min_by(F.col("fp") / F.col("N"), F.when(F.col("keep"), near))
+    near = F.struct(F.abs(F.try_divide("tp", "P") - tpr).alias("gap"), (-F.col("score")).alias("high"))
+    return F.min_by(F.try_divide("fp", "N"), F.when(F.col("keep"), near))
 
 
 def fpr_at_tpr(scores: DataFrame, tpr: float = 0.95) -> DataFrame:
@@ -97,8 +97,8 @@ def fpr_at_tpr(scores: DataFrame, tpr: float = 0.95) -> DataFrame:
 def all_metrics(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """One row, from one pass over the curve: auroc, fpr95, auprc, f1."""
     tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp0", "fp0"))
-    precision, recall = tp / (tp + fp), tp / F.col("P")
-    return corners(scores).agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), (F.sum((tp - tp0) * precision) / F.max("P")).alias("auprc"), F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"))
+    precision, recall = tp / (tp + fp), F.try_divide(tp, F.col("P"))
+    return corners(scores).agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), F.try_divide(F.sum((tp - tp0) * precision), F.max("P")).alias("auprc"), F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"))
 
 
 def by_group(scores: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
@@ -108,10 +108,10 @@ def by_group(scores: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFram
     w = Window.partitionBy(*keys).orderBy(F.desc("score"))
     c = c.select(*keys, "score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(Window.partitionBy(*keys)).alias("positives"))
     tp0 = F.col("tp") - F.col("p")
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("positives")
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "positives")
     return c.groupBy(*keys).agg(
-        (F.sum(F.col("n") * (F.col("tp") + tp0) / 2.0) / (F.max("tp") * F.max("fp"))).alias("auroc"),
-        (F.sum((F.col("tp") - tp0) * precision) / F.max("tp")).alias("auprc"),
+        F.try_divide(F.sum(F.col("n") * (F.col("tp") + tp0) / 2.0), F.max("tp") * F.max("fp")).alias("auroc"),
+        F.try_divide(F.sum((F.col("tp") - tp0) * precision), F.max("tp")).alias("auprc"),
         F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"),
     )
 
