@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from typica.functions import vectors as V
 from typica.operators.blocks import matrix, scan
 from typica.operators.neighbours import k_smallest
+from typica.operators.order import places
+from typica.plans import metrics
 
 
 @dataclass
@@ -142,8 +143,7 @@ def boundary_distance(rows: DataFrame, fit: DataFrame, m: Margin, *, by_mean: bo
 
 def every_other(rows: DataFrame) -> DataFrame:
     """Rows at even places (from 0) in order of id."""
-    place = rows.select("id", F.row_number().over(Window.orderBy("id")).alias("at")).where("at % 2 = 1").select("id")
-    return rows.join(place, "id")
+    return places(rows, "id").where("place % 2 = 1").drop("place")
 
 
 def rectified(rows: DataFrame, fit: DataFrame, m: Margin, percent: float = 90.0) -> DataFrame:
@@ -154,10 +154,9 @@ def rectified(rows: DataFrame, fit: DataFrame, m: Margin, percent: float = 90.0)
 
 def guided_neighbours(rows: DataFrame, fit: DataFrame, m: Margin, *, share: float = 1.0, k: int = 100, use_min: bool = False) -> DataFrame:
     """Top-k similarity to the first share of the bank, both guided by the margin."""
-    n = int(fit.count() * share)
-    first = fit.select("id").orderBy("id").limit(n)
+    first = fit if share == 1 else places(fit, "id").where(F.col("place") <= int(fit.count() * share)).drop("place")
     unit = lambda d: d.select("id", V.normalised(F.col("v")).alias("u"), V.log_2cosh(m.of(F.col("v"))).alias("g"))
-    bank = unit(fit.join(first, "id")).select("id", F.transform("u", lambda x: x * F.col("g")).alias("v"))
+    bank = unit(first).select("id", F.transform("u", lambda x: x * F.col("g")).alias("v"))
     mine = unit(rows)
     near = k_smallest(mine.select("id", F.col("u").alias("v")), bank, k, "dot")
     sim = -(F.element_at("d", -1)) if use_min else -(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d"))
@@ -186,19 +185,10 @@ def adaptive_scale(rows: DataFrame, fit: DataFrame, m: Margin, *, percent: tuple
         shift = at(F.col("p"), n2, lambda c, i: F.abs(F.get(c, i) - F.get(v, i))) if n2 else F.lit(0.0)
         return r.select("id", "l", (relu + weight * shift).alias("q"))
 
-    train = moved(fit).select("q")
-    bank = train.groupBy("q").agg(F.count(F.lit(1)).alias("n")).orderBy("q")
-    table = bank.toArrow()  # one row per distinct training value
-    edges = table.column("q").to_numpy()
-    steps = np.cumsum(table.column("n").to_numpy()) / max(1, int(table.column("n").to_numpy().sum()))
-
-    def work(block, _, v, __):
-        e, s = block
-        at = np.searchsorted(e, v[:, 0], side="right")
-        return {"ecdf": np.concatenate(([0.0], s))[at]}
-
-    own = moved(rows)
-    found = scan(own.select("id", F.array("q").alias("v")), (edges, steps), work, [("ecdf", "double")])
+    train, own = moved(fit).select("q"), moved(rows)
+    both = train.select(F.col("q").alias("score"), F.lit(1).alias("is_id")).unionByName(own.select(F.col("q").alias("score"), F.lit(0).alias("is_id")))
+    above = metrics.curve(both).select(F.col("score").alias("q"), (1 - F.try_divide("tp0", "P")).alias("ecdf"))  # share of training values up to q
+    found = own.select("id", "q").join(above, "q").select("id", "ecdf")
     p = percent[0] + (1 - F.col("ecdf")) * (percent[1] - percent[0])
     return own.join(found, "id").select("id", V.log_2cosh(F.col("l") * (p / 100.0)).alias("score"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from typica.operators.order import ranged
+
 #: Distinct scores up to which one ordered window does the running sums.
 ONE_WINDOW = 1_000_000
 
@@ -21,39 +23,30 @@ def counts(scores: DataFrame) -> DataFrame:
 
 
 def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(score, tp, fp, tp0, fp0): running counts from the highest score down, and those before it.
+    """(score, tp, fp, tp0, fp0, P, N, keep): running counts from the highest score down, those before it, and the totals.
 
+    keep is false for a point that lies evenly between its neighbours: the next lower score adds as much of either kind.
     ranges: ranges of scores to sum within before their offsets are added; by default as many as the distinct scores need.
     """
-    c = counts(scores)
-    if ranges is None:
-        ranges = max(1, scores.select(F.approx_count_distinct("score")).first()[0] // ONE_WINDOW)
-    if ranges == 1:
-        w = Window.orderBy(F.desc("score"))
-        run = c.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    else:
-        edges = c.stat.approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.1 / ranges)
-        part = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(set(edges)))), lambda e: e <= F.col("score")))
-        c = c.withColumn("part", part)
-        totals = c.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-        above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"))
-        w = Window.partitionBy("part").orderBy(F.desc("score"))
-        run = c.join(F.broadcast(offsets), "part").select("score", "p", "n", (F.sum("p").over(w) + F.col("p0")).alias("tp"), (F.sum("n").over(w) + F.col("n0")).alias("fp"))
-    return run.select("score", "tp", "fp", (F.col("tp") - F.col("p")).alias("tp0"), (F.col("fp") - F.col("n")).alias("fp0"))
-
-
-def corners(scores: DataFrame) -> DataFrame:
-    """The curve with its totals P and N, and keep: false where both neighbours continue a point evenly in both counts."""
-    w, every = Window.orderBy(F.desc("score")), Window.partitionBy()
-    bend = lambda x: F.lag(x).over(w) - 2 * F.col(x) + F.lead(x).over(w)
-    keep = F.coalesce((bend("tp") != 0) | (bend("fp") != 0), F.lit(True))
-    return curve(scores).select("*", F.max("tp").over(every).alias("P"), F.max("fp").over(every).alias("N"), keep.alias("keep"))
+    n, positives, rows = scores.agg(F.approx_count_distinct("score"), F.coalesce(F.sum((F.col("is_id") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(1, n // ONE_WINDOW) if ranges is None else ranges
+    c = counts(scores).withColumn("part", F.lit(0) if ranges == 1 else ranged(scores, "score", ranges))
+    tops = c.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max_by(F.struct("p", "n"), "score").alias("top"))
+    down = Window.orderBy(F.desc("part"))  # one row per range
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"), F.lead("top").over(down).alias("under"))
+    w = Window.partitionBy("part").orderBy(F.desc("score"))
+    run = c.select("part", "score", "p", "n", F.sum("p").over(w).alias("sp"), F.sum("n").over(w).alias("sn"), F.lead(F.struct("p", "n")).over(w).alias("next"))
+    run = run.join(F.broadcast(offsets), "part").withColumn("next", F.coalesce("next", "under"))
+    tp, fp = F.col("sp") + F.col("p0"), F.col("sn") + F.col("n0")
+    first = (tp == F.col("p")) & (fp == F.col("n"))
+    keep = first | F.col("next").isNull() | (F.col("next.p") != F.col("p")) | (F.col("next.n") != F.col("n"))
+    return run.select("score", tp.alias("tp"), fp.alias("fp"), (tp - F.col("p")).alias("tp0"), (fp - F.col("n")).alias("fp0"), F.lit(positives).alias("P"), F.lit(rows - positives).alias("N"), keep.alias("keep"))
 
 
 def roc(scores: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr): the curve's corners and its ends; the first point has no threshold."""
-    points = corners(scores).where("keep").select(F.col("score").alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    points = curve(scores).where("keep").select(F.col("score").alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
     start = scores.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
@@ -73,10 +66,8 @@ def average_precision(scores: DataFrame) -> DataFrame:
 
 def f1_curve(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """(score, f1) of accepting all rows from that score up."""
-    total = F.max("tp").over(Window.partitionBy())
-    c = curve(scores).select("score", "tp", "fp", total.alias("P"))
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "P")
-    return c.select("score", (2 * precision * recall / (precision + recall + eps)).alias("f1"))
+    return curve(scores).select("score", (2 * precision * recall / (precision + recall + eps)).alias("f1"))
 
 
 def best_f1(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
@@ -85,20 +76,20 @@ def best_f1(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 
 def fpr_at(tpr: float) -> Column:
-    """Over corners: the false positive rate at the one nearest to tpr, the highest threshold of equals; it may lie below tpr."""
+    """Over the curve's corners: the false positive rate at the one nearest to tpr, the highest threshold of equals; it may lie below tpr."""
     near = F.struct(F.abs(F.try_divide("tp", "P") - tpr).alias("gap"), (-F.col("score")).alias("high"))
     return F.min_by(F.try_divide("fp", "N"), F.when(F.col("keep"), near))
 
 
 def fpr_at_tpr(scores: DataFrame, tpr: float = 0.95) -> DataFrame:
-    return corners(scores).agg(fpr_at(tpr).alias("fpr95"))
+    return curve(scores).agg(fpr_at(tpr).alias("fpr95"))
 
 
 def all_metrics(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """One row, from one pass over the curve: auroc, fpr95, auprc, f1."""
     tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp0", "fp0"))
     precision, recall = tp / (tp + fp), F.try_divide(tp, F.col("P"))
-    return corners(scores).agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), F.try_divide(F.sum((tp - tp0) * precision), F.max("P")).alias("auprc"), F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"))
+    return curve(scores).agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), F.try_divide(F.sum((tp - tp0) * precision), F.max("P")).alias("auprc"), F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"))
 
 
 def by_group(scores: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:

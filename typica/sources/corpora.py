@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from typica.functions import text as T
+from typica.operators.order import places
 
 
 @dataclass(frozen=True)
@@ -105,16 +106,6 @@ def split_share(rows: DataFrame, share: float, *order: str) -> DataFrame:
     return placed.withColumn("split", F.when(F.col("place") <= int(n * share), "train").otherwise("test"))
 
 
-def places(rows: DataFrame, *order: str, ranges: int = 16) -> DataFrame:
-    """place from 1 in the order of the columns: ranked within ranges of the first column, plus the rows before the range."""
-    edges = rows.stat.approxQuantile(order[0], [k / ranges for k in range(1, ranges)], 0.01)
-    part = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(set(edges)))).cast("array<double>"), lambda e: e <= F.col(order[0])))
-    cut = rows.withColumn("__part", part)
-    before = cut.groupBy("__part").count().select("__part", (F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    w = Window.partitionBy("__part").orderBy(*order)
-    return cut.join(F.broadcast(before), "__part").withColumn("place", F.row_number().over(w) + F.col("__before")).drop("__part", "__before")
-
-
 def mix(parts: list[DataFrame], n: int, seed: int = 42) -> DataFrame:
     """The first n / len(parts) of each, in an order drawn by the hash of dataset, place and seed."""
     share = n // len(parts)
