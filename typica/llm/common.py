@@ -46,6 +46,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def some_rows(rows: DataFrame, key: Column, most: int, total: int) -> DataFrame:
+    """The most rows of the smallest hashes of key, of total: a bound on the hash first, so that tasks pass on few."""
+    h = F.xxhash64(key)
+    near = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (1.5 * most + 50) / max(1, total))))
+    return near.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hold the Arrow batches given to Python to so many rows and 16 MB, so that long texts don't add up."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -66,3 +73,8 @@ def words_of(text: Column) -> Column:
     """The words between ASCII white space, in order; none for null."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return let(t, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"[ \t-\r]+")))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this package in the shared folder; results that read them end with them."""
+    drop_path(spark, f"{shared_dir(spark).rstrip('/')}/typica")

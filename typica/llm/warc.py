@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm.common import bounded_batches, scratch_path, write_out
+from typica.llm.common import bounded_batches, scratch_path, some_rows, write_out
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of compressed records after which a file is closed; a reader holds one record at a time.
@@ -210,8 +210,8 @@ def payload_digest(html: Column) -> Column:
 
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     """From at most DICTIONARY_ROWS payloads of ordinary length, those of the smallest hashes; empty if there are too few."""
-    some = pages.where(F.length(html_col).between(200, 20_000)).select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("o")).orderBy("o").limit(DICTIONARY_ROWS)
-    texts = [r.h.encode() for r in some.select("h").collect()]
+    usual = pages.where(F.length(html_col).between(200, 20_000)).select(F.col(html_col).alias("h"))
+    texts = [r.h.encode() for r in some_rows(usual, F.col("h"), DICTIONARY_ROWS, usual.count()).collect()]
     if len(texts) < 50:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
