@@ -17,18 +17,23 @@ with ``prefix``.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typica.llm.common import let, write_out
+
 OTHER = "(other)"
-#: Topics by the first pattern that a text matches; the rest is prose.
+#: Topics by the first line that fits a text: one of the words occurs and, if given, the pattern too; the
+#: rest is prose. Words are looked for byte by byte, so patterns are tried on few texts.
 TOPICS = [
-    ("table", r" \| "),
-    ("contact", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"),
-    ("legal", r"(?i)licen|copyright|lizenz"),
-    ("numbers", r"[0-9]{3}"),
+    ("table", [" | "], None),
+    ("contact", ["@"], r"[A-Za-z0-9._]@[A-Za-z0-9.]"),
+    ("legal", ["licen", "Licen", "LICEN", "copyright", "Copyright", "COPYRIGHT", "lizenz", "Lizenz", "LIZENZ"], None),
+    ("numbers", [], r"[0-9]{3}"),
 ]
 #: The mix asked for; every source alike.
 TARGETS = {
@@ -38,15 +43,16 @@ TARGETS = {
 }
 
 
-def topic_of(text: Column, topics: list[tuple[str, str]] | None = None, rest: str = "prose") -> Column:
-    out = F.lit(rest)
-    for name, pattern in reversed(TOPICS if topics is None else topics):
-        out = F.when(F.coalesce(text, F.lit("")).rlike(pattern), name).otherwise(out)
+def topic_of(text: Column, topics: list[tuple[str, list[str], str | None]] | None = None, rest: str = "prose") -> Column:
+    t, out = F.coalesce(text, F.lit("")), F.lit(rest)
+    for name, words, pattern in reversed(TOPICS if topics is None else topics):
+        fits = reduce(or_, (F.contains(t, F.lit(w)) for w in words)) if words else F.lit(True)
+        out = F.when(fits & t.rlike(pattern) if pattern else fits, name).otherwise(out)
     return out
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def scaled(expected: np.ndarray, most: np.ndarray, goal: float) -> np.ndarray:
@@ -91,23 +97,26 @@ def shares(target: Mapping[str, float], observed: dict[str, float]) -> dict[str,
     return {k: x / scale for k, x in out.items()}
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, tokens: Column | None = None, budget: float = 0.5, seed: int = 17, prefix: str = "mx_") -> DataFrame:
-    """docs with {prefix}topic, n_tokens, probability and kept. budget: share of the corpus' tokens to keep.
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, tokens: Column | None = None, budget: float = 0.5, seed: int = 17, columns: list[str] | None = None, prefix: str = "mx_") -> DataFrame:
+    """docs, or these columns of it, with {prefix}topic, n_tokens, probability and kept. budget: share of the tokens to keep.
 
-    targets: weights by value for columns of docs and, as "topic", for topic. Two passes over docs; what meets in one
-    place is one row per cell.
+    targets: weights by value for columns of docs and, as "topic", for topic. Texts are read once: the rows are written
+    with their topic, tokens and draw, and what meets in one place is one row per cell.
     """
-    p = prefix
+    p, carried = prefix, docs.columns if columns is None else columns
     topic = topic_of(F.col(text_col)) if topic is None else topic
     tokens = n_words(F.col(text_col)) if tokens is None else tokens
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
     dims = sorted(targets)
-    value = {d: topic if d == "topic" else F.col(d).cast("string") for d in dims}
-    pooled = {d: F.when(value[d].isin(*targets[d]), value[d]).otherwise(OTHER) for d in dims}
-    each = docs.select(*(pooled[d].alias(f"{p}d{i}") for i, d in enumerate(dims)), tokens.alias("n"))
     keys = [f"{p}d{i}" for i in range(len(dims))]
-    rows = each.groupBy(*keys).agg(F.sum("n").alias("n")).collect()  # a row per cell, as many as the targets allow
-    rows = [r for r in rows if r["n"]]
-    cells, n = [tuple(r[k] for k in keys) for r in rows], np.array([float(r["n"]) for r in rows])
+    value = {d: topic if d == "topic" else F.col(d).cast("string") for d in dims}
+    pooled = lambda d: lambda v: F.struct(v.alias("v"), F.when(v.isin(*targets[d]), v).otherwise(OTHER).alias("pooled"))
+    rows = docs.select(*carried, tokens.alias(f"{p}n_tokens"), draw.alias(f"{p}draw"), *([] if "topic" in dims else [topic.alias(f"{p}topic")]), *(let(value[d], pooled(d)).alias(k) for d, k in zip(dims, keys, strict=True)))
+    named = F.col(f"{keys[dims.index('topic')]}.v") if "topic" in dims else F.col(f"{p}topic")
+    rows = write_out(rows.select(*carried, f"{p}n_tokens", f"{p}draw", named.alias(f"{p}topic"), *(F.col(f"{k}.pooled").alias(k) for k in keys)), "mixing")
+
+    found = rows.groupBy(*keys).agg(F.sum(f"{p}n_tokens").alias("n")).where("n > 0").collect()  # a row per cell, as many as the targets allow
+    cells, n = [tuple(r[k] for k in keys) for r in found], np.array([float(r["n"]) for r in found])
     goals = []
     for i, d in enumerate(dims):
         seen: dict[str, float] = {}
@@ -116,10 +125,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, id_col:
         goals.append(shares(targets[d], seen) if seen else {})
     fit = rake(cells, n, goals, budget * n.sum()) if cells else n
     chance = docs.sparkSession.createDataFrame([(*c, float(a / b)) for c, a, b in zip(cells, fit, n, strict=True)], ", ".join(f"{k} string" for k in keys) + f", {p}q double")
-    out = docs.select("*", topic.alias(f"{p}topic"), tokens.alias(f"{p}n_tokens"), *(pooled[d].alias(k) for d, k in zip(dims, keys, strict=True))).join(F.broadcast(chance), keys, "left")
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
     q = F.coalesce(f"{p}q", F.lit(1.0))
-    return out.select(*docs.columns, f"{p}topic", f"{p}n_tokens", q.alias(f"{p}probability"), (draw < q).alias(f"{p}kept"))
+    return rows.join(F.broadcast(chance), keys, "left").select(*carried, f"{p}topic", f"{p}n_tokens", q.alias(f"{p}probability"), (F.col(f"{p}draw") < q).alias(f"{p}kept"))
 
 
 def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float]], prefix: str = "mx_") -> DataFrame:

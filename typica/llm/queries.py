@@ -85,7 +85,7 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability after raking to the targets, and whether it is drawn."""
-    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.TARGETS)
+    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.TARGETS, columns=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", *(F.col(f"mx_{c}").alias(c) for c in ("topic", "n_tokens", "probability", "kept")))
 
 
