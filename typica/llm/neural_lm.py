@@ -8,7 +8,7 @@ model however large it is. Scores are normalised exactly: the normalisers of all
 product, exp(U1 R') times exp(U2 R' + b)'. A word outside the model's vocabulary has the unknown class's probability times
 its add-one share of the words outside.
 
-Counts of the ``HEAD`` most frequent tokens are broadcast (a fixed number); rarer words of documents are joined with the
+Counts of the most frequent tokens, at most ``HEAD``, are broadcast; rarer words of documents are joined with the
 count table.
 
 Cases: null text is empty and has the end token only; null ids are trained on as the text ''; words that the training
@@ -62,6 +62,19 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "word string, count bigint").where("count > 0").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def frequent_from(counts: DataFrame) -> int:
+    """The least count from which on there are at most HEAD words: exact up to 1000, then by steps of one per cent."""
+    step = F.when(F.col("count") < 1000, F.col("count")).otherwise(F.floor(F.ln(F.col("count") / 1000) / 0.01) + 1000)
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).collect()  # some thousand rows
+    total, least = 0, 1 << 62
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = r["least"]
+    return least
+
+
 @dataclass
 class Parameters:
     """U1, U2: (words + unknown + start, DIM); R: (words + unknown, DIM); b: (words + unknown)."""
@@ -178,7 +191,8 @@ def score(docs: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_c
     learn = docs.where(train_rows)
     counts = write_out(token_counts(learn, text_col), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(r["word"], r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(HEAD).collect()]
+    least = frequent_from(counts)
+    head = sorted(((r["word"], r["count"]) for r in counts.where(F.col("count") >= least).collect()), key=lambda x: (-x[1], x[0]))  # at most HEAD
     n = min(model_words, len(head))
     p = train(learn, head, total, model_words=model_words, text_col=text_col, rounds=rounds)
     rest_total, rest_words = total - sum(c for _, c in head[:n]), distinct - n
@@ -211,8 +225,7 @@ def score(docs: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_c
     passed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base double, own double, rare array<string>, times array<bigint>")
     passed = write_out(passed.withColumn("row", F.monotonically_increasing_id()), "scored")  # the row numbers are fixed once written
     rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    least = head[-1] if len(head) == HEAD else None
-    tail = counts.where((F.col("count") < least[1]) | ((F.col("count") == least[1]) & (F.col("word") > least[0]))) if least else counts.where(F.lit(False))
+    tail = counts.where(F.col("count") < least)
     found = rare.join(tail, "word", "left").select("row", "times", F.coalesce("count", F.lit(0)).alias("count"))
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("known2"),
