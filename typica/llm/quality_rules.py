@@ -87,37 +87,46 @@ def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return counts.join(n_texts, same).where(F.col("n_docs") > max_share * F.col("n_texts")).select(counts["host"], "a", "b", "n_docs", "first_id")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", prefix: str = "qr_", max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
-    """docs with columns {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, words_left, clean_text, kept."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, max_docs: int, max_share: float, min_left: float, min_words: int) -> DataFrame:
+    """docs with {p}v, all verdicts of a row as one struct, and {p}at, which keeps filters from being worked out below it."""
     found = write_out(frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs, max_share=max_share), "frequent-lines")
-    per_host = found.groupBy("host").agg(F.collect_list(F.struct(F.struct("a", "b").alias("k"), "first_id")).alias("f"))
+    per_host = found.groupBy(F.col("host").alias(f"{p}host")).agg(F.collect_list(F.struct(F.struct("a", "b").alias("k"), "first_id")).alias(f"{p}f"))
     if found.count() <= BROADCAST_LINES:
         per_host = F.broadcast(per_host)
-    p, text, own = prefix, F.col(text_col), docs.columns
-    hosts = per_host.select(F.col("host").alias(f"{p}host"), F.col("f").alias(f"{p}f"))
-    joined = docs.join(hosts, F.col(host_col).eqNullSafe(F.col(f"{p}host")), "left")
-
-    frequent, keys = F.col(f"{p}f"), line_keys(text)
-    hit = F.filter(frequent, lambda f: (F.array_contains(F.col(f"{p}keys"), f["k"])) & ~f["first_id"].eqNullSafe(F.col(id_col)))
-    joined = joined.withColumn(f"{p}keys", F.when(frequent.isNotNull(), keys))
-    gone = F.transform(hit, lambda f: f["k"])
-    left = F.when(frequent.isNull() | (F.size(gone) == 0), text).otherwise(
-        let(gone, lambda g: F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.array_contains(g, F.get(F.col(f"{p}keys"), i)), F.lit(False))), "\n"))
-    )
-    removed = F.coalesce(let(gone, lambda g: F.size(F.filter(F.col(f"{p}keys"), lambda k: F.coalesce(F.array_contains(g, k), F.lit(False))))), F.lit(0))
-    out = joined.select(*own, f"{p}f", f"{p}keys", left.alias(f"{p}clean_text"), removed.cast("long").alias(f"{p}n_removed_lines"))
-
-    both = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    out = out.withColumn(f"{p}w", both)
-    n, left_words = F.col(f"{p}w.n_words"), F.when(F.col(f"{p}n_removed_lines") == 0, F.col(f"{p}w.n_words")).otherwise(F.size(words_of(F.col(f"{p}clean_text"))).cast("long"))
-    failed = (n < min_words) | (100 * F.col(f"{p}w.n_repeat_words") > 50 * n)
-    base = base_columns(text)
-    out = out.select(*own, n.alias(f"{p}n_words"), F.col(f"{p}w.word_chars").alias(f"{p}word_chars"), *(c.alias(f"{p}{k}") for k, c in base.items()), F.col(f"{p}w.n_repeat_words").alias(f"{p}n_repeat_words"), failed.alias(f"{p}base_failed"), f"{p}n_removed_lines", left_words.alias(f"{p}words_left"), f"{p}clean_text")
-    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}words_left") >= min_left * F.col(f"{p}n_words")))
-
-
-def kept_documents(docs: DataFrame, **limits) -> DataFrame:
+    text, frequent, own_id = F.col(text_col), F.col(f"{p}f"), F.col(id_col)
+
+    def without(keys: Column) -> Column:
+        """struct(text, lines): the text without its frequent lines, and how many they were."""
+        as_is = F.struct(text.alias("text"), F.lit(0).alias("lines"))
+        mine = F.filter(frequent, lambda f: F.array_contains(keys, f["k"]) & ~f["first_id"].eqNullSafe(own_id))
+        marks = lambda g: F.transform(keys, lambda k: F.coalesce(F.array_contains(g, k), F.lit(False)))
+        kept = lambda m: F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.get(m, i)), "\n")
+        cut = lambda m: F.struct(kept(m).alias("text"), F.size(F.filter(m, lambda x: x)).alias("lines"))
+        some = let(F.transform(mine, lambda f: f["k"]), lambda g: F.when(F.size(g) > 0, let(marks(g), cut)).otherwise(as_is))
+        return F.when(keys.isNull(), as_is).otherwise(some)
+
+    def verdict(clean: Column, n: Column, repeated: Column, chars: Column) -> Column:
+        failed = (n < min_words) | (100 * repeated > 50 * n)
+        rest = F.when(clean["lines"] > 0, F.size(words_of(clean["text"]))).otherwise(n)
+        fields = {"n_words": n.cast("long"), "word_chars": chars.cast("long"), **base_columns(text), "n_repeat_words": repeated.cast("long"), "base_failed": failed, "n_removed_lines": clean["lines"].cast("long"), "words_left": rest.cast("long"), "clean_text": clean["text"]}
+        return let(F.struct(*(c.alias(k) for k, c in fields.items())), lambda s: F.struct(*(s[k].alias(k) for k in fields), (~s["base_failed"] & (s["words_left"] >= min_left * s["n_words"])).alias("kept")))
+
+    by_words = lambda clean: let(words_of(text), lambda w: let(repeated_words(w), lambda r: verdict(clean, F.size(w), r, F.length(F.array_join(w, "")))))
+    all_of_it = let(F.when(frequent.isNotNull(), line_keys(text)), lambda keys: let(without(keys), by_words))
+    return docs.join(per_host, F.col(host_col).eqNullSafe(F.col(f"{p}host")), "left").select(*docs.columns, all_of_it.alias(f"{p}v"), F.monotonically_increasing_id().alias(f"{p}at"))
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", prefix: str = "qr_", max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
+    """docs with columns {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, words_left, clean_text, kept."""
+    v = _judged(docs, id_col, text_col, host_col, prefix, max_docs, max_share, min_left, min_words)
+    names = [f.name for f in v.schema[f"{prefix}v"].dataType]
+    return v.select(*docs.columns, *(F.col(f"{prefix}v.{n}").alias(f"{prefix}{n}") for n in names))
+
+
+def kept_documents(docs: DataFrame, *, max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
     """The documents that pass, without their frequent lines; text and n_chars follow, other columns stay."""
-    judged = quality_rules(docs, **limits).where("qr_kept")
-    now = {"text": F.col("qr_clean_text"), "n_chars": F.when(F.col("qr_n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("qr_clean_text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
-    return judged.select(*(now[c].alias(c) if now.get(c) is not None else c for c in docs.columns))
+    v = _judged(docs, "doc_id", "text", "source", "qr_", max_docs, max_share, min_left, min_words).where(F.col("qr_v.kept") & (F.col("qr_at") >= 0))
+    now = {"text": F.col("qr_v.clean_text")}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.when(F.col("qr_v.n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("qr_v.clean_text").cast(docs.schema["n_chars"].dataType))
+    return v.select(*(now[c].alias(c) if c in now else c for c in docs.columns))
