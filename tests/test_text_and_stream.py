@@ -137,6 +137,24 @@ def test_cache(spark, tmp_path):
     assert calls == [["", "a", "b"], ["b"]]
 
 
+def test_encoder_table(spark, tmp_path):
+    from typica.sources import encoders
+
+    path = f"{tmp_path}/vectors"
+    spark.createDataFrame([], encoders.SCHEMA).write.partitionBy("model").parquet(path)
+    (tmp_path / "vectors").mkdir(exist_ok=True)
+    texts = spark.createDataFrame([(1, "ab"), (2, "c"), (3, "ab"), (4, None)], "id long, text string")
+    size = lambda t: [[float(len(x)), 1.0] for x in t]
+    got = encoders.per_model(texts, {"m": size}, path, "id")["m"].collect()
+    assert {r.id: r.v for r in got} == {1: [2.0, 1.0], 2: [1.0, 1.0], 3: [2.0, 1.0], 4: [0.0, 1.0]}
+
+    def refuse(t):
+        raise AssertionError(t)
+
+    assert encoders.embedded(texts, "m", refuse, path).count() == 4
+    assert spark.read.parquet(path).count() == 3
+
+
 def words(n):
     return " ".join(["w"] * n)
 

@@ -83,15 +83,19 @@ def relative_mahalanobis(rows: DataFrame, fit: DataFrame, background: DataFrame,
 
 
 def relative_mahalanobis_pairs(rows: DataFrame, fit: DataFrame, background: DataFrame, method: str = "rmd_combined") -> DataFrame:
-    """For rows of two vectors (id, v_in, v_out): rmd_input, rmd_output, or the mean of both (rmd_combined)."""
+    """For rows of two vectors (id, v_in, v_out): rmd_input, rmd_output, the mean of both (rmd_combined), or the logistic
+    margin of fit against background on one side (binary_input, binary_output)."""
+
     def side(c: str) -> DataFrame:
         pick = lambda d: d.select("id", F.col(c).alias("v"))
+        if method.startswith("binary_"):
+            return margin_score(pick(rows), logistic_margin(pick(fit), pick(background)))
         return relative_mahalanobis(pick(rows), pick(fit), pick(background), unbiased=True, ridge=1e-6)
 
-    if method == "rmd_input":
-        return side("v_in")
-    if method == "rmd_output":
-        return side("v_out")
+    if method not in ("rmd_input", "rmd_output", "rmd_combined", "binary_input", "binary_output"):
+        raise ValueError(f"method {method!r}")
+    if method != "rmd_combined":
+        return side("v_in" if method.endswith("_input") else "v_out")
     both = side("v_in").join(side("v_out").withColumnRenamed("score", "other"), "id")
     return both.select("id", ((F.col("score") + F.col("other")) / 2).alias("score"))
 

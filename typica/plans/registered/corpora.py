@@ -210,3 +210,30 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CACHE} SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT key FROM cache)")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.misses(docs(spark, sf_dir), _cached(spark, sf_dir), "m1").select("key")
+
+
+@query(f"""WITH a AS (SELECT doc_id, 'benign' AS part, row_number() OVER (ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND length({TEXT}) > 20),
+b AS (SELECT doc_id, 'top-up' AS part, row_number() OVER (ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND length({TEXT}) > 20)
+SELECT doc_id, part FROM a WHERE place <= 120 UNION ALL SELECT doc_id, part FROM b WHERE place <= greatest(0, 120 - (SELECT count(*) FROM a))""")
+def load_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where(T.long_enough(F.col("text")))
+    part = lambda toxic, name: rows.where(F.col("toxic") == toxic).select("doc_id", F.lit(name).alias("part"))
+    return corpora.topped_up(part(1, "benign"), part(0, "top-up"), 120, "doc_id").select("doc_id", "part")
+
+
+@query(f"""SELECT doc_id AS ord, source AS category, source IN ('src1', 'src2') AS is_id, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src4')) WHERE k <= 30 AND length({TEXT}) > 50""")
+def load_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.by_category(docs(spark, sf_dir).withColumnRenamed("source", "category"), ["src1", "src2"], ["src3", "src4"], 30, "doc_id")
+
+
+@query("SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean_length, min(length(text))::BIGINT AS min_length, max(length(text))::BIGINT AS max_length FROM documents GROUP BY lang")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corpora.statistics(docs(spark, sf_dir), "lang")
+    return s.select("lang", "n", (F.round("mean_length", 6) + 0.0).alias("mean_length"), F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"))
+
+
+@query("SELECT i AS ord, ['What is a haiku?', 'Name a river.'][i % 2 + 1] AS text FROM range(4) t(i)")
+def load_literal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus without rows is replaced by literal prompts."""
+    none = corpora.load(docs(spark, sf_dir).where("lang = 'xx'").withColumnRenamed("text", "prompt"), "orbench", "doc_id")
+    return corpora.or_literal(none, ["What is a haiku?", "Name a river."], 4, "literal").select("ord", "text")

@@ -141,3 +141,8 @@ def report_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DS} SELECT method, " + ", ".join(f"printf('%.4f', any_value({m}) FILTER (dataset = '{d}')) AS \"{d}_{m.upper()}\"" for d in ("set7", "set8", "set9") for m in ("auroc", "auprc", "f1")) + " FROM mm GROUP BY method")
 def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.wide(metrics.by_group(_datasets(spark, sf_dir), ["method", "dataset"], 1e-8), ["set7", "set8", "set9"], ["auroc", "auprc", "f1"])
+
+
+@query(f"WITH {S}, d AS (SELECT id, CASE WHEN score > (SELECT median(score) FROM s) THEN 1 ELSE -1 END AS pred, is_id FROM s), f AS (SELECT * FROM d WHERE is_id = 1 ORDER BY id LIMIT 100) SELECT count(*) AS n, round(avg((pred < 1)::INT), 6) AS flagged_share FROM f")
+def false_positive_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.flagged_share(metrics.decide(scores(spark, sf_dir), None), 100, "id"), "flagged_share")

@@ -275,6 +275,12 @@ def rmd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(linear.relative_mahalanobis_pairs(halves(batch(spark, sf_dir)), halves(train(spark, sf_dir)), halves(background(spark, sf_dir))))
 
 
+@query()
+def binary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = lambda d: d.select("id", F.slice("v", 1, 32).alias("v_in"), F.slice("v", 33, 32).alias("v_out"))
+    return out(linear.relative_mahalanobis_pairs(halves(batch(spark, sf_dir)), halves(train(spark, sf_dir)), halves(background(spark, sf_dir)), "binary_input"))
+
+
 @query()
 def logistic_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = linear.logistic_margin(vecs(train(spark, sf_dir)), vecs(background(spark, sf_dir)), weight=50.0)
@@ -295,6 +301,16 @@ def gmm_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(density.mixture_score(density.project(vecs(batch(spark, sf_dir)), directions), density.fit_mixture(density.sample(low), 8, "tied")))
 
 
+@query()
+def gmm_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagonal components on the directions that separate training rows from the background, without normalisers."""
+    t, b = vecs(train(spark, sf_dir)), vecs(background(spark, sf_dir))
+    x, y = density.sample(t), density.sample(b)
+    directions = density.reduction(np.vstack([x, y]), "lda", 1, np.repeat([1, 0], [len(x), len(y)]))
+    model = density.fit_mixture(x @ directions, 4, "diag")
+    return out(density.mixture_score(density.project(vecs(batch(spark, sf_dir)), directions), model, raw=True))
+
+
 def _core(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """Two models: the embedding and its first half."""
     pick = lambda d: {"full": vecs(d), "half": d.select("id", F.slice("v", 1, 32).alias("v"))}

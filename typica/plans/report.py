@@ -20,6 +20,12 @@ def detection_rates(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def flagged_share(decided: DataFrame, n: int, order: str) -> DataFrame:
+    """One row (n, flagged_share): the share of pred < 1 among the first n safe rows (is_id = 1), a guard's false positives."""
+    first = decided.where("is_id = 1").orderBy(order).limit(n)
+    return first.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") < 1).cast("double")).alias("flagged_share"))
+
+
 def wide(tidy: DataFrame, datasets: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One row per method; columns dataset_METRIC as text of four decimals. Naming the datasets saves a pass."""
     aggs = [F.format_string("%.4f", F.first(m)).alias(m.upper()) for m in names]

@@ -116,6 +116,31 @@ def mix(parts: list[DataFrame], n: int, seed: int = 42) -> DataFrame:
     return out.withColumn("draw", F.xxhash64("dataset", "ord", "sub", F.lit(seed)))
 
 
+def topped_up(first: DataFrame, second: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first most rows of first and, where they are fewer, as many of second as are missing; place counts within each."""
+    top = first_n(first, most, *order)
+    return top.unionByName(first_n(second, max(0, most - top.count()), *order))
+
+
+def or_literal(rows: DataFrame, prompts: list[str], n: int, dataset: str) -> DataFrame:
+    """rows (ord, sub, dataset, is_id, text), or n literal prompts where there are none."""
+    return rows if rows.limit(1).count() else literal_corpus(rows.sparkSession, prompts, n, dataset)
+
+
+def by_category(rows: DataFrame, id_categories: list[str], ood_categories: list[str], most: int, order: str, *, more_than: int = 50) -> DataFrame:
+    """(ord, category, is_id, text): the first most rows of each category, of which those with long enough texts; texts as they are."""
+    wanted = rows.where(F.col("category").isin(*id_categories, *ood_categories))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(order))  # only the first most of each category pass the shuffle
+    top = wanted.withColumn("__rank", rank).where(F.col("__rank") <= most).where(T.long_enough(F.col("text"), more_than))
+    return top.select(F.col(order).alias("ord"), "category", F.col("category").isin(*id_categories).alias("is_id"), "text")
+
+
+def statistics(rows: DataFrame, *keys: str) -> DataFrame:
+    """Texts per key: their number, and the mean, least and largest length."""
+    n = F.length("text")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(n).alias("mean_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"))
+
+
 def tiled(rows: DataFrame, times: int) -> DataFrame:
     """Every row so many times, numbered in tile."""
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("tile"))
