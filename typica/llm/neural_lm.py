@@ -101,7 +101,7 @@ def start(counts: np.ndarray, seed: int = 11) -> Parameters:
 class Trainer:
     """Minibatch NCE with a step size per row and shared noise."""
 
-    def __init__(self, p: Parameters, counts: np.ndarray, *, batch: int = 2048, noise: int = 64, rate: float = 0.15, seed: int = 5):
+    def __init__(self, p: Parameters, counts: np.ndarray, *, batch: int = 1024, noise: int = 64, rate: float = 0.1, seed: int = 5):
         self.p, self.batch, self.noise, self.rate = p, batch, noise, rate
         self.share = counts / counts.sum()
         self.ln_kq = np.log(noise * self.share).astype(np.float32)
@@ -110,9 +110,11 @@ class Trainer:
 
     def _step(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
         """Add gradients of equal rows, then move those rows."""
+        at = at.astype(np.uint16) if len(getattr(self.p, name)) <= 1 << 16 else at  # short keys sort by counting
         order = np.argsort(at, kind="stable")
-        rows, first = np.unique(at[order], return_index=True)
-        g = np.add.reduceat(grad[order], first, axis=0)
+        placed = at[order]
+        first = np.flatnonzero(np.concatenate(([True], placed[1:] != placed[:-1])))
+        rows, g = placed[first], np.add.reduceat(grad[order], first, axis=0)
         table, seen = getattr(self.p, name), self.seen[name]
         seen[rows] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
         scale = self.rate / np.sqrt(seen[rows])
@@ -135,18 +137,24 @@ class Trainer:
             self._step("b", np.concatenate((t, drawn)), np.concatenate((true, false.sum(axis=0))))
 
 
-def _ids(text: bytes | None, index: dict[bytes, int]) -> np.ndarray:
+def _ids(text: list[bytes], index: dict[bytes, int]) -> np.ndarray:
     """Places of the words in the table of frequent tokens, -1 for others; the end token last."""
-    w = words(text)
-    out = np.fromiter(map(index.get, w, repeat(-1)), np.int32, len(w))
+    out = np.fromiter(map(index.get, text, repeat(-1)), np.int32, len(text))
     return np.append(out, np.int32(index.get(END.encode(), -1)))
 
 
-def _contexts(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, the one before, token) as rows of the parameters; n is the unknown class, n + 1 the start."""
+def _contexts(ids: np.ndarray, stops: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous, the one before, token) as rows of the parameters; n is the unknown class, n + 1 the start.
+
+    ids holds texts one after the other, each up to its place in stops.
+    """
     t = np.where((ids >= 0) & (ids < n), ids, n)
-    h1 = np.concatenate(([n + 1], t[:-1]))
-    return h1, np.concatenate(([n + 1], h1[:-1])), t
+    h1, h2 = np.empty_like(t), np.empty_like(t)
+    h1[1:], h2[2:] = t[:-1], t[:-2]
+    starts = np.concatenate(([0], stops[:-1]))
+    h1[starts] = h2[starts] = n + 1
+    h2[np.minimum(starts + 1, stops - 1)] = n + 1
+    return h1, h2, t
 
 
 def train(docs: DataFrame, head: list[tuple[str, int]], total: int, *, model_words: int, text_col: str = "text", rounds: int = 1) -> Parameters:
@@ -164,11 +172,10 @@ def train(docs: DataFrame, head: list[tuple[str, int]], total: int, *, model_wor
             own = Parameters(*(x.copy() for x in (given.u1, given.u2, given.r, given.b)))
             trainer, seen = Trainer(own, counts, seed=5 + k), 0
             for b in batches:
-                rows = [_contexts(_ids(t, index), len(counts) - 1) for t in b.column(0).to_pylist()]
+                rows = [_ids(words(t), index) for t in b.column(0).to_pylist()]
                 if rows:
-                    h1, h2, t = (np.concatenate(x) for x in zip(*rows, strict=True))
-                    trainer.learn(h1, h2, t)
-                    seen += len(t)
+                    trainer.learn(*_contexts(np.concatenate(rows), np.cumsum([len(x) for x in rows]), len(counts) - 1))
+                    seen += sum(len(x) for x in rows)
             if seen:
                 for name in ("u1", "u2", "r", "b"):
                     x = getattr(own, name).astype(np.float64).reshape(len(getattr(own, name)), -1)
@@ -202,24 +209,32 @@ def score(docs: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base, outside, p, ln_z = sent.value
-        index = {w: i for i, w in enumerate(names)}
+        index, end = {w: i for i, w in enumerate(names)}, END.encode()
+        base, outside = np.append(base, 0.0), np.append(outside, 0.0)  # place -1: words that are looked up later
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            if not b.num_rows:
+                continue
+            ids, rare, times = [], [], []
             for text in b.column(1).to_pylist():
-                ids = _ids(text, index)
-                known = ids[ids >= 0]
-                own = 0.0
-                for lo in range(0, len(ids), 1 << 16):  # bounded for very long texts; contexts reach over the cut
-                    h1, h2, t = (x[min(lo, 2) :] for x in _contexts(ids[max(0, lo - 2) : lo + (1 << 16)], n))
-                    z = np.einsum("ij,ij->i", p.u1[h1] + p.u2[h2], p.r[t]) + p.b[t] - ln_z[h1, h2]
-                    own += float(z.sum(dtype=np.float64))
-                rare = Counter(w for w, i in zip(words(text), ids.tolist(), strict=False) if i < 0) if len(known) < len(ids) else {}
-                if ids[-1] < 0:
-                    rare[END.encode()] = 1
-                for c, x in zip(cols, (len(ids), len(known), float(base[known].sum()), own / np.log(10) + float(outside[known].sum()), [w.decode("utf-8", "replace") for w in rare], list(rare.values())), strict=True):
-                    c.append(x)
+                w = words(text)
+                own = _ids(w, index)
+                ids.append(own)
+                missing = Counter(w[i] for i in np.flatnonzero(own[:-1] < 0).tolist())
+                if own[-1] < 0:
+                    missing[end] = 1
+                rare.append([x.decode("utf-8", "replace") for x in missing])
+                times.append(list(missing.values()))
+            stops = np.cumsum([len(x) for x in ids])
+            starts, flat = np.concatenate(([0], stops[:-1])), np.concatenate(ids)
+            h1, h2, t = _contexts(flat, stops, n)
+            own = np.empty(len(flat))
+            for lo in range(0, len(flat), 1 << 16):
+                x, y, z = h1[lo : lo + (1 << 16)], h2[lo : lo + (1 << 16)], t[lo : lo + (1 << 16)]
+                own[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", p.u1[x] + p.u2[y], p.r[z]) + p.b[z] - ln_z[x, y]
+            own = own / np.log(10) + outside[flat]
+            sums = (np.diff(np.append(starts, len(flat))), np.add.reduceat((flat >= 0).astype(np.int64), starts), np.add.reduceat(base[flat], starts), np.add.reduceat(own, starts))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_tokens", "n_known", "base", "own", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip((*sums, rare, times), kinds, strict=True))], ["id", "n_tokens", "n_known", "base", "own", "rare", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     passed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base double, own double, rare array<string>, times array<bigint>")
