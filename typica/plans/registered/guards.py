@@ -188,10 +188,10 @@ def guard_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.candidates(_state(spark, sf_dir)).select("req_id", F.col("word_count").cast("long").alias("word_count"), F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
-@query(f"""WITH {STATE}, n AS (SELECT count(*) AS n FROM ti WHERE tier = 1), f AS (SELECT *, row_number() OVER (ORDER BY tier, -doc_id, doc_id) AS k FROM ti WHERE tier > 1)
-SELECT doc_id AS req_id, tier FROM ti WHERE tier = 1 UNION ALL SELECT doc_id, tier FROM f, n WHERE k <= greatest(0, 700 - n)""")
+@query(f"""WITH {STATE}, n AS (SELECT count(*) AS n FROM ti WHERE tier = 1), f AS (SELECT *, row_number() OVER (ORDER BY tier, -doc_id, doc_id) AS k FROM ti WHERE tier > 1), ok AS (SELECT n > 0 AND (SELECT count(*) FROM ti WHERE tier IS NOT NULL) >= 700 AS ok FROM n)
+SELECT doc_id AS req_id, tier FROM ti, ok WHERE tier = 1 AND ok UNION ALL SELECT doc_id, tier FROM f, n, ok WHERE k <= greatest(0, 700 - n) AND ok""")
 def guard_batch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A step over all requests, filled up to a minimum batch of 700."""
+    """A step over all requests, filled up to a minimum batch of 700; nothing where that can't be met."""
     return guard.batch(_state(spark, sf_dir), least=700).select("req_id", "tier")
 
 
