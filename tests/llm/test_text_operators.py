@@ -192,7 +192,9 @@ def test_classifier_learns_and_handles_odd_rows(spark, odd):
 def test_subword_features():
     assert subword_classifier.tokens("a a\nb\n") == ["a", "\r", "a", "\n", "b", "\n"]
     assert subword_classifier.tokens(None) == [] and subword_classifier.tokens("") == []
-    assert len(subword_classifier.features("abc")) == 1 + 3 + 2
+    at, owner = subword_classifier.features(["abc", "\n", "abc", "é漢"])
+    assert Counter(owner.tolist()) == {0: 1 + 3 + 2, 1: 1, 2: 6, 3: 1 + 2 + 1}
+    assert at[owner == 0].tolist() == at[owner == 2].tolist() and at.max() < subword_classifier.BUCKETS
 
 
 def test_language_model(spark, odd, monkeypatch):

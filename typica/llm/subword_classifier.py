@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import bounded_batches
+from typica.llm.common import bounded_batches, some_rows
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 LINE, AGAIN = "\n", "\r"
@@ -46,15 +47,31 @@ def tokens(text: str | None) -> list[str]:
     return found
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams with < and > at the ends."""
-    own = [zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS]
-    if word in (LINE, AGAIN):
-        return own
-    w = f"<{word}>"
-    for n in GRAMS:
-        own += [zlib.crc32(w[i : i + n].encode("utf-8", "replace"), n) % BUCKETS for i in range(len(w) - n + 1)]
-    return own
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of its word) for every word and each of its character n-grams with < and > at the ends.
+
+    n-grams are hashed by a polynomial of their code points, all words of the list at once; marks have no n-grams.
+    """
+    n = len(words)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, words), np.int64, n) + 2)
+    plain = np.fromiter((w not in (LINE, AGAIN) for w in words), bool, n)
+    buckets = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, n) % BUCKETS]
+    owners = [np.arange(n)]
+    for g in GRAMS:
+        last = len(codes) - g + 1
+        if last <= 0:
+            continue
+        h = np.full(last, g, np.uint32)
+        for j in range(g):
+            h = h * np.uint32(0x01000193) + codes[j : last + j]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(13)
+        ok = (owner[:last] == owner[g - 1 :]) & plain[owner[:last]]
+        buckets.append(h[ok] % BUCKETS)
+        owners.append(owner[:last][ok])
+    return np.concatenate(buckets).astype(np.int32), np.concatenate(owners)
 
 
 @dataclass
@@ -63,23 +80,22 @@ class Model:
     output: np.ndarray
     bias: np.ndarray
 
-    def projections(self) -> tuple[list[float], float]:
+    def projections(self) -> tuple[np.ndarray, float]:
         """Per bucket what it adds to the log odds of class 1, and the bias."""
-        return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(float).tolist(), float(self.bias[1] - self.bias[0])
+        return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
 def train(texts: list[str], labels: list[int], *, steps: int = 16_000, rate: float = 0.5, seed: int = 7) -> Model:
     """At least steps steps, in whole rounds over the rows, at a rate that falls to zero."""
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
-    known: dict[str, np.ndarray] = {}
     rows = []
     for t in texts:
-        ids = [known[w] if w in known else known.setdefault(w, np.array(features(w), np.int32)) for w in tokens(t)]
-        if len(known) > CACHE:
-            known.clear()
-        at, n = np.unique(np.concatenate(ids), return_counts=True) if ids else (np.zeros(0, np.int32), np.zeros(0))
-        rows.append((at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+        times = Counter(tokens(t))
+        at, owner = features(list(times)) if times else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        share = np.bincount(at, np.fromiter(times.values(), np.float64, len(times))[owner], BUCKETS) if times else np.zeros(BUCKETS)
+        at = np.flatnonzero(share).astype(np.int32)
+        rows.append((at, (share[at] / max(1.0, share.sum())).astype(np.float32)))
     rounds = -(-steps // len(rows))
     step, steps = 0, rounds * len(rows)
     for _ in range(rounds):
@@ -104,14 +120,14 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: Column, rows_per_class: int = 1500) -> tuple[list[float], float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: Column, rows_per_class: int = 1500) -> tuple[np.ndarray, float]:
     """(projections, bias) learned from docs joined with labels where train_rows holds (a column over the id alone)."""
     voted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(train_rows).groupBy(id_col).agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     share = {r["y"]: r["count"] for r in voted.groupBy("y").count().collect()}
     if len(share) < 2:
         only = 0.5 if not share else float(next(iter(share)))
-        return [0.0] * BUCKETS, {0.5: 0.0, 1.0: 20.0, 0.0: -20.0}[only]
-    some = [voted.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows_per_class) for y in (0, 1)]
+        return np.zeros(BUCKETS), {0.5: 0.0, 1.0: 20.0, 0.0: -20.0}[only]
+    some = [some_rows(voted.where(F.col("y") == y), F.col(id_col), rows_per_class, share[y]) for y in (0, 1)]
     chosen = some[0].unionByName(some[1]).select(F.col(id_col).alias("__id"), "y")  # at most 2 * rows_per_class rows
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "y").collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["text"] or ""))[: 4 * rows_per_class]
@@ -122,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return weights, bias + float(prior)
 
 
-def score(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", prefix: str = "qc_") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", prefix: str = "qc_") -> DataFrame:
     """docs with {prefix}score, the probability of class 1. One pass, no shuffle."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -130,22 +146,24 @@ def score(docs: DataFrame, model: tuple[list[float], float], *, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        known: dict[str, tuple[float, int]] = {}
+        place: dict[str, int] = {}
+        total, size = np.zeros(0), np.zeros(0)
         for b in batches:
+            if len(place) > CACHE:
+                place, total, size = {}, np.zeros(0), np.zeros(0)
+            texts = [tokens(t) for t in b.column(at).to_pylist()]
+            new = list({w for t in texts for w in t if w not in place})
+            for lo in range(0, len(new), 20_000):
+                some = new[lo : lo + 20_000]
+                ids, owner = features(some)
+                place.update(zip(some, range(len(place), len(place) + len(some)), strict=True))
+                total = np.append(total, np.bincount(owner, weights[ids], len(some)))
+                size = np.append(size, np.bincount(owner, minlength=len(some)))
             out = []
-            for text in b.column(at).to_pylist():
-                total, n = 0.0, 0
-                for w in tokens(text):
-                    own = known.get(w)
-                    if own is None:
-                        f = features(w)
-                        own = known[w] = (sum(weights[i] for i in f), len(f))
-                    total += own[0]
-                    n += own[1]
-                z = bias + (total / n if n else 0.0)
+            for t in texts:
+                mine = np.fromiter(map(place.__getitem__, t), np.int64, len(t))
+                z = bias + (total[mine].sum() / size[mine].sum() if len(t) else 0.0)
                 out.append(1 / (1 + np.exp(-max(-700.0, min(700.0, z)))))
-            if len(known) > CACHE:
-                known.clear()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, f"{prefix}score"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
