@@ -43,10 +43,14 @@ def distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def bank_blocks(bank: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
     """The bank in blocks of at most about BANK_ROWS rows, dealt by the hash of its first column, one at a time."""
-    n = max(1, -(-bank.count() // BANK_ROWS))
     rows = bank.select(*columns)
+    first = rows.limit(BANK_ROWS + 1).toArrow()
+    if first.num_rows <= BANK_ROWS:
+        yield first
+        return
+    n = -(-rows.count() // BANK_ROWS)
     for k in range(n):
-        yield (rows if n == 1 else rows.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k)).toArrow()
+        yield rows.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k).toArrow()
 
 
 def scan(queries: DataFrame, block: object, work: Callable, out: list[tuple[str, str]]) -> DataFrame:

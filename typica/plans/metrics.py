@@ -28,9 +28,10 @@ def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
     keep is false for a point that lies evenly between its neighbours: the next lower score adds as much of either kind.
     ranges: ranges of scores to sum within before their offsets are added; by default as many as the distinct scores need.
     """
-    n, positives, rows = scores.agg(F.approx_count_distinct("score"), F.coalesce(F.sum((F.col("is_id") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    c = counts(scores).persist()  # one row per distinct score; scores may be dear to work out again
+    n, positives, negatives = c.agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ranges = max(1, n // ONE_WINDOW) if ranges is None else ranges
-    c = counts(scores).withColumn("part", F.lit(0) if ranges == 1 else ranged(scores, "score", ranges))
+    c = c.withColumn("part", F.lit(0) if ranges == 1 else ranged(c, "score", ranges))
     tops = c.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max_by(F.struct("p", "n"), "score").alias("top"))
     down = Window.orderBy(F.desc("part"))  # one row per range
     above = down.rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +42,7 @@ def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
     tp, fp = F.col("sp") + F.col("p0"), F.col("sn") + F.col("n0")
     first = (tp == F.col("p")) & (fp == F.col("n"))
     keep = first | F.col("next").isNull() | (F.col("next.p") != F.col("p")) | (F.col("next.n") != F.col("n"))
-    return run.select("score", tp.alias("tp"), fp.alias("fp"), (tp - F.col("p")).alias("tp0"), (fp - F.col("n")).alias("fp0"), F.lit(positives).alias("P"), F.lit(rows - positives).alias("N"), keep.alias("keep"))
+    return run.select("score", tp.alias("tp"), fp.alias("fp"), (tp - F.col("p")).alias("tp0"), (fp - F.col("n")).alias("fp0"), F.lit(positives).alias("P"), F.lit(negatives).alias("N"), keep.alias("keep"))
 
 
 def roc(scores: DataFrame) -> DataFrame:
