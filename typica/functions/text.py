@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 #: Fixed value: Unicode white space, as str.strip takes it.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 
+#: The same as characters.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def long_enough(text: Column, more_than: int = 20) -> Column:
