@@ -4,7 +4,8 @@ A line is normalised (lower-cased, digits to 0, white space collapsed) and hashe
 distinct texts with the line are counted, so exact copies of a text count once. A line is frequent on its host when more
 than ``max_docs`` texts and more than ``max_share`` of the host's texts have it. Frequent lines are removed from all
 documents of the host but the one with the smallest doc_id (so a text is never lost with all of its copies), and a
-document of which less than ``min_left`` of the words remain is depleted.
+document of which less than ``min_left`` of the words remain is depleted. ``kept_documents`` judges by an absolute number of
+documents instead: a line is frequent when more than ``max_docs`` rows of the host have it, copies included.
 
 Cases: null or blank text has no words and fails the base rule; a null host is a host of its own; repeated rows are
 judged alike and each is returned; ties for the smallest doc_id all keep their lines; an empty table gives no rows;
@@ -87,12 +88,34 @@ def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return counts.join(n_texts, same).where(F.col("n_docs") > max_share * F.col("n_texts")).select(counts["host"], "a", "b", "n_docs", "first_id")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, max_docs: int, max_share: float, min_left: float, min_words: int) -> DataFrame:
+def frequent_lines_of_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20) -> DataFrame:
+    """(host, t1, t2, f): per host and text (its hashes) that has them, the lines in more than max_docs rows of the host.
+
+    A line's rows are counted with copies of a text; f holds (k, first_id). Nothing is gathered per host.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    each = docs.select(F.col(host_col).alias("host"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.explode(F.array_distinct(F.filter(line_keys(F.col(text_col)), lambda k: k.isNotNull()))).alias("k"))
+    lines = write_out(each.select("host", "id", "t1", "t2", "k.a", "k.b"), "lines")
+    counts = lines.groupBy(F.col("host").alias("own"), F.col("a").alias("a2"), F.col("b").alias("b2")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") > max_docs)
+    same = F.col("host").eqNullSafe(F.col("own")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    found = lines.join(counts, same).select("host", "t1", "t2", F.struct(F.struct("a", "b").alias("k"), "first_id").alias("f"))
+    return found.groupBy("host", "t1", "t2").agg(F.collect_set("f").alias("f"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, max_docs: int, max_share: float | None, min_left: float, min_words: int) -> DataFrame:
     """docs with {p}v, all verdicts of a row as one struct, and {p}at, which keeps filters from being worked out below it."""
-    found = write_out(frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs, max_share=max_share), "frequent-lines")
-    per_host = found.groupBy(F.col("host").alias(f"{p}host")).agg(F.collect_list(F.struct(F.struct("a", "b").alias("k"), "first_id")).alias(f"{p}f"))
+    host = F.col(host_col).eqNullSafe(F.col(f"{p}host"))
+    if max_share is None:
+        found = write_out(frequent_lines_of_texts(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs), "frequent-lines")
+        listed = found.select(F.col("host").alias(f"{p}host"), F.col("t1").alias(f"{p}t1"), F.col("t2").alias(f"{p}t2"), F.col("f").alias(f"{p}f"))
+        whole = F.coalesce(F.col(text_col), F.lit(""))
+        same = host & (F.xxhash64(whole) == F.col(f"{p}t1")) & (F.xxhash64(whole, F.lit(1)) == F.col(f"{p}t2"))
+    else:
+        found = write_out(frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs, max_share=max_share), "frequent-lines")
+        listed = found.groupBy(F.col("host").alias(f"{p}host")).agg(F.collect_list(F.struct(F.struct("a", "b").alias("k"), "first_id")).alias(f"{p}f"))
+        same = host
     if found.count() <= BROADCAST_LINES:
-        per_host = F.broadcast(per_host)
+        listed = F.broadcast(listed)
     text, frequent, own_id = F.col(text_col), F.col(f"{p}f"), F.col(id_col)
 
     def without(keys: Column) -> Column:
@@ -113,7 +136,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str,
 
     by_words = lambda clean: let(words_of(text), lambda w: let(repeated_words(w), lambda r: verdict(clean, F.size(w), r, F.length(F.array_join(w, "")))))
     all_of_it = let(F.when(frequent.isNotNull(), line_keys(text)), lambda keys: let(without(keys), by_words))
-    return docs.join(per_host, F.col(host_col).eqNullSafe(F.col(f"{p}host")), "left").select(*docs.columns, all_of_it.alias(f"{p}v"), F.monotonically_increasing_id().alias(f"{p}at"))
+    return docs.join(listed, same, "left").select(*docs.columns, all_of_it.alias(f"{p}v"), F.monotonically_increasing_id().alias(f"{p}at"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", prefix: str = "qr_", max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
@@ -123,9 +146,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return v.select(*docs.columns, *(F.col(f"{prefix}v.{n}").alias(f"{prefix}{n}") for n in names))
 
 
-def kept_documents(docs: DataFrame, *, max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
-    """The documents that pass, without their frequent lines; text and n_chars follow, other columns stay."""
-    v = _judged(docs, "doc_id", "text", "source", "qr_", max_docs, max_share, min_left, min_words).where(F.col("qr_v.kept") & (F.col("qr_at") >= 0))
+def kept_documents(docs: DataFrame, *, max_docs: int = 20, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
+    """The documents that pass, without the lines of more than max_docs documents; text and n_chars follow, other columns stay."""
+    v = _judged(docs, "doc_id", "text", "source", "qr_", max_docs, None, min_left, min_words).where(F.col("qr_v.kept") & (F.col("qr_at") >= 0))
     now = {"text": F.col("qr_v.clean_text")}
     if "n_chars" in docs.columns:
         now["n_chars"] = F.when(F.col("qr_v.n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("qr_v.clean_text").cast(docs.schema["n_chars"].dataType))
