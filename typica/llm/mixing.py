@@ -24,15 +24,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import let, write_out
+from typica.llm.common import let, lower_ascii, write_out
 
 OTHER = "(other)"
 #: Topics by the first line that fits a text: one of the words occurs and, if given, the pattern too; the
-#: rest is prose. Words are looked for byte by byte, so patterns are tried on few texts.
+#: rest is prose. Words are looked for byte by byte, so patterns are tried on few texts; words with letters, given in lower
+#: case, are found in any ASCII case.
 TOPICS = [
     ("table", [" | "], None),
     ("contact", ["@"], r"[A-Za-z0-9._]@[A-Za-z0-9.]"),
-    ("legal", ["licen", "Licen", "LICEN", "copyright", "Copyright", "COPYRIGHT", "lizenz", "Lizenz", "LIZENZ"], None),
+    ("legal", ["licen", "copyright", "lizenz"], None),
     ("numbers", [], r"[0-9]{3}"),
 ]
 #: The mix asked for; every source alike.
@@ -43,10 +44,15 @@ TARGETS = {
 }
 
 
+def _any_of(words: list[str], c: Column) -> Column:
+    return reduce(or_, (F.contains(c, F.lit(w)) for w in words))
+
+
 def topic_of(text: Column, topics: list[tuple[str, list[str], str | None]] | None = None, rest: str = "prose") -> Column:
     t, out = F.coalesce(text, F.lit("")), F.lit(rest)
     for name, words, pattern in reversed(TOPICS if topics is None else topics):
-        fits = reduce(or_, (F.contains(t, F.lit(w)) for w in words)) if words else F.lit(True)
+        low = any(w.upper() != w for w in words)
+        fits = (let(lower_ascii(t), lambda c: _any_of(words, c)) if low else _any_of(words, t)) if words else F.lit(True)  # noqa: B023
         out = F.when(fits & t.rlike(pattern) if pattern else fits, name).otherwise(out)
     return out
 
