@@ -18,12 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/typica-shared"
+    """The folder that all executors share. Where the session names none: one of our own in local mode, as in tests; an
+    error on a cluster, whose executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "/tmp/typica-shared"
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/typica/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/typica/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_prefix(columns: list[str], wanted: str) -> str:
+    """wanted, with as many underscores as it takes until no column starts with it in any case."""
+    while any(c.lower().startswith(wanted.lower()) for c in columns):
+        wanted += "_"
+    return wanted
+
+
+def unclashed(df: DataFrame, *added: str) -> DataFrame:
+    """df without the columns, in any case, that have the names of added ones: an operator's own columns replace them."""
+    own = {a.lower() for a in added}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in own)) if any(c.lower() in own for c in df.columns) else df
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:
@@ -36,9 +58,15 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by write_out, once nothing will read it again."""
-    drop_path(df.sparkSession, df._typica_path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by write_out, once nothing will read them again."""
+    for df in tables:
+        drop_path(df.sparkSession, df._typica_path)
+
+
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a row number that is fixed, because it is written."""
+    return write_out(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -54,7 +82,10 @@ def some_rows(rows: DataFrame, key: Column, most: int, total: int) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold the Arrow batches given to Python to so many rows and 16 MB, so that long texts don't add up."""
+    """Hold the Arrow batches given to Python to so many rows and 16 MB, so that long texts don't add up.
+
+    Spark reads these settings when a query runs, after the operator has returned, so they stay for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -76,5 +107,5 @@ def words_of(text: Column) -> Column:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this package in the shared folder; results that read them end with them."""
-    drop_path(spark, f"{shared_dir(spark).rstrip('/')}/typica")
+    """Delete all scratch tables of this application in the shared folder; results that read them end with them."""
+    drop_path(spark, session_dir(spark))
