@@ -10,8 +10,9 @@ and a line feed in a role becomes ``\\:``; reading back undoes this exactly. los
 of the formatted text, over the escaped texts of the loss roles.
 
 Cases: null texts and roles are empty; a node whose parent is null or missing is a root; nodes in or below a cycle have no
-root and no path; repeated (tree, id) rows are one node, the smallest by (role, text); ties in score go to the smallest
-leaf; an empty table gives no rows; further columns are not read.
+root and no path; rows without a node id are no nodes; repeated (tree, node) rows are one node, placed by the smallest
+(parent, score) and speaking the smallest (role, text), nulls first; null scores are 0 and NaN ranks last; ties in score go
+to the smallest leaf, in the order of the ids' own type; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from typica.llm.common import write_out
+from typica.llm.common import discard, write_out
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings that no text may bring in.
@@ -51,13 +52,15 @@ def unescape_role(role: Column) -> Column:
 def tree_paths(nodes: DataFrame, *, top: int | None = 1, by: str = "mean") -> DataFrame:
     """(tree, leaf, node, depth, rank, path_score): the nodes of each tree's best paths; depth 0 is the root.
 
-    nodes: tree, node, parent, score. by: mean or sum of the scores along the path. top: paths per tree, None for all.
+    nodes: tree, node, parent, score; ids of any type with an order. by: mean or sum of the scores along the path. top: paths
+    per tree, None for all.
     """
-    nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    once = nodes.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("x"))
+    nodes = once.select("tree", "node", "x.parent", "x.score")
     present = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = nodes.join(present, nodes["tree"].eqNullSafe(present["t"]) & (nodes["parent"] == present["n"]), "left")
-    at = write_out(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("count")), "reply-up")
-    steps, rooted, n_open = [at.where("up is not null")], at.where("up is null"), None
+    tables = [write_out(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("count")), "reply-up")]
+    steps, rooted, n_open = [tables[0].where("up is not null")], tables[0].where("up is null"), None
     while True:  # nodes that know their root stay aside; the others double the way that they know
         still = steps[-1].count()
         if still == 0 or still == n_open:
@@ -65,24 +68,25 @@ def tree_paths(nodes: DataFrame, *, top: int | None = 1, by: str = "mean") -> Da
         n_open = still
         above = rooted.unionByName(steps[-1]).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("count").alias("count2"))
         own = steps[-1].join(above, steps[-1]["tree"].eqNullSafe(above["t"]) & (steps[-1]["up"] == above["n"]))
-        at = write_out(own.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("count") + F.col("count2")).alias("count")), "reply-up")
-        rooted = rooted.unionByName(at.where("up is null"))
-        steps.append(at.where("up is not null"))
+        tables.append(write_out(own.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("count") + F.col("count2")).alias("count")), "reply-up"))
+        rooted = rooted.unionByName(tables[-1].where("up is null"))
+        steps.append(tables[-1].where("up is not null"))
     parents = steps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["n"]), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("count") if by == "mean" else F.col("total")).alias("path_score"), "count")
     if top == 1:  # combines before the shuffle, for trees with very many leaves
-        best = leaves.groupBy("tree").agg(F.max(F.struct("path_score", (-F.col("leaf")).alias("low"), "count")).alias("b"))
-        leaves = best.select("tree", (-F.col("b.low")).alias("leaf"), F.col("b.path_score").alias("path_score"), F.col("b.count").alias("count"), F.lit(1).alias("rank"))
+        best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("path_score")).alias("low"), "leaf", "path_score", "count")).alias("b"))
+        leaves = best.select("tree", "b.leaf", "b.path_score", "b.count", F.lit(1).alias("rank"))
     else:
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy((-F.col("path_score")), "leaf"))
         leaves = leaves.withColumn("rank", rank)
         leaves = leaves if top is None else leaves.where(F.col("rank") <= top)
     paths = write_out(leaves.select("tree", "leaf", F.col("leaf").alias("node"), (F.col("count") - 1).alias("depth"), "rank", "path_score"), "reply-paths")
-    for k in range(len(steps) - 1, -1, -1):
+    for k in range(len(steps) - 2, -1, -1):  # no path takes the last step's jumps: it has none, or those of cycles
         jump = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = paths.join(jump, paths["tree"].eqNullSafe(jump["t"]) & (paths["node"] == jump["n"])).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"), "rank", "path_score")
-        paths = write_out(paths.unionByName(more), "reply-paths")
+        paths = paths.unionByName(write_out(more, "reply-paths"))  # only the new nodes are written
+    discard(*tables)
     return paths
 
 
