@@ -21,9 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from typica.llm.common import bounded_batches, write_out
+from typica.llm.common import bounded_batches, free_prefix, numbered, write_out
 from typica.llm.components import components
 
 SEED, SEGMENTS, WIDTH, MOST = 42, 8, 8, 3
@@ -33,6 +32,14 @@ BLOCK = 1024
 BROADCAST_KEYS = 100_000
 
 
+def majority(hashes: list[np.ndarray]) -> int:
+    """The 64 bits that are set in over half of the hashes (arrays of uint64)."""
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > sum(map(len, hashes)), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The SimHash of UTF-8 text: A-Z lower-cased, words between ASCII white space, repeated shingles counted."""
     words = text.lower().split() if text else []
@@ -44,12 +51,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 16384):
-        hi = min(n, lo + 16384)
-        h = np.fromiter((xxh(joined[a:b], SEED) for a, b in zip(starts[lo:hi].tolist(), ends[lo + shingle - 1 : hi + shingle - 1].tolist(), strict=True)), np.uint64, hi - lo)
-        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return majority([np.fromiter((xxh(joined[a:b], SEED) for a, b in zip(starts[lo:hi].tolist(), ends[lo + shingle - 1 : hi + shingle - 1].tolist(), strict=True)), np.uint64, hi - lo) for lo in range(0, n, 16384) for hi in (min(n, lo + 16384),)])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -167,15 +169,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(roots.join(group, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per group: of the rows with the group's smallest id, the first by fingerprint. Rows without id stay."""
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    first = near.where(F.col("id").eqNullSafe(F.col("component"))).where("id is not null").select(F.col("id").alias("__kept")).distinct()
-    kept = docs.join(first, docs[id_col] == first["__kept"], "left_semi")
-    again = kept.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    again = write_out(again, "repeated-ids")
-    if again.count():  # the same id on several rows: only these few pass a window
-        twice = kept.join(again, kept[id_col] == again["__again"], "left_semi")
-        rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col)))
-        kept = kept.join(again, kept[id_col] == again["__again"], "left_anti").unionByName(twice.withColumn("__rank", rank).where("__rank = 1").drop("__rank"))
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per group: the one with the smallest id, null last; of several such rows the first by the text's hash, of
+    equal texts any one. A row is named by a written number, so the same id on different texts or none at all costs no row."""
+    row = free_prefix(docs.columns, "row")
+    rows = numbered(docs, row)
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(row).alias("row"))
+    near = near_duplicates(rows.select(name.alias("name"), F.col(text_col).alias("text")), id_col="name", shingle=shingle)
+    first = near.where(F.col("id.row") == F.col("component.row")).select(F.col("id.row").alias(f"{row}2"))
+    return rows.join(first, F.col(row) == F.col(f"{row}2"), "left_semi").drop(row)
