@@ -30,13 +30,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm.common import bounded_batches, scratch_path, some_rows, write_out
+from typica.llm.common import bounded_batches, numbered, scratch_path, some_rows, write_out
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of compressed records after which a file is closed; a reader holds one record at a time.
 ROLL = 64 << 20
 #: The dictionary: its size, and the bound on the rows that it is trained on.
 DICTIONARY_BYTES, DICTIONARY_ROWS = 32 << 10, 400
+#: Repeated payloads up to which their digests are broadcast: some 100 bytes each.
+BROADCAST_DIGESTS = 50_000
 READ = "archive string, at bigint, record_id string, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload binary, error string"
 
 
@@ -217,17 +219,34 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
 
 
+def _referring(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """(id, url, payload, refers) of rows: refers is the response of a revisit. twice: sha, first, n of repeated payloads.
+
+    Few repeated payloads are broadcast. Many are joined with (row, digest), those of very many rows by a broadcast; then
+    only the revisits' row numbers, each of one row, are joined with the payloads, so no digest is a key that these meet on.
+    """
+    total, n = twice.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    right = twice.select(F.col("sha").alias("twice"), "first", "n")
+    refers = F.when(F.col("id") < F.col("first"), F.col("first"))
+    if n <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(right), F.col("sha") == F.col("twice"), "left").select("id", "url", "payload", refers.alias("refers"))
+    rows = numbered(rows, "row")
+    narrow, heavy = rows.select("row", "id", "sha"), F.col("n") > total / BROADCAST_DIGESTS  # fewer than BROADCAST_DIGESTS are
+    hot, same = F.broadcast(right.where(heavy)), F.col("sha") == F.col("twice")
+    rest = narrow.join(hot, same, "left_anti").join(right.where(~heavy), same)
+    found = narrow.join(hot, same).unionByName(rest).select(F.col("row").alias("at"), refers.alias("refers")).where("refers is not null")
+    return rows.join(found, F.col("row") == F.col("at"), "left").select("id", "url", "payload", "refers")
+
+
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, roll: int = ROLL, dictionary: bytes | None = None) -> DataFrame:
     """Write every row as a record into files under folder; returns the written manifest (archive, records)."""
     spark = pages.sparkSession
     bounded_batches(spark, 500)
     dictionary = train_dictionary(pages, html_col) if dictionary is None else dictionary
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"), payload_digest(F.col(html_col)).alias("sha"))
-    # only payloads that occur twice are joined: one row each, so a hot payload is a key of the large side alone
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), payload_digest(F.col(html_col)).alias("sha"))
     twice = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = write_out(twice.select(F.col("sha").alias("twice"), "first"), "equal-payloads")
-    rows = rows.join(F.broadcast(twice) if twice.count() <= 50_000 else twice, F.col("sha") == F.col("twice"), "left")
-    rows = rows.select("id", "url", "payload", F.when(F.col("id") < F.col("first"), F.col("first")).alias("refers"))
+    rows = _referring(rows, write_out(twice, "equal-payloads"))
     where, at = open_store(folder)
     where.create_dir(at, recursive=True)
     packed = spark.sparkContext.broadcast(dictionary)
