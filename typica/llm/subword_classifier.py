@@ -1,16 +1,17 @@
 """Supervised subword embeddings: hashed vectors of words and character n-grams, averaged per document, into a softmax.
 
-Training runs in numpy on at most ``rows_per_class`` labelled documents of each class (those of the smallest id hashes),
-one document a step; the classes' true shares among all labelled training rows then shift the output. Since the output is
+Training runs in numpy on at most ``rows_per_class`` labelled documents of each class (those of the smallest id hashes) of
+at most ``most_chars`` characters each, so what the driver collects is bounded; one document is a step; the classes' true shares among all labelled training rows then shift the output. Since the output is
 linear in the average, scoring adds one number per word from a table of the hashed features' projections.
 
 Words are those between ASCII white space, case kept; ``\\n`` ends a line and counts as a word, as does one mark for a word
 that repeats the one before it. Nothing but the text enters a score.
 
 Cases: null and empty texts have no features and score the output's bias; rows without label, with a null label or of the
-held-out fold train nothing; repeated labels of an id vote; with fewer than two classes the score is the share of label 1
-(0.5 without labels); repeated rows score alike; an empty table gives no rows; further columns are kept, the added ones
-start with ``prefix``.
+held-out fold train nothing, nor do texts longer than ``most_chars`` (they are scored whole); repeated labels of an id vote;
+an id on several texts trains on the one with the smallest hash; with fewer than two classes the score is the share of label
+1 (0.5 without labels); repeated rows score alike; an empty table gives no rows; further columns are kept, but one with the
+name of the added one (``prefix``) is replaced; ``good_documents`` returns all columns.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import bounded_batches, some_rows
+from typica.llm.common import bounded_batches, free_prefix, some_rows, unclashed
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 LINE, AGAIN = "\n", "\r"
@@ -120,7 +121,7 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: Column, rows_per_class: int = 1500) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: Column, rows_per_class: int = 1500, most_chars: int = 200_000) -> tuple[np.ndarray, float]:
     """(projections, bias) learned from docs joined with labels where train_rows holds (a column over the id alone)."""
     voted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(train_rows).groupBy(id_col).agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     share = {r["y"]: r["count"] for r in voted.groupBy("y").count().collect()}
@@ -129,8 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return np.zeros(BUCKETS), {0.5: 0.0, 1.0: 20.0, 0.0: -20.0}[only]
     some = [some_rows(voted.where(F.col("y") == y), F.col(id_col), rows_per_class, share[y]) for y in (0, 1)]
     chosen = some[0].unionByName(some[1]).select(F.col(id_col).alias("__id"), "y")  # at most 2 * rows_per_class rows
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "y").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["text"] or ""))[: 4 * rows_per_class]
+    own, text = F.broadcast(chosen), F.coalesce(F.col(text_col), F.lit(""))
+    usable = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(own, F.col("id") == F.col("__id")).where(F.length("text") <= most_chars).select("id", "text", "y", F.xxhash64("text").alias("h"))
+    least = usable.groupBy("id").agg(F.min("h").alias("least")).withColumnRenamed("id", "own")  # an id's rows may be many, its text is one
+    rows = usable.join(F.broadcast(least), (F.col("id") == F.col("own")) & (F.col("h") == F.col("least"))).groupBy("id").agg(F.first("text").alias("text"), F.first("y").alias("y")).collect()
+    rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
+    if not rows:
+        return np.zeros(BUCKETS), float(np.log(share[1] / share[0]))
     model = train([r["text"] for r in rows], [r["y"] for r in rows])
     seen = sum(r["y"] for r in rows)
     weights, bias = model.projections()
@@ -140,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", prefix: str = "qc_") -> DataFrame:
     """docs with {prefix}score, the probability of class 1. One pass, no shuffle."""
+    docs = unclashed(docs, f"{prefix}score")
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -173,4 +180,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "
 def good_documents(docs: DataFrame, labels: DataFrame, *, bound: float = 0.7, folds: int = 4, held: int = 2) -> DataFrame:
     """The documents that score at least bound, with their own columns."""
     model = fit(docs, labels, train_rows=fold("doc_id", folds) != held)
-    return score(docs, model).where(F.col("qc_score") >= bound).select(*docs.columns)
+    p = free_prefix(docs.columns, "qc_")
+    return score(docs, model, prefix=p).where(F.col(f"{p}score") >= bound).select(*(F.col(f"`{c}`") for c in docs.columns))
