@@ -13,6 +13,7 @@ by row; a null id is returned as null; an empty table gives no rows; further col
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 OUT = "section int, name string, start bigint, stop bigint, n_tokens double, doc_tokens bigint"
 
 
+#: The vocabulary that a worker decoded last, by the broadcast that it comes from: the tasks of a worker share one.
+_BUILT: dict[str, Spans] = {}
+
+
+def spans_of(sent) -> Spans:
+    name, ranks = sent.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Spans(ranks)
+    return _BUILT[name]
+
+
 class Spans:
     """Encodes texts into token spans of characters."""
 
@@ -80,7 +93,11 @@ def attribute(starts: np.ndarray, stops: np.ndarray, sections: np.ndarray, rule:
 
 def lines(text: str) -> tuple[np.ndarray, None]:
     """The lines of a text, each with its line feed, as intervals."""
-    cuts = np.flatnonzero(np.array(list(text), "U1") == "\n") + 1 if not text.isascii() else np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10) + 1
+    raw = np.frombuffer(text.encode(), np.uint8)
+    cuts = np.flatnonzero(raw == 10) + 1
+    if len(raw) != len(text):  # bytes before a cut that go on with a character are no characters of their own
+        further = np.flatnonzero((raw & 0xC0) == 0x80)
+        cuts = cuts - np.searchsorted(further, cuts)
     edges = np.unique(np.concatenate(([0], cuts, [len(text)])))
     edges = edges if len(edges) > 1 else np.array([0, 0])
     return np.stack((edges[:-1], edges[1:]), axis=1), None
@@ -114,11 +131,11 @@ def _spread(rows: DataFrame, text_of: Callable, rule: str, vocabulary: str) -> D
         raise ValueError(f"rule {rule!r}")
     spark = rows.sparkSession
     bounded_batches(spark, 500)
-    sent = spark.sparkContext.broadcast(ranks_of(vocabulary))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, ranks_of(vocabulary)))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans(sent.value)
+        spans = spans_of(sent)
         for b in batches:
             at, cols = [], ([], [], [], [], [], [])
             for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
