@@ -6,12 +6,15 @@ expected tokens until every marginal has its target share of the budget, holding
 (probability 1). A document stays when a hash of its id and text falls below its cell's probability.
 
 Targets of one dimension are relative among the listed values that occur; ``(other)`` keeps the share it has, unless it is
-listed itself. Where the tokens can't meet all targets within the budget, the fit is the closest that the rounds reach and
-``report`` shows what is missed.
+listed itself. Where the tokens can't meet all targets within the budget, the fit is the closest that the rounds reach;
+``residuals`` and ``report`` tell what is missed.
+
+Topics are the caller's (``topic``, any column); by default a short list of words and patterns marks what sources and
+languages don't tell: tables, contact data, legal lines, numbers, prose.
 
 Cases: null values are ``(other)``; null or blank text has no tokens, and its cell's probability; cells without tokens
-have probability 1; repeated rows share their fate; an empty table gives no rows; further columns stay, added ones start
-with ``prefix``.
+have probability 1; repeated rows share their fate; an empty table gives no rows; further columns stay, but those with the
+name of an added one are replaced (added ones start with ``prefix``).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import let, lower_ascii, write_out
+from typica.llm.common import free_prefix, let, lower_ascii, unclashed, write_out
 
 OTHER = "(other)"
 #: Topics by the first line that fits a text: one of the words occurs and, if given, the pattern too; the
@@ -93,6 +96,17 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict[str, float]]
     return out
 
 
+def residuals(cells: list[tuple], fit: np.ndarray, targets: list[dict[str, float]], budget: float) -> list[float]:
+    """Per dimension the largest miss of a value's share of the budget; about zero where the targets are met."""
+    out = []
+    for d, t in enumerate(targets):
+        got = {k: 0.0 for k in t}
+        for c, x in zip(cells, fit, strict=True):
+            got[c[d]] += float(x)
+        out.append(max((abs(got[k] / budget - t[k]) for k in t), default=0.0) if budget else 0.0)
+    return out
+
+
 def shares(target: Mapping[str, float], observed: dict[str, float]) -> dict[str, float]:
     """The share of each observed value: listed ones by their weights, the pooled rest what it has."""
     total = sum(observed.values())
@@ -109,7 +123,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, id_col:
     targets: weights by value for columns of docs and, as "topic", for topic. Texts are read once: the rows are written
     with their topic, tokens and draw, and what meets in one place is one row per cell.
     """
-    p, carried = prefix, docs.columns if columns is None else columns
+    docs = unclashed(docs, *(f"{prefix}{x}" for x in ("topic", "n_tokens", "probability", "kept")))
+    p, carried = free_prefix(docs.columns, "mx_"), docs.columns if columns is None else columns
+    carried = [f"`{c}`" for c in carried]
     topic = topic_of(F.col(text_col)) if topic is None else topic
     tokens = n_words(F.col(text_col)) if tokens is None else tokens
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
@@ -132,7 +148,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, id_col:
     fit = rake(cells, n, goals, budget * n.sum()) if cells else n
     chance = docs.sparkSession.createDataFrame([(*c, float(a / b)) for c, a, b in zip(cells, fit, n, strict=True)], ", ".join(f"{k} string" for k in keys) + f", {p}q double")
     q = F.coalesce(f"{p}q", F.lit(1.0))
-    return rows.join(F.broadcast(chance), keys, "left").select(*carried, f"{p}topic", f"{p}n_tokens", q.alias(f"{p}probability"), (F.col(f"{p}draw") < q).alias(f"{p}kept"))
+    added = {"topic": F.col(f"{p}topic"), "n_tokens": F.col(f"{p}n_tokens"), "probability": q, "kept": F.col(f"{p}draw") < q}
+    return rows.join(F.broadcast(chance), keys, "left").select(*carried, *(c.alias(f"{prefix}{n}") for n, c in added.items()))
 
 
 def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float]], prefix: str = "mx_") -> DataFrame:
