@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from functools import reduce
 
+from typica.llm.quality_rules import BOILERPLATE
 from typica.llm.reply_trees import CONTROLS, END, START
 from typica.llm.url_filter import ALPHABET, RULES, SEED_WORDS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 HAS_WORD = r"regexp_matches({}, '[^ \t\n\x0B\f\r]')"
 
-LINE_FREQUENCY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS raw,
-  string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t\x0B\f\r]{{2,}}|[\t\x0B\f\r]', ' ', 'g'), '[1-9]', '0', 'g'), chr(10)) AS ls FROM documents),
+def line_frequency(documents: str = "documents") -> str:
+    """Lines in more than 20 documents of a host, counted once a document, are removed from all of them."""
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS raw,
+  string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t\x0B\f\r]{{2,}}|[\t\x0B\f\r]', ' ', 'g'), '[1-9]', '0', 'g'), chr(10)) AS ls FROM {documents}),
 win AS (SELECT rid, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
 again AS (SELECT rid, g FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT win.rid, unnest([i, i + 1, i + 2]) AS p FROM win JOIN again USING (rid, g)) GROUP BY rid),
 dup AS (SELECT rid, len(x) - len(list_distinct(x)) AS n FROM (SELECT rid, list_filter(raw, lambda l: {HAS_WORD.format('l')}) AS x FROM d)),
 lines AS (SELECT rid, doc_id, source, text, i, trim(ls[i]) AS l, raw[i] AS r FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-freq AS (SELECT source, l, count(DISTINCT text) AS n, min(doc_id) AS first_id FROM lines WHERE l <> '' GROUP BY ALL HAVING count(DISTINCT text) > 20),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-hot AS (SELECT freq.source, l, first_id FROM freq JOIN hosts ON freq.source IS NOT DISTINCT FROM hosts.source WHERE freq.n > 0.10 * hosts.n),
-gone AS (SELECT rid, count(*) AS n, sum(len(list_filter(string_split_regex(r, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS words FROM lines JOIN hot ON lines.source IS NOT DISTINCT FROM hot.source AND lines.l = hot.l AND lines.doc_id IS DISTINCT FROM hot.first_id GROUP BY rid),
+hot AS (SELECT source, l FROM lines WHERE l <> '' GROUP BY ALL HAVING count(DISTINCT rid) > 20),
+gone AS (SELECT rid, count(*) AS n, sum(len(list_filter(string_split_regex(r, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS words FROM lines JOIN hot ON lines.source IS NOT DISTINCT FROM hot.source AND lines.l = hot.l GROUP BY rid),
 b AS (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, dup.n::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_lines, (len(w) - coalesce(gone.words, 0))::BIGINT AS words_left
   FROM d JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid LEFT JOIN gone ON d.rid = gone.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.2 * n_words AS kept, n_removed_lines, words_left FROM b"""
 
 
+LINE_FREQUENCY = line_frequency()
+_EVEN = f"CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || chr(10) || '{BOILERPLATE[0]}' ELSE text END"
+_PAGE = " || ".join(f"'{x}' || chr(10)" for x in BOILERPLATE) + " || lang || ' ' || source"
+#: Every second document with a line of boilerplate at its end, and as many pages of nothing but boilerplate as documents.
+PLANTED = f"(SELECT doc_id, {_EVEN} AS text, source FROM documents UNION ALL SELECT -1 - doc_id, {_PAGE}, source FROM documents)"
+
+
 def _escaped(c: str) -> str:
     doubled = f"replace({c}, '\\', '\\\\')"
     return reduce(lambda t, x: f"replace({t}, '{x}', '{x[0]}\\{x[1:]}')", CONTROLS, doubled)
@@ -36,6 +44,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum({len(START)} + length(replace({_escaped('role')}, chr(10), '\\:')) + 1 + length({_escaped('text')}) + {len(END) + 1})::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
 
 
+#: The same turns as trees with branches: the reply to turn k (from 1) is said to be to turn k / 2, and scores are lengths.
+BRANCHING_TREES = f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+up AS (SELECT conv_id, k AS leaf, k, length(text) AS s FROM t l WHERE NOT EXISTS (FROM t c WHERE c.conv_id = l.conv_id AND c.k // 2 = l.k) UNION ALL SELECT up.conv_id, leaf, t.k, length(t.text) FROM up JOIN t ON t.conv_id = up.conv_id AND t.k = up.k // 2),
+p AS (SELECT conv_id, leaf, avg(s) AS score, count(*) AS n FROM up GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, leaf) AS rank FROM p)
+SELECT r.conv_id, r.leaf, r.rank, r.n AS n_turns, round(r.score, 6) AS path_score, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY t.k)) AS turns_sha256
+FROM r JOIN up USING (conv_id, leaf) JOIN t ON t.conv_id = up.conv_id AND t.k = up.k WHERE rank <= 2 GROUP BY ALL"""
+
+
 def _url_rule() -> tuple[str, str]:
     rule, verdict = "NULL", "NULL"
     for v, h, p in sorted(RULES, key=lambda r: len(r[1]) + len(r[2])):
@@ -45,15 +61,17 @@ def _url_rule() -> tuple[str, str]:
 
 
 def _url_orders() -> str:
-    out = []
+    """The smoothed models of accepted (a) and rejected (r) examples of the folds 0 and 1, order by order."""
+    out, kinds = [], ("a0", "r0", "a1", "r1")
+    each = lambda f: ", ".join(f(x) for x in kinds)
     for k in range(1, 5):
-        low = {x: f"below{k - 1}.{x}" if k > 1 else f"(1.0::DOUBLE / {len(ALPHABET)})" for x in ("pa", "pr")}
+        low = {x: f"below{k - 1}.p{x}" if k > 1 else f"(1.0::DOUBLE / {len(ALPHABET)})" for x in kinds}
         join = f"JOIN below{k - 1} ON right(own{k}.g, {k - 1}) = below{k - 1}.g" if k > 1 else ""
-        p = lambda c, n, t, w: f"CASE WHEN {n} + {t} > 0 THEN ({c} + {t} * {low[w]}) / ({n} + {t})::DOUBLE ELSE {low[w]} END AS {w}"
+        p = lambda x: f"CASE WHEN n{x} + t{x} > 0 THEN ({x} + t{x} * {low[x]}) / (n{x} + t{x})::DOUBLE ELSE {low[x]} END AS p{x}"  # noqa: E731, B023
         out += [
-            f"own{k} AS (SELECT right(g, {k}) AS g, sum(a) AS a, sum(r) AS r FROM grams GROUP BY 1)",
-            f"ctx{k} AS (SELECT left(g, {k - 1}) AS c, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr, count(*) FILTER (r > 0) AS tr FROM own{k} GROUP BY 1)",
-            f"below{k} AS (SELECT own{k}.g, {p('a', 'na', 'ta', 'pa')}, {p('r', 'nr', 'tr', 'pr')} FROM own{k} JOIN ctx{k} ON left(own{k}.g, {k - 1}) = ctx{k}.c {join})",
+            f"own{k} AS (SELECT right(g, {k}) AS g, {each(lambda x: f'sum({x}) AS {x}')} FROM grams GROUP BY 1)",
+            f"ctx{k} AS (SELECT left(g, {k - 1}) AS c, {each(lambda x: f'sum({x}) AS n{x}, count(*) FILTER ({x} > 0) AS t{x}')} FROM own{k} GROUP BY 1)",
+            f"below{k} AS (SELECT own{k}.g, {each(p)} FROM own{k} JOIN ctx{k} ON left(own{k}.g, {k - 1}) = ctx{k}.c {join})",
         ]
     return ",\n".join(out)
 
@@ -62,17 +80,18 @@ def url_ratio() -> str:
     rule, verdict = _url_rule()
     after = "CASE WHEN position('://' IN u) > 0 THEN substr(u, position('://' IN u) + 3) ELSE {} END"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    count = lambda x, f: f"coalesce(sum(n) FILTER (example = '{x}' AND fold = {f}), 0) AS {x[0]}{f}"
     return rf"""WITH p0 AS (SELECT page_id, coalesce(url, '') AS u FROM pages), p1 AS (SELECT page_id, {after.format("''")} AS a, {after.format('u')} AS f FROM p0),
 p2 AS (SELECT page_id, translate(regexp_extract(a, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(translate(f, '{upper}123456789', '{lower}000000000'), '[^a-z0.\-/_?=&#%~+:]', '*', 'g') AS plain FROM p1),
 p3 AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS said, CASE WHEN plain <> '' THEN '^^^' || plain || '$' END AS t FROM p2),
 p4 AS (SELECT *, CASE WHEN said IS NULL THEN CASE WHEN regexp_matches(host, '(^|[.\-])({'|'.join(SEED_WORDS)})([.\-:]|$)') THEN 'rej' ELSE 'acc' END END AS example FROM p3),
-texts AS (SELECT t, example, count(*) AS n FROM p4 WHERE t IS NOT NULL GROUP BY ALL), each AS (SELECT t, example, n, substr(t, i, 4) AS g FROM (SELECT *, unnest(range(1, length(t) - 2)) AS i FROM texts)),
-grams AS (SELECT g, coalesce(sum(n) FILTER (example = 'acc'), 0) AS a, coalesce(sum(n) FILTER (example = 'rej'), 0) AS r FROM each GROUP BY g),
+texts AS (SELECT t, example, CASE WHEN right(md5(t), 1) < '8' THEN 0 ELSE 1 END AS fold, count(*) AS n FROM p4 WHERE t IS NOT NULL GROUP BY ALL), each AS (SELECT t, example, fold, n, substr(t, i, 4) AS g FROM (SELECT *, unnest(range(1, length(t) - 2)) AS i FROM texts)),
+grams AS (SELECT g, {count('acc', 0)}, {count('rej', 0)}, {count('acc', 1)}, {count('rej', 1)} FROM each GROUP BY g),
 {_url_orders()},
-scores AS (SELECT t, example, any_value(n) AS n, avg(ln(pr) - ln(pa)) AS score FROM each JOIN below4 USING (g) GROUP BY t, example),
+scores AS (SELECT t, example, fold, any_value(n) AS n, avg(CASE WHEN fold = 0 THEN ln(pr1) - ln(pa1) ELSE ln(pr0) - ln(pa0) END) AS score FROM each JOIN below4 USING (g) GROUP BY t, example, fold),
 bins AS (SELECT floor(greatest(-10, least(10, score)) * 100)::BIGINT AS bin, coalesce(sum(n) FILTER (example = 'rej'), 0) AS r, coalesce(sum(n) FILTER (example = 'acc'), 0) AS a FROM scores WHERE example IS NOT NULL GROUP BY 1),
 up AS (SELECT bin, round(sum(r) OVER w / sum(r) OVER ()::DOUBLE - sum(a) OVER w / sum(a) OVER ()::DOUBLE, 9) AS gain, coalesce(lead(bin) OVER w, bin - 1) AS under FROM bins WINDOW w AS (ORDER BY bin DESC)),
-bound AS (SELECT (max(bin) + arg_max(under, bin) + 1) / 200.0::DOUBLE AS bound FROM up WHERE gain = (SELECT max(gain) FROM up)),
+bound AS (SELECT CASE WHEN (SELECT count(*) FROM (SELECT DISTINCT fold, example FROM scores WHERE example IS NOT NULL)) = 4 THEN (max(bin) + arg_max(under, bin) + 1) / 200.0::DOUBLE END AS bound FROM up WHERE gain = (SELECT max(gain) FROM up)),
 best AS (SELECT t, max(score) AS score FROM scores GROUP BY t)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score > bound THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score FROM p4 LEFT JOIN best USING (t), bound"""
 
@@ -96,6 +115,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_frequency": LINE_FREQUENCY,
+        "planted_boilerplate": line_frequency(PLANTED),
+        "branching_trees": BRANCHING_TREES,
         "op3_reply_trees": REPLY_TREES,
         "op4_url_ratio": url_ratio(),
         "op5_zstd_warc": ZSTD_WARC,

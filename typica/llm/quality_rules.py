@@ -1,15 +1,19 @@
 """Cross-document line frequency and per-document quality rules, in DataFrame expressions only.
 
-A line is normalised (lower-cased, digits to 0, white space collapsed) and hashed to 128 bits. For each host the
-distinct texts with the line are counted, so exact copies of a text count once. A line is frequent on its host when more
-than ``max_docs`` texts and more than ``max_share`` of the host's texts have it. Frequent lines are removed from all
-documents of the host but the one with the smallest doc_id (so a text is never lost with all of its copies), and a
-document of which less than ``min_left`` of the words remain is depleted. ``kept_documents`` judges by an absolute number of
-documents instead: a line is frequent when more than ``max_docs`` rows of the host have it, copies included.
+A line is normalised (lower-cased, digits to 0, white space collapsed) and hashed to 128 bits. For each host the documents
+with the line are counted, each once; a line in more than ``max_docs`` of them is frequent and removed from all documents of
+the host, and a document of which less than ``min_left`` of the words remain is depleted. Options, off by default: exact
+copies of a text count once (``copies_once``), the document with the smallest id keeps its lines (``keep_first``), and lines
+must be in more than a share of the host's documents as well (``max_share``).
+
+Lines are counted and looked up as (host, text hashes, place, line hash), never with texts. What comes back to a document is
+the list of its own frequent lines' places: by the text's hashes if the lists are few enough to be broadcast, else by row
+number, so a host or a text with very many rows is no key that texts meet on.
 
 Cases: null or blank text has no words and fails the base rule; a null host is a host of its own; repeated rows are
-judged alike and each is returned; ties for the smallest doc_id all keep their lines; an empty table gives no rows;
-further columns are left alone (the operator adds only columns with the prefix ``prefix``).
+documents like any other, judged alike, and each is returned; with ``keep_first`` ties for the smallest id all keep their
+lines; an empty table gives no rows; further columns stay, but those with the name of an added one are replaced (added ones
+start with ``prefix``); ``kept_documents`` returns all columns.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import SPACES, let, words_of, write_out
+from typica.llm.common import SPACES, free_prefix, let, numbered, unclashed, words_of, write_out
 
 SYMBOLS = "#*$%&|<>"
-#: Rows of frequent lines up to which they are broadcast: 100 000 hosts' arrays of a few hashes each, some MB.
-BROADCAST_LINES = 100_000
+#: Rows, and entries of lists, up to which tables are broadcast: some 50 bytes each.
+BROADCAST_ROWS = 200_000
 
 
 def repeated_words(words: Column) -> Column:
@@ -75,58 +79,80 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(one, "[1-9]", "0"), "\n"), line_key)
 
 
-def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_share: float = 0.10) -> DataFrame:
-    """(host, a, b, n_docs, first_id): the lines above both limits.
+KEY = ("host", "t1", "t2")
+#: Lines of eight invented words each, none twice, to plant as boilerplate.
+BOILERPLATE = [" ".join(f"{chr(97 + k)}{chr(97 + j)}x" for j in range(8)) for k in range(8)]
 
-    A host has at most 1 / max_share times its lines per text of them, however large it is.
-    """
-    each = docs.select(F.col(host_col).alias("host"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1)).alias("t2"), F.array_distinct(F.filter(line_keys(F.col(text_col)), lambda k: k.isNotNull())).alias("keys"))
-    texts = each.groupBy("host", "t1", "t2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    n_texts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    counts = texts.select("host", "id", F.explode("keys").alias("k")).groupBy("host", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") > max_docs)
-    same = counts["host"].eqNullSafe(n_texts["host"])
-    return counts.join(n_texts, same).where(F.col("n_docs") > max_share * F.col("n_texts")).select(counts["host"], "a", "b", "n_docs", "first_id")
+
+def text_key(text_col: str, host_col: str) -> list[Column]:
+    """host, t1, t2: what a text's list of frequent lines is found by."""
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(host_col).alias("host"), F.xxhash64(whole).alias("t1"), F.xxhash64(whole, F.lit(1)).alias("t2")]
 
 
-def frequent_lines_of_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20) -> DataFrame:
-    """(host, t1, t2, f): per host and text (its hashes) that has them, the lines in more than max_docs rows of the host.
+def joined_by(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """left and right's rows of equal keys (nulls too); a key is one row of right and has about weight rows of left.
 
-    A line's rows are counted with copies of a text; f holds (k, first_id). Nothing is gathered per host.
+    A small right side is broadcast. Of a large one only the keys with most rows of left are, at most BROADCAST_ROWS; the
+    others have few rows each and meet in a shuffle.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.col(host_col).alias("host"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.explode(F.array_distinct(F.filter(line_keys(F.col(text_col)), lambda k: k.isNotNull()))).alias("k"))
-    lines = write_out(each.select("host", "id", "t1", "t2", "k.a", "k.b"), "lines")
-    counts = lines.groupBy(F.col("host").alias("own"), F.col("a").alias("a2"), F.col("b").alias("b2")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") > max_docs)
-    same = F.col("host").eqNullSafe(F.col("own")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
-    found = lines.join(counts, same).select("host", "t1", "t2", F.struct(F.struct("a", "b").alias("k"), "first_id").alias("f"))
-    return found.groupBy("host", "t1", "t2").agg(F.collect_set("f").alias("f"))
+    other = [c for c in right.columns if c not in on]
+    total, n = right.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count(F.lit(1))).first()
+    keys = lambda r: r.select(*(F.col(c).alias(f"r_{c}") for c in on), *other)
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in on]
+    out = lambda d: d.select(*left.columns, *other)
+    if n <= BROADCAST_ROWS:
+        return out(left.join(F.broadcast(keys(right)), same()))
+    heavy = F.col(weight) > total / BROADCAST_ROWS  # of these there are fewer than BROADCAST_ROWS
+    hot = F.broadcast(keys(right.where(heavy)))
+    return out(left.join(hot, same())).unionByName(out(left.join(hot, same(), "left_anti").join(keys(right.where(~heavy)), same())))
+
+
+def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_share: float | None = None, copies_once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines, frequent). lines: host, t1, t2, place, a, b for each line with words of each text of a host, with n, the rows
+    of the text. frequent: host, a, b, n_docs, first_id, n_texts of the lines above the limits."""
+    each = docs.select(*text_key(text_col, host_col), F.col(id_col).alias("id"), F.posexplode(line_keys(F.col(text_col))).alias("place", "k")).where("k is not null")
+    lines = write_out(each.groupBy(*KEY, "place", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")), "lines")
+    once = lines.groupBy(*KEY, "a", "b").agg(F.first("n").alias("n"), F.min("id").alias("id"))  # a line that a text repeats counts once
+    counts = once.groupBy("host", "a", "b").agg((F.count(F.lit(1)) if copies_once else F.sum("n")).alias("n_docs"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_docs") > max_docs)
+    if max_share is not None:
+        sizes = docs.groupBy(F.col(host_col).alias("own")).agg((F.count_distinct(F.coalesce(F.col(text_col), F.lit(""))) if copies_once else F.count(F.lit(1))).alias("size"))
+        counts = counts.join(sizes, F.col("host").eqNullSafe(F.col("own"))).where(F.col("n_docs") > max_share * F.col("size")).drop("own", "size")
+    return lines, write_out(counts, "frequent-lines")
+
+
+def _with_places(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, keep_first: bool, **limits) -> DataFrame:
+    """docs with {p}f: the places of the row's frequent lines in order, null if it has none."""
+    lines, frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    found = joined_by(lines, frequent, ["host", "a", "b"], "n_texts")
+    lists = write_out(found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "first_id"))).alias("f"), F.first("n").alias("n")), "texts-with-frequent-lines")
+    n, entries = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("f")), F.lit(0))).first()
+    if max(n, entries) <= BROADCAST_ROWS:
+        rows, key = docs, text_key(text_col, host_col)
+        listed = F.broadcast(lists.select(*(F.col(c).alias(f"{p}{c}") for c in KEY), F.col("f").alias(f"{p}f")))
+        out = rows.join(listed, [k.eqNullSafe(F.col(f"{p}{c}")) for k, c in zip(key, KEY, strict=True)], "left")
+    else:
+        rows = numbered(docs, f"{p}row")
+        mine = joined_by(rows.select(f"{p}row", *text_key(text_col, host_col)), lists, list(KEY), "n")
+        out = rows.join(mine.select(F.col(f"{p}row").alias(f"{p}own"), F.col("f").alias(f"{p}f")), F.col(f"{p}row") == F.col(f"{p}own"), "left")
+    mine = F.filter(f"{p}f", lambda f: ~f["first_id"].eqNullSafe(F.col(id_col))) if keep_first else F.col(f"{p}f")
+    places = F.transform(mine, lambda f: f["place"])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.size(places) > 0, places).alias(f"{p}f"))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """text without the lines at these places, which are in order: the stretches between them, joined."""
 
+    def cut(lines: Column) -> Column:
+        stretch = lambda stop, j: F.slice(lines, F.coalesce(F.get(places, j - 1), F.lit(-1)) + 2, stop - F.coalesce(F.get(places, j - 1), F.lit(-1)) - 1)
+        return F.array_join(F.flatten(F.transform(F.concat(places, F.array(F.size(lines))), stretch)), "\n")
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, max_docs: int, max_share: float | None, min_left: float, min_words: int) -> DataFrame:
+    return let(F.split(text, "\n"), cut)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str, min_left: float, min_words: int, **limits) -> DataFrame:
     """docs with {p}v, all verdicts of a row as one struct, and {p}at, which keeps filters from being worked out below it."""
-    host = F.col(host_col).eqNullSafe(F.col(f"{p}host"))
-    if max_share is None:
-        found = write_out(frequent_lines_of_texts(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs), "frequent-lines")
-        listed = found.select(F.col("host").alias(f"{p}host"), F.col("t1").alias(f"{p}t1"), F.col("t2").alias(f"{p}t2"), F.col("f").alias(f"{p}f"))
-        whole = F.coalesce(F.col(text_col), F.lit(""))
-        same = host & (F.xxhash64(whole) == F.col(f"{p}t1")) & (F.xxhash64(whole, F.lit(1)) == F.col(f"{p}t2"))
-    else:
-        found = write_out(frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs, max_share=max_share), "frequent-lines")
-        listed = found.groupBy(F.col("host").alias(f"{p}host")).agg(F.collect_list(F.struct(F.struct("a", "b").alias("k"), "first_id")).alias(f"{p}f"))
-        same = host
-    if found.count() <= BROADCAST_LINES:
-        listed = F.broadcast(listed)
-    text, frequent, own_id = F.col(text_col), F.col(f"{p}f"), F.col(id_col)
-
-    def without(keys: Column) -> Column:
-        """struct(text, lines): the text without its frequent lines, and how many they were."""
-        as_is = F.struct(text.alias("text"), F.lit(0).alias("lines"))
-        mine = F.filter(frequent, lambda f: F.array_contains(keys, f["k"]) & ~f["first_id"].eqNullSafe(own_id))
-        marks = lambda g: F.transform(keys, lambda k: F.coalesce(F.array_contains(g, k), F.lit(False)))
-        kept = lambda m: F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.get(m, i)), "\n")
-        cut = lambda m: F.struct(kept(m).alias("text"), F.size(F.filter(m, lambda x: x)).alias("lines"))
-        some = let(F.transform(mine, lambda f: f["k"]), lambda g: F.when(F.size(g) > 0, let(marks(g), cut)).otherwise(as_is))
-        return F.when(keys.isNull(), as_is).otherwise(some)
+    text, places = F.col(text_col), F.col(f"{p}f")
 
     def verdict(clean: Column, n: Column, repeated: Column, chars: Column) -> Column:
         failed = (n < min_words) | (100 * repeated > 50 * n)
@@ -135,21 +161,26 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, p: str,
         return let(F.struct(*(c.alias(k) for k, c in fields.items())), lambda s: F.struct(*(s[k].alias(k) for k in fields), (~s["base_failed"] & (s["words_left"] >= min_left * s["n_words"])).alias("kept")))
 
     by_words = lambda clean: let(words_of(text), lambda w: let(repeated_words(w), lambda r: verdict(clean, F.size(w), r, F.length(F.array_join(w, "")))))
-    all_of_it = let(F.when(frequent.isNotNull(), line_keys(text)), lambda keys: let(without(keys), by_words))
-    return docs.join(listed, same, "left").select(*docs.columns, all_of_it.alias(f"{p}v"), F.monotonically_increasing_id().alias(f"{p}at"))
+    clean = F.when(places.isNull(), F.struct(text.alias("text"), F.lit(0).alias("lines"))).otherwise(F.struct(without_lines(text, places).alias("text"), F.size(places).alias("lines")))
+    rows = _with_places(docs, id_col, text_col, host_col, p, **limits)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), let(clean, by_words).alias(f"{p}v"), F.monotonically_increasing_id().alias(f"{p}at"))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", prefix: str = "qr_", max_docs: int = 20, max_share: float = 0.10, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", prefix: str = "qr_", max_docs: int = 20, max_share: float | None = None, copies_once: bool = False, keep_first: bool = False, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
     """docs with columns {prefix}n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, words_left, clean_text, kept."""
-    v = _judged(docs, id_col, text_col, host_col, prefix, max_docs, max_share, min_left, min_words)
-    names = [f.name for f in v.schema[f"{prefix}v"].dataType]
-    return v.select(*docs.columns, *(F.col(f"{prefix}v.{n}").alias(f"{prefix}{n}") for n in names))
-
-
-def kept_documents(docs: DataFrame, *, max_docs: int = 20, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
-    """The documents that pass, without the lines of more than max_docs documents; text and n_chars follow, other columns stay."""
-    v = _judged(docs, "doc_id", "text", "source", "qr_", max_docs, None, min_left, min_words).where(F.col("qr_v.kept") & (F.col("qr_at") >= 0))
-    now = {"text": F.col("qr_v.clean_text")}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "words_left", "clean_text", "kept")
+    docs = unclashed(docs, *(f"{prefix}{n}" for n in names))
+    p = free_prefix(docs.columns, "qr_")
+    v = _judged(docs, id_col, text_col, host_col, p, min_left, min_words, keep_first=keep_first, max_docs=max_docs, max_share=max_share, copies_once=copies_once)
+    return v.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{p}v.{n}").alias(f"{prefix}{n}") for n in names))
+
+
+def kept_documents(docs: DataFrame, *, max_docs: int = 20, keep_first: bool = True, min_left: float = 0.2, min_words: int = 50) -> DataFrame:
+    """The documents that pass, without their frequent lines; text and n_chars follow, other columns stay. The first
+    document of a line keeps it, so that no text is lost with all of its copies."""
+    p = free_prefix(docs.columns, "qr_")
+    v = _judged(docs, "doc_id", "text", "source", p, min_left, min_words, keep_first=keep_first, max_docs=max_docs).where(F.col(f"{p}v.kept") & (F.col(f"{p}at") >= 0))
+    now = {"text": F.col(f"{p}v.clean_text")}
     if "n_chars" in docs.columns:
-        now["n_chars"] = F.when(F.col("qr_v.n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("qr_v.clean_text").cast(docs.schema["n_chars"].dataType))
-    return v.select(*(now[c].alias(c) if c in now else c for c in docs.columns))
+        now["n_chars"] = F.when(F.col(f"{p}v.n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length(f"{p}v.clean_text").cast(docs.schema["n_chars"].dataType))
+    return v.select(*(now[c].alias(c) if c in now else F.col(f"`{c}`") for c in docs.columns))

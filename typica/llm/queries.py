@@ -11,6 +11,9 @@ from typica.llm import decontaminate, mixing, neural_lm, oracles, quality_rules,
 from typica.llm.common import table, write_out
 
 
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "words_left")
+
+
 def op1_offset_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines with their tokens; a token across a line's end goes to the line with most of it."""
     found = token_offsets.section_tokens(table(spark, sf_dir, "documents"))
@@ -20,8 +23,7 @@ def op1_offset_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, base verdict and verdict after frequent lines are gone. Empty table: no rows."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "words_left")
-    return judged.select("doc_id", *(F.col(f"qr_{c}").alias(c) for c in names))
+    return judged.select("doc_id", *(F.col(f"qr_{c}").alias(c) for c in RULES))
 
 
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,24 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 where every host has lines in many documents: in every second one, and pages of nothing else."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + quality_rules.BOILERPLATE[0]))).otherwise(F.col("text"))
+    page = F.concat(F.lit("".join(x + "\n" for x in quality_rules.BOILERPLATE)), "lang", F.lit(" "), "source")
+    judged = quality_rules.quality_rules(docs.select("doc_id", line.alias("text"), "source").unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id"), page.alias("text"), "source")))
+    return judged.select("doc_id", *(F.col(f"qr_{c}").alias(c) for c in RULES))
+
+
+def branching_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of every conversation, whose turn k (from 1) is taken as a reply to turn k / 2."""
+    nodes = reply_trees.chains(table(spark, sf_dir, "conversations")).withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)))
+    nodes = write_out(nodes, "reply-nodes")
+    out = reply_trees.format_paths(reply_trees.tree_paths(nodes, top=2), nodes).withColumn("turns", reply_trees.read_back(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(F.col("tree").alias("conv_id"), "leaf", F.col("rank").cast("long").alias("rank"), F.size("turns").cast("long").alias("n_turns"), F.round("path_score", 6).alias("path_score"), F.sha2(said, 256).alias("turns_sha256"))
+
+
 def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, longest rule and verdict, by the rule or by the character models."""
     judged = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -90,7 +110,7 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_offset_tokens, op2_line_frequency, op3_reply_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups, op10_raked_mix)
+    own = (op1_offset_tokens, op2_line_frequency, planted_boilerplate, op3_reply_trees, branching_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups, op10_raked_mix)
     return {f.__name__: f for f in own}
 
 
