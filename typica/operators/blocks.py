@@ -1,15 +1,20 @@
-"""Numeric blocks: vectors between Arrow and numpy, and banks of vectors in broadcast blocks of bounded size."""
+"""Numeric blocks: vectors between Arrow and numpy, scans with a broadcast block, and folds over all pairs of two tables.
+
+A bank of at most BANK_ROWS rows is broadcast. A larger one never passes through the driver: both sides are dealt into blocks
+on the executors, and a task holds one block of queries while a share of the bank streams past it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a bank that are broadcast at once: 50 000 vectors of 64 doubles are 25 MB.
+#: Rows of a bank that are broadcast, and of queries that a task holds: 50 000 vectors of 64 doubles are 25 MB.
 BANK_ROWS = 50_000
 #: Queries times bank rows of a distance matrix in a worker: 32 MB.
 CELLS = 4_000_000
@@ -41,16 +46,99 @@ def distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(d2)
 
 
-def bank_blocks(bank: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
-    """The bank in blocks of at most about BANK_ROWS rows, dealt by the hash of its first column, one at a time."""
-    rows = bank.select(*columns)
-    first = rows.limit(BANK_ROWS + 1).toArrow()
-    if first.num_rows <= BANK_ROWS:
-        yield first
-        return
-    n = -(-rows.count() // BANK_ROWS)
-    for k in range(n):
-        yield rows.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k).toArrow()
+@dataclass
+class Fold:
+    """What is worked out about a query row over all bank rows.
+
+    start(n): state columns for n queries, each an array of n rows; step(state, query columns, bank columns): the state after
+    these bank rows; finish(state): output columns by name; out: their names and types; merge: by name how Spark puts the
+    outputs of several shares of the bank together.
+    """
+
+    start: Callable[[int], dict]
+    step: Callable[[dict, list, list], dict]
+    finish: Callable[[dict], dict]
+    out: list[tuple[str, str]]
+    merge: Callable[[], dict]
+
+
+def small(rows: DataFrame, most: int) -> pa.Table | None:
+    """rows, if they are at most so many."""
+    held = rows.limit(most + 1).toArrow()
+    return held if held.num_rows <= most else None
+
+
+def columns_of(t: pa.Table | pa.RecordBatch) -> list:
+    """Columns as numpy: vectors as a matrix."""
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return [matrix(flat(c)) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy() for c in t.columns]
+
+
+def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """queries' columns and fold.out, one row per row of queries, whatever their ids. The first columns are id and v.
+
+    A bank of at most BANK_ROWS rows is broadcast, and queries pass it without a shuffle. Else queries and bank are dealt by
+    row: a task has one of the blocks of queries and one of the shares of the bank, and the shares' outputs are merged by
+    the number of the query's row. sizes: rows of both, where they are dear to work out and known from elsewhere.
+    """
+    names, theirs, schema = queries.columns, bank.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`{n}` {t}" for n, t in fold.out)])
+    held = small(bank, BANK_ROWS) if sizes is None or sizes[1] <= BANK_ROWS else None
+    if held is not None:
+        sent = queries.sparkSession.sparkContext.broadcast(columns_of(held))
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    state = fold.start(b.num_rows)
+                    if len(sent.value[0]):
+                        state = fold.step(state, columns_of(b), sent.value)
+                    done = fold.finish(state)
+                    yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(done[n], type=KINDS[t]) for n, t in fold.out)], [*names, *(n for n, _ in fold.out)])
+
+        return queries.mapInArrow(one, schema)
+
+    blocks = max(1, -(-(queries.count() if sizes is None else sizes[0]) // BANK_ROWS))
+    shares = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // blocks))
+    place = lambda d, n: F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(n)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = queries.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("q")).withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).withColumn("share", every(shares))
+    other = bank.select(F.struct(*bank.columns).alias("b"), place(bank, shares).alias("share")).withColumn("block", every(blocks))
+    both = mine.select("block", "share", F.lit(0).alias("side"), "row", "q", F.lit(None).cast(other.schema["b"].dataType).alias("b"))
+    both = both.unionByName(other.select("block", "share", F.lit(1).alias("side"), F.lit(None).cast("long").alias("row"), F.lit(None).cast(mine.schema["q"].dataType).alias("q"), "b"))
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked, cols, state = None, [], None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if asked:
+                ready = pa.Table.from_batches(asked)
+                out = fold.finish(state if cols is not None else fold.start(ready.num_rows))
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in ready.columns), *(pa.array(out[n], type=KINDS[t]) for n, t in fold.out)], ["row", *names, *(n for n, _ in fold.out)])
+
+        for whole in batches:
+            key = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), whole.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                b, at = whole.slice(lo, hi - lo), tuple(key[lo, :2])
+                if at != own:
+                    yield from done()
+                    own, asked, cols, state = at, [], None, None
+                if key[lo, 2] == 0:
+                    asked.append(pa.RecordBatch.from_arrays([b.column(3), *b.column(4).flatten()], ["row", *names]))
+                elif asked:
+                    if cols is None:
+                        cols = columns_of(pa.Table.from_batches(asked).select(names))
+                        state = fold.start(len(cols[0]))
+                    state = fold.step(state, cols, columns_of(pa.RecordBatch.from_arrays(b.column(5).flatten(), theirs)))
+        yield from done()
+
+    parts = both.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side").mapInArrow(many, f"row bigint, {schema}")
+    if shares == 1:
+        return parts.drop("row")
+    merged = parts.groupBy("row").agg(F.first(F.struct(*names)).alias("q"), *(c.alias(n) for n, c in fold.merge().items()))
+    return merged.select(*(F.col(f"q.{n}").alias(n) for n in names), *(n for n, _ in fold.out))
 
 
 def scan(queries: DataFrame, block: object, work: Callable, out: list[tuple[str, str]]) -> DataFrame:

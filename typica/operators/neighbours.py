@@ -1,51 +1,62 @@
-"""Exact nearest neighbours: query rows against a bank that is broadcast block by block.
+"""Exact nearest neighbours: query rows against a bank, in folds over pairs that are never written. Rows are (id, v).
 
-A bank of one block is one pass without any shuffle; a larger one is one pass per block, of which only the k best per query
-are merged. Rows are (id, v).
+Every query row has its own result, also where ids repeat or are null.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, bank_blocks, distances, matrix, scan
+from typica.operators.blocks import CELLS, Fold, distances, fold_pairs
 
 
-def k_smallest(queries: DataFrame, bank: DataFrame, k: int, metric: str = "euclidean", *, with_ids: bool = False, same: bool = False) -> DataFrame:
-    """(id, d[, ids]): the distances to the k nearest bank rows, ascending; fewer if the bank is smaller.
+def nearest(k: int, metric: str, with_ids: bool) -> Fold:
+    """d, and ids, of the k nearest bank rows, ascending; ties in order of the bank's ids."""
 
-    same: queries and bank are one set; a row then meets itself at distance exactly zero.
-    """
-    out = [("d", "array<double>")] + [("ids", "array<bigint>")] * with_ids
-
-    def work(block, ids, v, _):
-        own, b = block
-        mine, step = np.asarray(ids.to_numpy(zero_copy_only=False)), max(1, CELLS // max(1, len(b)))
-        d_out, i_out = [], []
-        for lo in range(0, len(v), step):
-            d = distances(v[lo : lo + step], b, metric)
-            if same:
-                d[mine[lo : lo + step, None] == own[None, :]] = 0.0
+    def start(n: int) -> dict:
+        return {"d": np.empty((n, 0)), "ids": np.empty((n, 0), np.int64)}
+
+    def step(state: dict, q: list, b: list) -> dict:
+        v, (own, bank) = q[1], b[:2]
+        d_out, i_out, size = [], [], max(1, CELLS // max(1, len(bank)))
+        for lo in range(0, len(v), size):
+            d = np.concatenate((state["d"][lo : lo + size], distances(v[lo : lo + size], bank, metric)), axis=1)
+            ids = np.concatenate((state["ids"][lo : lo + size], np.broadcast_to(own, (len(d), len(own)))), axis=1) if with_ids else None
             n = min(k, d.shape[1])
-            at = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(n), (len(d), 1))
-            part = np.take_along_axis(d, at, 1)
-            order = np.lexsort((own[at], part), axis=1)
-            d_out += list(np.take_along_axis(part, order, 1))
-            i_out += list(own[np.take_along_axis(at, order, 1)]) if with_ids else []
-        return {"d": d_out, "ids": i_out}
-
-    parts = [scan(queries, (t.column(0).to_numpy(), matrix(t.column(1).combine_chunks())), work, out) for t in bank_blocks(bank, ["id", "v"]) if t.num_rows]
-    if not parts:
-        return queries.select("id", F.array().cast("array<double>").alias("d"), *([F.array().cast("array<bigint>").alias("ids")] if with_ids else []))
-    if len(parts) == 1:
-        return parts[0]
-    both = F.flatten(F.collect_list(F.arrays_zip("d", "ids") if with_ids else F.col("d")))
-    best = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.slice(F.sort_array(both), 1, k).alias("x"))
-    return best.select("id", F.col("x.d").alias("d"), F.col("x.ids").alias("ids")) if with_ids else best.select("id", F.col("x").alias("d"))
+            if with_ids:
+                at = np.lexsort((ids, d), axis=1)[:, :n] if n < d.shape[1] and _tied(d, n) else np.argpartition(d, n - 1, axis=1)[:, :n]
+                part, named = np.take_along_axis(d, at, 1), np.take_along_axis(ids, at, 1)
+                order = np.lexsort((named, part), axis=1)
+                d_out.append(np.take_along_axis(part, order, 1))
+                i_out.append(np.take_along_axis(named, order, 1))
+            else:
+                d_out.append(np.sort(np.partition(d, n - 1, axis=1)[:, :n], axis=1))
+        return {"d": np.concatenate(d_out), "ids": np.concatenate(i_out) if with_ids else np.empty((len(v), 0), np.int64)}
+
+    def finish(state: dict) -> dict:
+        return {"d": list(state["d"]), "ids": list(state["ids"])}
+
+    def merge() -> dict[str, Column]:
+        if not with_ids:
+            return {"d": F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k)}
+        best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d", "ids")))), 1, k)
+        return {"d": F.transform(best, lambda x: x["d"]), "ids": F.transform(best, lambda x: x["ids"])}
+
+    return Fold(start, step, finish, [("d", "array<double>")] + [("ids", "array<bigint>")] * with_ids, merge)
+
+
+def _tied(d: np.ndarray, n: int) -> bool:
+    """Whether some row has equal values on both sides of its n-th place."""
+    two = np.partition(d, (n - 1, n), axis=1)[:, n - 1 : n + 1]
+    return bool((two[:, 0] == two[:, 1]).any())
+
+
+def k_smallest(queries: DataFrame, bank: DataFrame, k: int, metric: str = "euclidean", *, with_ids: bool = False) -> DataFrame:
+    """(id, d[, ids]), one row per query row: the distances to the k nearest bank rows, ascending; fewer if the bank is smaller."""
+    found = fold_pairs(queries.select("id", "v"), bank.select("id", "v"), nearest(k, metric, with_ids))
+    return found.select("id", "d", *(["ids"] if with_ids else []))
 
 
 def mean_distance(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:
@@ -65,10 +76,17 @@ def top_similarity(queries: DataFrame, bank: DataFrame, k: int = 100) -> DataFra
     return near.select("id", (-_mean(F.col("d"))).alias("mean_sim"), (-F.element_at("d", -1)).alias("min_sim"))
 
 
+def with_radii(rows: DataFrame, k: int) -> DataFrame:
+    """(id, v, radius), one row per row: the distance to the k-th nearest other row; to the farthest if there are fewer.
+
+    A row meets itself at distance zero, which is one of the k + 1 smallest.
+    """
+    near = fold_pairs(rows.select("id", "v"), rows.select("id", "v"), nearest(k + 1, "euclidean", False))
+    return near.select("id", "v", F.element_at("d", -1).alias("radius"))
+
+
 def radii(rows: DataFrame, k: int) -> DataFrame:
-    """(id, radius): the distance to the k-th nearest other row; to the farthest if there are fewer."""
-    near = k_smallest(rows, rows, k + 1, same=True)
-    return near.select("id", F.element_at("d", -1).alias("radius"))
+    return with_radii(rows, k).select("id", "radius")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, top: int) -> DataFrame:

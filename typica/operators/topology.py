@@ -1,54 +1,50 @@
 """Neighbourhood topology of a batch against a reference: recall, density, precision, coverage.
 
-Radii of queries come from their own batch, so a row's features depend on its batch mates. Pairs are never written: each
-block of the reference adds counts per query.
+Radii of queries come from their own batch, so a row's features depend on its batch mates. Pairs are never written: counts
+are folded per query row over the reference.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, bank_blocks, distances, matrix, scan
-from typica.operators.neighbours import radii
+from typica.operators.blocks import CELLS, Fold, distances, fold_pairs
+from typica.operators.neighbours import with_radii
+
+
+def _counts() -> Fold:
+    """How many reference rows lie within the query's radius, within how many of their own radii it lies, and the nearest."""
+
+    def start(n: int) -> dict:
+        return {"in_query": np.zeros(n, np.int64), "in_ref": np.zeros(n, np.int64), "nearest": np.full(n, np.inf), "seen": np.zeros(n, np.int64)}
+
+    def step(state: dict, q: list, b: list) -> dict:
+        (_, v, radius), (_, bank, theirs), size = q, b, max(1, CELLS // max(1, len(b[1])))
+        for lo in range(0, len(v), size):
+            d, at = distances(v[lo : lo + size], bank, "euclidean"), slice(lo, lo + size)
+            state["in_query"][at] += (d < radius[at, None]).sum(1)
+            state["in_ref"][at] += (d < theirs[None, :]).sum(1)
+            state["nearest"][at] = np.minimum(state["nearest"][at], d.min(1))
+            state["seen"][at] += len(bank)
+        return state
+
+    out = [("in_query", "bigint"), ("in_ref", "bigint"), ("nearest", "double"), ("seen", "bigint")]
+    return Fold(start, step, lambda s: s, out, lambda: {"in_query": F.sum("in_query"), "in_ref": F.sum("in_ref"), "nearest": F.min("nearest"), "seen": F.sum("seen")})
 
 
 def topology(queries: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
-    """(id, recall, density, precision, coverage) per query; both inputs are (id, v). All comparisons are strict."""
-    ref = reference.join(radii(reference, k), "id")
-    own = queries.join(radii(queries, k), "id").select("id", "v", "radius")
-
-    def work(block, _, v, further):
-        b, r = block
-        mine, step = further[0].to_numpy(zero_copy_only=False), max(1, CELLS // max(1, len(b)))
-        cols: dict[str, list] = {"in_query": [], "in_ref": [], "nearest": []}
-        for lo in range(0, len(v), step):
-            d = distances(v[lo : lo + step], b, "euclidean")
-            cols["in_query"].append((d < mine[lo : lo + step, None]).sum(1))
-            cols["in_ref"].append((d < r[None, :]).sum(1))
-            cols["nearest"].append(d.min(1))
-        return {n: np.concatenate(x) for n, x in cols.items()}
-
-    out = [("in_query", "bigint"), ("in_ref", "bigint"), ("nearest", "double")]
-    parts, n = [], 0
-    for t in bank_blocks(ref, ["id", "v", "radius"]):
-        if t.num_rows:
-            n += t.num_rows
-            parts.append(scan(own, (matrix(t.column(1).combine_chunks()), t.column(2).to_numpy()), work, out))
-    if not parts:
-        raise ValueError("empty reference")
-    all_parts = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        all_parts = all_parts.groupBy("id").agg(F.sum("in_query").alias("in_query"), F.sum("in_ref").alias("in_ref"), F.min("nearest").alias("nearest"))
-    found = all_parts.join(own.select("id", "radius"), "id")
-    return found.select("id", (F.col("in_query") / float(n)).alias("recall"), (F.col("in_ref") / float(k)).alias("density"), (F.col("in_ref") > 0).cast("double").alias("precision"), (F.col("nearest") < F.col("radius")).cast("double").alias("coverage"))
+    """(id, recall, density, precision, coverage), one row per query row; both inputs are (id, v). All comparisons are strict."""
+    sizes = (queries.count(), reference.count())  # of the plain rows: their radii are worked out once
+    found = fold_pairs(with_radii(queries, k), with_radii(reference, k), _counts(), sizes)
+    seen = F.when(F.col("seen") > 0, F.col("seen")).otherwise(F.raise_error(F.lit("empty reference")).cast("long"))
+    return found.select("id", (F.col("in_query") / seen).alias("recall"), (F.col("in_ref") / float(k)).alias("density"), (F.col("in_ref") > 0).cast("double").alias("precision"), (F.col("nearest") < F.col("radius")).cast("double").alias("coverage"))
 
 
 def model_features(queries: dict[str, DataFrame], reference: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """(id, f): the four features of every model in order of the models' names, as one array."""
+    """(id, f): the four features of every model in order of the models' names, as one array. With several models ids join
+    their features, so they must be unique."""
     out = None
     for m in sorted(queries):
         t = topology(queries[m], reference[m], k).select("id", F.array("recall", "density", "precision", "coverage").alias(m))
