@@ -1,29 +1,99 @@
-"""Density detectors on small feature vectors: Gaussian mixtures with a BIC sweep, kernel density, linear one-class margin.
+"""Density detectors on feature vectors: Gaussian mixtures with a BIC sweep, kernel density, linear one-class margin.
 
-Fits run in numpy on a bounded sample of rows (FIT_ROWS, smallest id hashes; feature vectors are short); scores are one
+Fits take all rows. Each is a sequence of passes that add up sums over the rows (``Rows.sums``): rows that fit into one block
+are held by the driver, more are summed on the executors, pass by pass; the sums, and so the fits, are the same up to
+rounding. Only the starting points of mixtures come from a bounded sample (``SEED_ROWS``, smallest id hashes). Scores are one
 pass over all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, matrix, scan
+from typica.operators.blocks import CELLS, Fold, columns_of, fold_pairs, matrix, scan
 
-FIT_ROWS = 50_000
+#: Rows up to which the driver holds them, and from which mixtures take their starting points.
+HELD_ROWS, SEED_ROWS = 50_000, 50_000
+#: Places at which the partial sums of a pass meet before the driver adds them up.
+MEETING = 32
 
 
-def sample(rows: DataFrame, most: int = FIT_ROWS) -> np.ndarray:
+def sample(rows: DataFrame, most: int = SEED_ROWS) -> np.ndarray:
     """The most rows of the smallest id hashes; a bound on the hash first, so that tasks pass on few."""
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     near = rows.where(h < int((1 << 40) * min(1.0, (1.5 * most + 50) / max(1, rows.count()))))
     return matrix(near.orderBy(h, "id").limit(most).select("v").toArrow().column(0).combine_chunks())
 
 
+class Rows:
+    """Vectors to fit: a matrix, or a DataFrame (id, v, ...), which is cached for the passes if the driver can't hold it."""
+
+    def __init__(self, rows: np.ndarray | DataFrame, most: int | None = None):
+        self.frame: DataFrame | None = None
+        most = HELD_ROWS if most is None else most
+        if isinstance(rows, np.ndarray):
+            self.x, self.n = rows, len(rows)
+        else:
+            held = rows.select("id", "v").limit(most + 1).toArrow()
+            self.n = held.num_rows if held.num_rows <= most else rows.count()
+            if held.num_rows <= most:
+                self.x = columns_of(held)[1]
+            else:
+                self.frame = rows.select("id", "v").persist(StorageLevel.MEMORY_AND_DISK)
+                self.x = np.array([self.frame.first()["v"]], np.float64)
+        self.d = self.x.shape[1]
+
+    def some(self, most: int | None = None) -> np.ndarray:
+        """A bounded sample."""
+        most = SEED_ROWS if most is None else most
+        return self.x[:most] if self.frame is None else sample(self.frame, most)
+
+    def sums(self, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """work (of a matrix of some rows: a vector of sums), added up over all rows."""
+        if self.frame is None:
+            return np.sum([work(self.x[lo : lo + 20_000]) for lo in range(0, max(1, self.n), 20_000)], axis=0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    now = work(matrix(b.column(0)))
+                    total = now if total is None else total + now
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [matrix(b.column(0)).sum(0) for b in batches if b.num_rows]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))], ["x"])
+
+        parts = self.frame.select("v").mapInArrow(run, "x array<double>")
+        met = parts.repartition(MEETING, F.monotonically_increasing_id()).mapInArrow(meet, "x array<double>")
+        return np.sum([r["x"] for r in met.collect()], axis=0)  # MEETING rows at most
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and unbiased covariance, from sums about one of the rows."""
+        origin, d = self.x[0], self.d
+        s = self.sums(lambda x: np.concatenate(((x - origin).sum(0), ((x - origin).T @ (x - origin)).ravel())))
+        mean = s[:d] / self.n
+        return mean + origin, (s[d:].reshape(d, d) - self.n * np.outer(mean, mean)) / max(1, self.n - 1)
+
+    def done(self) -> None:
+        if self.frame is not None:
+            self.frame.unpersist()
+
+
+def as_rows(x: np.ndarray | DataFrame | Rows) -> Rows:
+    return x if isinstance(x, Rows) else Rows(x)
+
+
 @dataclass
 class Mixture:
     weights: np.ndarray
@@ -50,42 +120,85 @@ class Mixture:
         return np.log(total + 1e-45)
 
 
-def fit_mixture(x: np.ndarray, k: int, kind: str = "full", *, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6, seed: int = 42) -> Mixture:
-    """EM from spread-out starting rows. kind: full, tied, diag or spherical."""
-    n, d = x.shape
+def seeds(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """k rows; each next one is drawn by its squared distance to those before."""
     rng = np.random.default_rng(seed)
-    at = [int(rng.integers(n))]
-    for _ in range(k - 1):  # each next start is drawn by its squared distance to those before
-        far = np.min([((x - x[i]) ** 2).sum(1) for i in at], axis=0)
-        at.append(int(rng.choice(n, p=far / far.sum())) if far.sum() > 0 else int(rng.integers(n)))
-    near = np.argmin(np.stack([((x - x[i]) ** 2).sum(1) for i in at], 1), 1)
-    r = np.eye(k)[near]
-    before = -np.inf
-    for _ in range(rounds):
-        size = r.sum(0) + 1e-10
-        means = (r.T @ x) / size[:, None]
-        cov = np.empty((k, d, d))
-        for j in range(k):
-            g = x - means[j]
-            cov[j] = (g * r[:, j, None]).T @ g / size[j]
-        if kind == "tied":
-            cov[:] = np.einsum("k,kij->ij", size / size.sum(), cov)
-        elif kind == "diag":
-            cov = np.stack([np.diag(np.diag(c)) for c in cov])
-        elif kind == "spherical":
-            cov = np.stack([np.eye(d) * np.diag(c).mean() for c in cov])
-        elif kind != "full":
-            raise ValueError(f"covariance {kind!r}")
-        model = Mixture(size / size.sum(), means, cov + ridge * np.eye(d))
+    at = [int(rng.integers(len(x)))]
+    far = ((x - x[at[0]]) ** 2).sum(1)
+    for _ in range(k - 1):
+        at.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def _em_sums(model: Mixture | np.ndarray, x: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """Log likelihood, and per component the sums of shares, of rows and of their products about origin. model: a mixture,
+    or starting rows, to the nearest of which a row belongs."""
+    if isinstance(model, Mixture):
         p = model.log_parts(x)
         top = p.max(1, keepdims=True)
         e = np.exp(p - top)
         r = e / e.sum(1, keepdims=True)
-        now = float((top[:, 0] + np.log(e.sum(1))).mean())
-        if abs(now - before) < tolerance:
+        fit = float((top[:, 0] + np.log(e.sum(1))).sum())
+    else:
+        r = np.eye(len(model))[np.argmin(((x[:, None] - model[None]) ** 2).sum(-1), 1)] if len(x) else np.zeros((0, len(model)))
+        fit = 0.0
+    g = x - origin
+    return np.concatenate(([fit], r.sum(0), (r.T @ g).ravel(), np.einsum("nk,ni,nj->kij", r, g, g, optimize=True).ravel()))
+
+
+def _em_model(s: np.ndarray, k: int, d: int, kind: str, ridge: float, origin: np.ndarray) -> Mixture:
+    size = s[1 : 1 + k] + 1e-10
+    means = s[1 + k : 1 + k + k * d].reshape(k, d) / size[:, None]
+    cov = s[1 + k + k * d :].reshape(k, d, d) / size[:, None, None] - means[:, :, None] * means[:, None, :]
+    if kind == "tied":
+        cov = np.broadcast_to(np.einsum("k,kij->ij", size / size.sum(), cov), (k, d, d))
+    elif kind == "diag":
+        cov = np.stack([np.diag(np.diag(c)) for c in cov])
+    elif kind == "spherical":
+        cov = np.stack([np.eye(d) * np.diag(c).mean() for c in cov])
+    elif kind != "full":
+        raise ValueError(f"covariance {kind!r}")
+    return Mixture(size / size.sum(), means + origin, _positive(cov, ridge))
+
+
+def _positive(cov: np.ndarray, ridge: float) -> np.ndarray:
+    """The covariances with ridge added, once negative rounding errors of their eigenvalues are cut off."""
+    values, vectors = np.linalg.eigh((cov + np.swapaxes(cov, 1, 2)) / 2)
+    return np.einsum("kij,kj,klj->kil", vectors, np.maximum(values, 0.0) + ridge, vectors)
+
+
+def fit_mixtures(rows: np.ndarray | DataFrame | Rows, sizes: list[int], kind: str = "full", *, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6, seed: int = 42) -> list[tuple[Mixture, float]]:
+    """A mixture and its log likelihood for every size, by EM over all rows. A pass serves all sizes that still move.
+
+    kind: full, tied, diag or spherical.
+    """
+    rows = as_rows(rows)
+    some, origin, d = rows.some(), rows.moments()[0], rows.d
+    models: list[Mixture | np.ndarray] = [seeds(some, k, seed) for k in sizes]
+    before, moving, last = [-np.inf] * len(sizes), list(range(len(sizes))), [0.0] * len(sizes)
+    for t in range(rounds + 1):
+        now = [models[i] for i in moving]
+        cuts = np.cumsum([0, *(1 + sizes[i] * (1 + d + d * d) for i in moving)])
+        sums = rows.sums(lambda x, now=now: np.concatenate([_em_sums(m, x, origin) for m in now]))
+        still = []
+        for i, lo, hi in zip(moving, cuts, cuts[1:], strict=False):
+            s, fit = sums[lo:hi], float(sums[lo]) / rows.n
+            if t:
+                last[i] = float(s[0])
+                if abs(fit - before[i]) < tolerance or t == rounds:
+                    continue
+                before[i] = fit
+            models[i] = _em_model(s, sizes[i], d, kind, ridge, origin)
+            still.append(i)
+        moving = still
+        if not moving:
             break
-        before = now
-    return model
+    return list(zip(models, last, strict=True))
+
+
+def fit_mixture(rows: np.ndarray | DataFrame | Rows, k: int, kind: str = "full", **options) -> Mixture:
+    return fit_mixtures(rows, [k], kind, **options)[0][0]
 
 
 def n_parameters(k: int, d: int, kind: str) -> int:
@@ -93,11 +206,12 @@ def n_parameters(k: int, d: int, kind: str) -> int:
     return cov + k * d + k - 1
 
 
-def best_mixture(x: np.ndarray, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64), kind: str = "full") -> Mixture:
+def best_mixture(rows: np.ndarray | DataFrame | Rows, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64), kind: str = "full") -> Mixture:
     """The size of the lowest BIC among those that the rows allow."""
-    fits = [fit_mixture(x, k, kind) for k in sizes if k <= len(x)]
-    bic = [-2 * f.log_density(x).sum() + n_parameters(len(f.weights), x.shape[1], kind) * np.log(len(x)) for f in fits]
-    return fits[int(np.argmin(bic))]
+    rows = as_rows(rows)
+    fits = fit_mixtures(rows, [k for k in sizes if k <= rows.n], kind)
+    bic = [-2 * fit + n_parameters(len(m.weights), rows.d, kind) * np.log(rows.n) for m, fit in fits]
+    return fits[int(np.argmin(bic))][0]
 
 
 def mixture_score(rows: DataFrame, model: Mixture, *, raw: bool = False) -> DataFrame:
@@ -109,51 +223,138 @@ def mixture_score(rows: DataFrame, model: Mixture, *, raw: bool = False) -> Data
 
 @dataclass
 class Kernel:
-    points: np.ndarray
+    """points: a matrix, or a DataFrame (id, v) of any size."""
+
+    points: np.ndarray | DataFrame
+    n: int
     inverse_root: np.ndarray
     log_norm: float
 
 
-def fit_kernel(x: np.ndarray) -> Kernel:
-    """Scott's bandwidth on the unbiased covariance."""
-    n, d = x.shape
-    h = n ** (-1.0 / (d + 4))
-    root = np.linalg.cholesky(np.atleast_2d(np.cov(x.T)) * h * h + 1e-6 * np.eye(d))
-    return Kernel(x, np.linalg.inv(root), float(-0.5 * d * np.log(2 * np.pi) - np.log(np.diag(root)).sum()))
+def fit_kernel(x: np.ndarray | DataFrame) -> Kernel:
+    """Scott's bandwidth on the unbiased covariance of all rows."""
+    rows = Rows(x)
+    d, h = rows.d, rows.n ** (-1.0 / (rows.d + 4))
+    root = np.linalg.cholesky(np.atleast_2d(rows.moments()[1]) * h * h + 1e-6 * np.eye(d))
+    rows.done()
+    return Kernel(x if rows.frame is not None else rows.x, rows.n, np.linalg.inv(root), float(-0.5 * d * np.log(2 * np.pi) - np.log(np.diag(root)).sum()))
 
 
 def kernel_score(rows: DataFrame, model: Kernel) -> DataFrame:
-    """log(density + 1e-10), blockwise."""
+    """log(density + 1e-10): kernels are summed over all points, in blocks."""
+    root, norm, n = model.inverse_root.T, model.log_norm, model.n
+
+    def step(state: dict, q: list, b: list) -> dict:
+        v, own, size = q[1] @ root, b[1] @ root, max(1, CELLS // max(1, len(b[1])))
+        for lo in range(0, len(v), size):
+            part = v[lo : lo + size]
+            d2 = np.maximum(0, (part * part).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * part @ own.T)
+            state["total"][lo : lo + size] += np.exp(norm - 0.5 * d2).sum(1)
+        return state
+
+    points = model.points
+    if isinstance(points, np.ndarray):
+        points = rows.sparkSession.createDataFrame(pa.table({"id": np.arange(len(points)), "v": pa.array(list(points), pa.list_(pa.float64()))}))
+    fold = Fold(lambda k: {"total": np.zeros(k)}, step, lambda s: s, [("total", "double")], lambda: {"total": F.sum("total")})
+    found = fold_pairs(rows.select("id", "v"), points.select("id", "v"), fold)
+    return found.select("id", F.ln(F.col("total") / n + 1e-10).alias("score"))
+
+
+#: Ranges of a margin's values by which a pass finds its low end.
+BINS = 1024
+
+
+def _low_ends(rows: Rows, ws: list[np.ndarray], nus: list[float], reach: float) -> list[tuple[np.ndarray, float, float]]:
+    """Per w the mean row of the nu share with the lowest w.x, the mean of w.x over it, and the value up to which it goes.
+
+    One pass counts rows and adds them up by ranges of w.x; of the range at the edge every row counts with an equal part.
+    """
+    d, tops = rows.d, [max(1e-12, float(np.linalg.norm(w)) * reach) for w in ws]
+
+    def work(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ws), BINS, 1 + d))
+        for k, (w, top) in enumerate(zip(ws, tops, strict=True)):
+            at = np.clip(((x @ w + top) * (BINS / (2 * top))).astype(np.int64), 0, BINS - 1)
+            out[k, :, 0] = np.bincount(at, minlength=BINS)
+            for j in range(d):
+                out[k, :, 1 + j] = np.bincount(at, x[:, j], BINS)
+        return out.ravel()
+
+    found = []
+    for s, w, nu, top in zip(rows.sums(work).reshape(len(ws), BINS, 1 + d), ws, nus, tops, strict=True):
+        want, n = nu * rows.n, s[:, 0]
+        before = np.concatenate(([0.0], np.cumsum(n)[:-1]))
+        part = np.clip(np.divide(want - before, n, out=np.zeros(BINS), where=n > 0), 0.0, 1.0)
+        edge = int(np.flatnonzero(part > 0)[-1])
+        mean = (s[:, 1:] * part[:, None]).sum(0) / want
+        found.append((mean, float(mean @ w), (edge + part[edge]) * 2 * top / BINS - top))
+    return found
+
+
+def fit_one_classes(rows: np.ndarray | DataFrame | Rows, nus: tuple[float, ...], *, rounds: int = 200, tolerance: float = 1e-6) -> list[tuple[np.ndarray, float]]:
+    """Linear one-class margins (w, rho) at the optimum of 0.5 |w|^2 - rho + mean(max(0, rho - w.x)) / nu.
+
+    The optimal w is the shortest vector in the hull of all means of nu shares of the rows. Wolfe's algorithm finds it: the
+    mean of the share with the lowest w.x joins the corners, and w moves to the shortest vector between them, until no share
+    lies lower. A pass over the rows serves all nus that still move; nothing is drawn at random.
+    """
+    rows = as_rows(rows)
+    mean, reach = rows.moments()[0], float(np.sqrt(_largest(rows)))
+    ws: list[np.ndarray] = [mean.copy() for _ in nus]
+    corners: list[np.ndarray] = [np.empty((0, rows.d)) for _ in nus]
+    weights: list[np.ndarray] = [np.empty(0) for _ in nus]
+    moving = list(range(len(nus)))
+    for _ in range(rounds):
+        still = []
+        for i, (v, low, _) in zip(moving, _low_ends(rows, [ws[i] for i in moving], [nus[i] for i in moving], reach), strict=True):
+            if len(corners[i]) and ws[i] @ ws[i] - low <= tolerance * max(1.0, ws[i] @ ws[i]):
+                continue
+            size = len(corners[i])
+            corners[i], weights[i] = shortest(np.vstack([corners[i], v]), np.append(weights[i], 0.0 if size else 1.0))
+            ws[i] = weights[i] @ corners[i]
+            still.append(i)
+        moving = still
+        if not moving:
+            break
+    return [(w, rho) for w, (_, _, rho) in zip(ws, _low_ends(rows, ws, list(nus), reach), strict=True)]
 
-    def work(block, _, v, __):
-        b, q, out = block.points @ block.inverse_root.T, v @ block.inverse_root.T, []
-        step = max(1, CELLS // max(1, len(b)))
-        for lo in range(0, len(q), step):
-            part = q[lo : lo + step]
-            d2 = np.maximum(0, (part * part).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * part @ b.T)
-            out.append(np.exp(block.log_norm - 0.5 * d2).mean(1))
-        return {"score": np.log(np.concatenate(out) + 1e-10)}
 
-    return scan(rows, model, work, [("score", "double")])
+def _largest(rows: Rows) -> float:
+    """The largest squared length of a row, rounded up to a power of two, from counts per power."""
+    n = rows.sums(lambda x: np.bincount(np.clip(np.frexp((x * x).sum(1))[1] + 512, 0, 1535), minlength=1536).astype(np.float64))
+    return 2.0 ** (int(np.flatnonzero(n)[-1]) - 512) if n.any() else 1.0
 
 
-def fit_one_class(x: np.ndarray, nu: float, *, steps: int = 1000, rate: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Linear one-class margin by Adam on 0.5 |w|^2 - rho + mean(max(0, rho - w.x)) / nu."""
-    rng = np.random.default_rng(seed)
-    p = np.append(rng.normal(size=x.shape[1]), 0.0)
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, steps + 1):
-        short = (p[-1] - x @ p[:-1]) > 0
-        g = np.append(p[:-1] - x[short].sum(0) / (nu * len(x)), -1 + short.sum() / (nu * len(x)))
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return p[:-1], float(p[-1])
+def shortest(corners: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners, and their weights, that the shortest vector of their hull lies between; the last corner is new."""
+    while True:
+        k = len(corners)
+        system = np.block([[corners @ corners.T, np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+        free = np.linalg.lstsq(system, np.append(np.zeros(k), 1.0), rcond=None)[0][:k]
+        if (free > 1e-12).all():
+            return corners, free / free.sum()
+        down = free <= 1e-12
+        gap = np.where(down, weights - free, 1.0)
+        step = float(np.min(np.where(down, weights / np.maximum(gap, 1e-300), 1.0)))
+        weights = np.maximum(0.0, weights + min(1.0, step) * (free - weights))
+        keep = weights > 1e-12
+        if keep.all():
+            keep[int(np.argmin(np.where(down, weights, np.inf)))] = False
+        if not keep.any():
+            keep[-1], weights[-1] = True, 1.0
+        corners, weights = corners[keep], weights[keep] / weights[keep].sum()
 
 
-def best_one_class(x: np.ndarray, nus: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2, 0.5)) -> tuple[np.ndarray, float]:
+def fit_one_class(x: np.ndarray | DataFrame | Rows, nu: float) -> tuple[np.ndarray, float]:
+    return fit_one_classes(x, (nu,))[0]
+
+
+def best_one_class(x: np.ndarray | DataFrame | Rows, nus: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2, 0.5)) -> tuple[np.ndarray, float]:
     """The nu that accepts most training rows, the first of equals."""
-    fits = [fit_one_class(x, nu) for nu in nus]
-    return fits[int(np.argmax([((x @ w - r) > 0).mean() for w, r in fits]))]
+    rows = as_rows(x)
+    fits = fit_one_classes(rows, nus)
+    accepted = rows.sums(lambda m: np.array([(m @ w - r >= 0).sum() for w, r in fits], np.float64))
+    return fits[int(np.argmax(accepted))]
 
 
 def one_class_score(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -163,26 +364,30 @@ def one_class_score(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
     return scan(rows, model, work, [("score", "double")])
 
 
-def reduction(x: np.ndarray, how: str, dim: int, labels: np.ndarray | None = None) -> np.ndarray:
-    """(d, dim) directions: none, pca, or lda (padded with zeros); applied without centring."""
-    d = x.shape[1]
+def reduction(x: np.ndarray | DataFrame | Rows, how: str, dim: int, labels: np.ndarray | None = None, classes: list[DataFrame] | None = None) -> np.ndarray:
+    """(d, dim) directions: none, pca, or lda (padded with zeros); applied without centring. lda takes labels of a matrix, or
+    classes as DataFrames (id, v) instead of x."""
+    if how == "lda" and (labels is not None or classes is not None):
+        groups = [Rows(x[labels == y]) for y in np.unique(labels)] if classes is None else [Rows(c) for c in classes]
+        found = [(g.n, *g.moments()) for g in groups]
+        for g in groups:
+            g.done()
+        d, total = groups[0].d, sum(n for n, _, _ in found)
+        centre = sum(n * m for n, m, _ in found) / total
+        within = sum((n - 1) * c for n, _, c in found)
+        between = sum(n * np.outer(m - centre, m - centre) for n, m, _ in found)
+        values, vectors = np.linalg.eig(np.linalg.pinv(within) @ between)
+        keep = np.argsort(-values.real)[: min(dim, len(groups) - 1)]
+        out = np.zeros((d, dim))
+        out[:, : len(keep)] = vectors[:, keep].real
+        return out
+    rows = as_rows(x)
     if how == "none":
-        return np.eye(d)
+        return np.eye(rows.d)
     if how == "pca":
-        _, vectors = np.linalg.eigh(np.cov(x.T))
+        _, vectors = np.linalg.eigh(rows.moments()[1])
         return np.ascontiguousarray(vectors[:, ::-1][:, :dim])
-    if how != "lda" or labels is None:
-        raise ValueError(f"reduction {how!r}")
-    centre, within, between = x.mean(0), np.zeros((d, d)), np.zeros((d, d))
-    for y in np.unique(labels):
-        g = x[labels == y]
-        within += (g - g.mean(0)).T @ (g - g.mean(0))
-        between += len(g) * np.outer(g.mean(0) - centre, g.mean(0) - centre)
-    values, vectors = np.linalg.eig(np.linalg.pinv(within) @ between)
-    keep = np.argsort(-values.real)[: min(dim, len(np.unique(labels)) - 1)]
-    out = np.zeros((d, dim))
-    out[:, : len(keep)] = vectors[:, keep].real
-    return out
+    raise ValueError(f"reduction {how!r}")
 
 
 def project(rows: DataFrame, directions: np.ndarray) -> DataFrame:

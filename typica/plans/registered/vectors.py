@@ -238,7 +238,7 @@ d AS (SELECT q.id, exp(-0.5::DOUBLE * (syy * (q.v[1] - ref.v[1]) * (q.v[1] - ref
 SELECT id AS vec_id, round(ln(avg(k) + 1e-10), 6) AS score FROM d GROUP BY id""")
 def kde_logpdf_lowdim(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = train(spark, sf_dir, 2).where("id % 2 = 0")
-    return out(density.kernel_score(vecs(batch(spark, sf_dir, 2)), density.fit_kernel(density.sample(vecs(ref)))))
+    return out(density.kernel_score(vecs(batch(spark, sf_dir, 2)), density.fit_kernel(vecs(ref))))
 
 
 @query(f"""WITH {E}, g AS (SELECT label % 2 AS k, avg(v[1]) AS mx, avg(v[2]) AS my FROM tr GROUP BY k), c AS (SELECT var_pop(v[1]) AS sxx, var_pop(v[2]) AS syy, covar_pop(v[1], v[2]) AS sxy FROM tr),
@@ -296,18 +296,17 @@ def vim_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gmm_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight tied components on the first principal directions, uncentred."""
     t = vecs(train(spark, sf_dir))
-    directions = density.reduction(density.sample(t), "pca", 8)
+    directions = density.reduction(t, "pca", 8)
     low = density.project(t, directions)
-    return out(density.mixture_score(density.project(vecs(batch(spark, sf_dir)), directions), density.fit_mixture(density.sample(low), 8, "tied")))
+    return out(density.mixture_score(density.project(vecs(batch(spark, sf_dir)), directions), density.fit_mixture(low, 8, "tied")))
 
 
 @query()
 def gmm_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagonal components on the directions that separate training rows from the background, without normalisers."""
     t, b = vecs(train(spark, sf_dir)), vecs(background(spark, sf_dir))
-    x, y = density.sample(t), density.sample(b)
-    directions = density.reduction(np.vstack([x, y]), "lda", 1, np.repeat([1, 0], [len(x), len(y)]))
-    model = density.fit_mixture(x @ directions, 4, "diag")
+    directions = density.reduction(t, "lda", 1, classes=[b, t])
+    model = density.fit_mixture(density.project(t, directions), 4, "diag")
     return out(density.mixture_score(density.project(vecs(batch(spark, sf_dir)), directions), model, raw=True))
 
 
