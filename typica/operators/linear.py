@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from typica.functions import vectors as V
 from typica.operators.blocks import matrix, scan
 from typica.operators.neighbours import k_smallest
-from typica.operators.order import places
+from typica.operators.order import percentiles, places
 from typica.plans import metrics
 
 
@@ -152,7 +152,7 @@ def every_other(rows: DataFrame) -> DataFrame:
 
 def rectified(rows: DataFrame, fit: DataFrame, m: Margin, percent: float = 90.0) -> DataFrame:
     """Activations cut at a percentile of all those of every other fitted row, then log(2 cosh l)."""
-    t = every_other(fit).select(F.explode("v").alias("x")).select(F.percentile("x", F.lit(percent / 100))).first()[0]
+    t = percentiles(every_other(fit).select(F.explode("v").alias("x")), [percent / 100], "x")[0]
     return rows.select("id", V.log_2cosh(m.of(V.clipped(F.col("v"), float(t)))).alias("score"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,13 @@ class TypicalityDetector:
     def fit(self, train: dict[str, DataFrame]) -> TypicalityDetector:
         """The reference half is the bank; the other half's features train the density and set the threshold."""
         self.reference = self._half(train, 0)
-        features = model_features(self._half(train, 1), self.reference, self.k).select("id", F.col("f").alias("v"))
-        x = density.sample(features)
-        self.model = {"gmm": density.best_mixture, "kde": density.fit_kernel, "ocsvm": density.best_one_class}[self.method](x)
-        self.threshold = 0.0 if self.method == "ocsvm" else metrics.percentile(self._score(features), self.percent / 100)
+        features = model_features(self._half(train, 1), self.reference, self.k).select("id", F.col("f").alias("v")).persist()
+        try:  # the features of all pairs are worked out once
+            self.model = {"gmm": density.best_mixture, "kde": density.fit_kernel, "ocsvm": density.best_one_class}[self.method](density.Rows(features) if self.method != "kde" else features)
+            self.threshold = 0.0 if self.method == "ocsvm" else metrics.percentile(self._score(features), self.percent / 100)
+        finally:
+            if self.method != "kde" or not hasattr(self, "model") or isinstance(self.model.points, np.ndarray):
+                features.unpersist()  # a kernel density of more points than the driver holds goes on reading them
         return self
 
     def _score(self, features: DataFrame) -> DataFrame:
@@ -60,6 +64,9 @@ class TypicalityDetector:
         return metrics.all_metrics(scores)
 
 
+WITH_MARGIN = ("fdbd", "react", "nnguide", "adascale", "openmax", "vim")
+
+
 def _margin(fit: DataFrame, background: DataFrame, options: dict) -> linear.Margin:
     return options.pop("margin", None) or linear.logistic_margin(fit, background)
 
@@ -77,7 +84,7 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "adascale": lambda r, f, b, **o: linear.adaptive_scale(r, f, _margin(f, b, o), **o),
     "openmax": lambda r, f, b, **o: linear.open_max(r, f, b, _margin(f, b, o), **o),
     "vim": lambda r, f, b, **o: linear.virtual_logit(r, f, _margin(f, b, o), **o),
-    "gmm": lambda r, f, b, k=8, kind="tied", raw=False, **o: density.mixture_score(r, density.fit_mixture(density.sample(f), k, kind), raw=raw),
+    "gmm": lambda r, f, b, k=8, kind="tied", raw=False, **o: density.mixture_score(r, density.fit_mixture(f, k, kind), raw=raw),
 }
 
 
@@ -91,7 +98,10 @@ class Detector:
         self.fitted: tuple[DataFrame, DataFrame] | None = None
 
     def setup(self, fit: DataFrame, background: DataFrame) -> Detector:
+        """A margin, where the detector takes one and none is given, is fitted here, once."""
         self.fitted = (fit, background)
+        if self.name in WITH_MARGIN and "margin" not in self.options:
+            self.options["margin"] = linear.logistic_margin(fit, background, weight=self.options.pop("margin_weight", 1.0))
         return self
 
     def set_hyperparam(self, **options) -> None:

@@ -1,25 +1,26 @@
 """Ranking metrics of scores (score double, is_id int): higher scores should be in-distribution rows, is_id = 1.
 
-A batch without rows of one kind has null metrics where they divide by them. All start from counts per distinct score. Running sums go over ranges of the scores, so that no task holds all of them
-when there are many.
+A batch without rows of one kind has null metrics where they divide by them. All start from counts per distinct score, and
+running sums go over ranges of the scores, so that no task holds all of them when there are many. Metrics of one row are
+worked out when they are called, with the counts cached for that long; points of curves are left to Spark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from typica.operators.order import ranged
-
-#: Distinct scores up to which one ordered window does the running sums.
-ONE_WINDOW = 1_000_000
+from typica.operators import order
+from typica.operators.order import ranged, ranges_for
 
 
-def counts(scores: DataFrame) -> DataFrame:
-    """(score, p, n): rows of either kind per distinct score."""
+def counts(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, score, p, n): rows of either kind per distinct score."""
     is_id = F.col("is_id") == 1
-    return scores.groupBy("score").agg(F.sum(is_id.cast("long")).alias("p"), F.sum((~is_id).cast("long")).alias("n"))
+    return scores.groupBy(*(keys or []), "score").agg(F.sum(is_id.cast("long")).alias("p"), F.sum((~is_id).cast("long")).alias("n"))
 
 
 def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -28,21 +29,36 @@ def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
     keep is false for a point that lies evenly between its neighbours: the next lower score adds as much of either kind.
     ranges: ranges of scores to sum within before their offsets are added; by default as many as the distinct scores need.
     """
-    c = counts(scores).persist()  # one row per distinct score; scores may be dear to work out again
-    n, positives, negatives = c.agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ranges = max(1, n // ONE_WINDOW) if ranges is None else ranges
-    c = c.withColumn("part", F.lit(0) if ranges == 1 else ranged(c, "score", ranges))
-    tops = c.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max_by(F.struct("p", "n"), "score").alias("top"))
-    down = Window.orderBy(F.desc("part"))  # one row per range
+    return curve_of(counts(scores), [], ranges)
+
+
+def curve_of(c: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """The curve of every group of keys at once from its counts; a group's scores are ranges in several tasks too."""
+    ranges = ranges_for(c.count()) if ranges is None else ranges
+    c = c.withColumn("part", ranged(c, "score", ranges))
+    tops = c.groupBy(*keys, "part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max_by(F.struct("p", "n"), "score").alias("top"))
+    down, whole = Window.partitionBy(*keys).orderBy(F.desc("part")), Window.partitionBy(*keys)  # one row per range
     above = down.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tops.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"), F.lead("top").over(down).alias("under"))
-    w = Window.partitionBy("part").orderBy(F.desc("score"))
-    run = c.select("part", "score", "p", "n", F.sum("p").over(w).alias("sp"), F.sum("n").over(w).alias("sn"), F.lead(F.struct("p", "n")).over(w).alias("next"))
-    run = run.join(F.broadcast(offsets), "part").withColumn("next", F.coalesce("next", "under"))
+    offsets = tops.select(*keys, "part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"), F.lead("top").over(down).alias("under"), F.sum("pp").over(whole).alias("all_p"), F.sum("nn").over(whole).alias("all_n"))
+    w = Window.partitionBy(*keys, "part").orderBy(F.desc("score"))
+    run = c.select(*keys, "part", "score", "p", "n", F.sum("p").over(w).alias("sp"), F.sum("n").over(w).alias("sn"), F.lead(F.struct("p", "n")).over(w).alias("next"))
+    right = offsets.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("part").alias("__part"), "p0", "n0", "under", "all_p", "all_n")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("part") == F.col("__part")]
+    run = run.join(right if keys else F.broadcast(right), same).withColumn("next", F.coalesce("next", "under"))
     tp, fp = F.col("sp") + F.col("p0"), F.col("sn") + F.col("n0")
     first = (tp == F.col("p")) & (fp == F.col("n"))
     keep = first | F.col("next").isNull() | (F.col("next.p") != F.col("p")) | (F.col("next.n") != F.col("n"))
-    return run.select("score", tp.alias("tp"), fp.alias("fp"), (tp - F.col("p")).alias("tp0"), (fp - F.col("n")).alias("fp0"), F.lit(positives).alias("P"), F.lit(negatives).alias("N"), keep.alias("keep"))
+    return run.select(*keys, "score", tp.alias("tp"), fp.alias("fp"), (tp - F.col("p")).alias("tp0"), (fp - F.col("n")).alias("fp0"), F.col("all_p").alias("P"), F.col("all_n").alias("N"), keep.alias("keep"))
+
+
+def one_row(scores: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """of the curve, worked out now: one row."""
+    c = counts(scores).persist()  # scores may be dear to work out again
+    try:
+        row = of(curve_of(c, []))
+        return scores.sparkSession.createDataFrame([tuple(row.first())], row.schema)
+    finally:
+        c.unpersist()
 
 
 def roc(scores: DataFrame) -> DataFrame:
@@ -57,23 +73,28 @@ def auroc_of(tp: Column, fp: Column, tp0: Column, fp0: Column) -> Column:
 
 
 def auroc(scores: DataFrame) -> DataFrame:
-    return curve(scores).agg(auroc_of(*(F.col(c) for c in ("tp", "fp", "tp0", "fp0"))).alias("auroc"))
+    return one_row(scores, lambda c: c.agg(auroc_of(*(F.col(x) for x in ("tp", "fp", "tp0", "fp0"))).alias("auroc")))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
     step = (F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return curve(scores).agg(F.try_divide(F.sum(step), F.max("tp")).alias("auprc"))
+    return one_row(scores, lambda c: c.agg(F.try_divide(F.sum(step), F.max("tp")).alias("auprc")))
+
+
+def f1_of(eps: float) -> Column:
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "P")
+    return 2 * precision * recall / (precision + recall + eps)
 
 
 def f1_curve(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """(score, f1) of accepting all rows from that score up."""
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "P")
-    return curve(scores).select("score", (2 * precision * recall / (precision + recall + eps)).alias("f1"))
+    return curve(scores).select("score", f1_of(eps).alias("f1"))
 
 
 def best_f1(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """(f1, threshold): the largest, at the lowest score that reaches it."""
-    return f1_curve(scores, eps).agg(F.max("f1").alias("f1"), F.max_by("score", F.struct("f1", (-F.col("score")).alias("low"))).alias("threshold"))
+    best = F.max_by("score", F.struct("f1", (-F.col("score")).alias("low"))).alias("threshold")
+    return one_row(scores, lambda c: c.select("score", f1_of(eps).alias("f1")).agg(F.max("f1").alias("f1"), best))
 
 
 def fpr_at(tpr: float) -> Column:
@@ -83,28 +104,23 @@ def fpr_at(tpr: float) -> Column:
 
 
 def fpr_at_tpr(scores: DataFrame, tpr: float = 0.95) -> DataFrame:
-    return curve(scores).agg(fpr_at(tpr).alias("fpr95"))
+    return one_row(scores, lambda c: c.agg(fpr_at(tpr).alias("fpr95")))
 
 
 def all_metrics(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
     """One row, from one pass over the curve: auroc, fpr95, auprc, f1."""
     tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp0", "fp0"))
-    precision, recall = tp / (tp + fp), F.try_divide(tp, F.col("P"))
-    return curve(scores).agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), F.try_divide(F.sum((tp - tp0) * precision), F.max("P")).alias("auprc"), F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"))
+    auprc = F.try_divide(F.sum((tp - tp0) * tp / (tp + fp)), F.max("P"))
+    return one_row(scores, lambda c: c.agg(auroc_of(tp, fp, tp0, fp0).alias("auroc"), fpr_at(0.95).alias("fpr95"), auprc.alias("auprc"), F.max(f1_of(eps)).alias("f1")))
 
 
 def by_group(scores: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
     """keys, auroc, auprc, f1 for every group of keys at once."""
-    is_id = F.col("is_id") == 1
-    c = scores.groupBy(*keys, "score").agg(F.sum(is_id.cast("long")).alias("p"), F.sum((~is_id).cast("long")).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    c = c.select(*keys, "score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(Window.partitionBy(*keys)).alias("positives"))
-    tp0 = F.col("tp") - F.col("p")
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "positives")
-    return c.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("n") * (F.col("tp") + tp0) / 2.0), F.max("tp") * F.max("fp")).alias("auroc"),
-        F.try_divide(F.sum((F.col("tp") - tp0) * precision), F.max("tp")).alias("auprc"),
-        F.max(2 * precision * recall / (precision + recall + eps)).alias("f1"),
+    tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp0", "fp0"))
+    return curve_of(counts(scores, keys), keys).groupBy(*keys).agg(
+        auroc_of(tp, fp, tp0, fp0).alias("auroc"),
+        F.try_divide(F.sum((tp - tp0) * tp / (tp + fp)), F.max("tp")).alias("auprc"),
+        F.max(f1_of(eps)).alias("f1"),
     )
 
 
@@ -114,7 +130,7 @@ def statistics(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def percentile(scores: DataFrame, p: float, column: str = "score") -> float:
     """Linear interpolation between order statistics. One number."""
-    return scores.select(F.percentile(column, F.lit(p))).first()[0]
+    return order.percentiles(scores, [p], column)[0]
 
 
 def decide(scores: DataFrame, threshold: float | None) -> DataFrame:
@@ -140,7 +156,7 @@ def rejection_rates(scores: DataFrame, percentiles: tuple[int, ...] = PERCENTILE
     reject_above rejects scores over the threshold, as the tables of the method do although high scores are safe; False
     rejects those at or under it.
     """
-    values = scores.select(F.percentile("score", F.array(*(F.lit(p / 100) for p in percentiles)))).first()[0]
+    values = order.percentiles(scores, [p / 100 for p in percentiles])
     best = best_f1(scores, 1e-8).first()["threshold"]
     wanted = [(f"threshold_{i + 1}", v) for i, v in enumerate(values)] + [("optimal_f1", best)]
     safe, aggs = F.col("is_id") == 1, []
