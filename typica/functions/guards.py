@@ -8,37 +8,56 @@ from pyspark.sql import functions as F
 from typica.functions.text import strip
 
 
+#: The marker words of the guards' outputs.
+RESULT_MARK, REASONING_MARK = "[RESULT]", "[REASONING]"
+#: Scores by what a guard says.
+FIRST_WORD = {"safe": 0.9, "unsafe": 0.1, "unsafe with a category": 0.05, "anything else": 0.2, "nothing": 0.1}
+JUDGED = {"the word safe": 0.7, "the word unsafe": 0.2, "neither": 0.1}
+REQUEST = {"yes": 0.1, "no": 0.9, "neither": 0.2}
+#: Fixed value: the reasoning of an output without one.
+NO_REASONING = "No reasoning provided"
+
+
 def first_word_guard(raw: Column) -> Column:
-    """safe .9, unsafe .1 or .05 with a category digit, other text .2, none .1."""
-    t = F.lower(strip(raw))
-    return F.when(raw.isNull(), 0.1).when(t.startswith("safe"), 0.9).when(t.startswith("unsafe") & t.rlike("[0-9]"), 0.05).when(t.startswith("unsafe"), 0.1).otherwise(0.2)
+    """By the first word, and whether a category's digit follows."""
+    t, v = F.lower(strip(raw)), FIRST_WORD
+    return F.when(raw.isNull(), v["nothing"]).when(t.startswith("safe"), v["safe"]).when(t.startswith("unsafe") & t.rlike("[0-9]"), v["unsafe with a category"]).when(t.startswith("unsafe"), v["unsafe"]).otherwise(v["anything else"])
+
+
+def after_mark(text: Column, mark: str) -> Column:
+    """The pieces of text after each place of the mark, which is found in any case."""
+    pieces = F.split(text, "(?i)" + mark.replace("[", r"\[").replace("]", r"\]"))
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
 def judged_guard(raw: Column) -> Column:
-    """[RESULT]: safe|unsafe and a digit from 1 to 5; without them by the words that occur."""
-    pattern = r"(?i)\[RESULT\]:\s*(safe|unsafe).*?(\d)"
-    kind, up = F.lower(F.regexp_extract(raw, pattern, 1)), F.upper(F.coalesce(raw, F.lit("")))
-    digit = F.regexp_extract(raw, pattern, 2)
-    s = F.when(digit != "", digit.cast("int"))
+    """After a result mark and a colon the word safe or unsafe, and further on in that line a digit from 1 to 5, which moves
+    the score by .2 (safe) or .05 (unsafe) a step; without them by the words that occur anywhere."""
+    lines = F.transform(after_mark(F.lower(raw), RESULT_MARK + ":"), lambda x: F.split_part(F.regexp_replace(x, r"^\s+", ""), F.lit("\n"), F.lit(1)))
+    digit = lambda x: F.regexp_extract(x, "[0-9]", 0)
+    line = F.get(F.filter(lines, lambda x: (x.startswith("safe") | x.startswith("unsafe")) & (digit(x) != "")), F.lit(0))
+    level, up = F.when(line.isNotNull(), digit(line).cast("int")), F.upper(F.coalesce(raw, F.lit("")))
+    said = lambda w: F.contains(up, F.lit(w))
     return (
-        F.when(kind == "safe", F.greatest(F.lit(0.1), 1.0 - (s - 1) * 0.2))
-        .when(kind == "unsafe", F.greatest(F.lit(0.05), 0.3 - (s - 3) * 0.05))
-        .when(F.contains(up, F.lit("SAFE")) & ~F.contains(up, F.lit("UNSAFE")), 0.7)
-        .when(F.contains(up, F.lit("UNSAFE")), 0.2)
-        .otherwise(0.1)
+        F.when(line.startswith("safe"), F.greatest(F.lit(0.1), 1.0 - (level - 1) * 0.2))
+        .when(line.startswith("unsafe"), F.greatest(F.lit(0.05), 0.3 - (level - 3) * 0.05))
+        .when(said("SAFE") & ~said("UNSAFE"), JUDGED["the word safe"])
+        .when(said("UNSAFE"), JUDGED["the word unsafe"])
+        .otherwise(JUDGED["neither"])
     )
 
 
 def reasoning(raw: Column) -> Column:
-    found = strip(F.regexp_extract(raw, r"(?is)\[REASONING\]:\s*(.*?)(?:\[RESULT\]|$)", 1))
-    return F.when(raw.rlike(r"(?i)\[REASONING\]:"), found).otherwise("No reasoning provided")
+    """What stands between the reasoning mark and the next result mark or the end."""
+    first = F.get(after_mark(raw, REASONING_MARK + ":"), F.lit(0))
+    return F.when(first.isNotNull(), strip(F.get(F.split(first, r"(?i)\[RESULT\]"), F.lit(0)))).otherwise(NO_REASONING)
 
 
 def request_guard(raw: Column) -> Column:
-    """The first line with "harmful request": yes .1, no .9; else .2."""
+    """By yes or no in the first line that speaks of a harmful request."""
     lines = F.filter(F.split(F.lower(strip(raw)), "\n"), lambda x: F.contains(x, F.lit("harmful request")))
     line = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return F.when(F.contains(line, F.lit("yes")), 0.1).when(F.contains(line, F.lit("no")), 0.9).otherwise(0.2)
+    return F.when(F.contains(line, F.lit("yes")), REQUEST["yes"]).when(F.contains(line, F.lit("no")), REQUEST["no"]).otherwise(REQUEST["neither"])
 
 
 def policy_guard(raw: Column) -> Column:

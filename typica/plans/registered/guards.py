@@ -54,7 +54,7 @@ def guard_mdjudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, G.judged_guard(pick(JUDGED)))
 
 
-@query("SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'fine' ELSE 'No reasoning provided' END AS reasoning FROM documents")
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(raw, '(?i)\[reasoning\]:') THEN regexp_replace(regexp_extract(raw, '(?is)\[reasoning\]:(.*?)(\[result\]|$)', 1), '^\s+|\s+$', '', 'g') ELSE '{G.NO_REASONING}' END AS reasoning FROM (SELECT doc_id, {pick_sql(JUDGED)} AS raw FROM documents)""")
 def guard_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", G.reasoning(pick(JUDGED)).alias("reasoning"))
 
@@ -62,7 +62,10 @@ def guard_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST = ["Harmful request: yes\nResponse refusal: no", "harmful request: no", "Harmful request: maybe", "nothing", "x\nHARMFUL REQUEST: NO\nharmful request: yes", ""]
 
 
-@query(scored_sql(REQUEST, "[0.1, 0.9, 0.2, 0.2, 0.9, 0.2][doc_id % 6 + 1]"))
+LINE = "coalesce(list_filter(string_split(lower(raw), chr(10)), lambda x: contains(x, 'harmful request'))[1], '')"
+
+
+@query(scored_sql(REQUEST, f"CASE WHEN contains({LINE}, 'yes') THEN 0.1 WHEN contains({LINE}, 'no') THEN 0.9 ELSE 0.2 END"))
 def guard_wildguard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, G.request_guard(pick(REQUEST)))
 
@@ -70,7 +73,16 @@ def guard_wildguard(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLICY = ["Prompt harmful: yes S1, S10", "Prompt harmful: no", "Response refusal: yes", "response unsafe: true S2 S14", "prompt ok", "harmfulness: yes", "S3 only", "prompt harmful: no; response harmful yes S4"]
 
 
-@query(scored_sql(POLICY, "[0.2, 1.0, 0.5, 0.15, 1.0, 0.3, 1.0, 0.25][doc_id % 8 + 1]"))
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(lower(raw), '{w}')" for w in words) + ")"
+
+
+BAD_PROMPT = f"CASE WHEN {_has('harmful: no', 'harmfulness: no')} THEN false WHEN {_has('harmful: yes', 'harmfulness: yes')} THEN true ELSE {_has('prompt')} AND {_has('harmful', 'unsafe')} AND {_has('yes', 'true')} END"
+BAD_RESPONSE = f"{_has('response')} AND {_has('harmful', 'unsafe')} AND {_has('yes', 'true')}"
+NAMED = "len(list_filter(range(1, 15), lambda i: contains(raw, 'S' || i::VARCHAR)))"
+
+
+@query(scored_sql(POLICY, f"CASE WHEN ({BAD_PROMPT}) OR ({BAD_RESPONSE}) THEN greatest(0.0, 0.3 - 0.05 * {NAMED}) WHEN {_has('refusal')} AND {_has('yes', 'true')} THEN 0.5 ELSE 1.0 END"))
 def guard_polyguard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, G.policy_guard(pick(POLICY)))
 
@@ -195,13 +207,17 @@ def guard_batch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.batch(_state(spark, sf_dir), least=700).select("req_id", "tier")
 
 
-@query()
+@query(f"""WITH c AS (SELECT conv_id AS req_id, text, CASE WHEN turn >= 3 THEN 'stop' END AS done, conv_id * 100 + turn AS seq FROM conversations),
+st AS (SELECT req_id, arg_max(coalesce(text, ''), seq) AS text, max_by(coalesce(done, ''), seq) <> '' AS done, min(seq) AS seen FROM c GROUP BY req_id), w AS (SELECT *, {WORDS} AS wc FROM st),
+ti AS (SELECT *, CASE WHEN wc >= 20 OR done THEN 1 WHEN wc >= 12 THEN 2 END AS tier FROM w), n AS (SELECT count(*) FILTER (tier = 1) AS n, count(*) FILTER (tier IS NOT NULL) AS most FROM ti),
+f AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY seen, req_id) AS k FROM ti), x AS (SELECT f.* FROM f, n WHERE n.n > 0 AND n.most >= 10 AND (tier = 1 OR tier = 2 AND k <= 10 - n.n)),
+p AS (SELECT req_id, CASE WHEN length(text) % 7 = 0 THEN -1 ELSE 1 END AS pred FROM x) SELECT req_id, pred, CASE WHEN pred < 1 THEN 'stop' ELSE 'go' END AS action FROM p""")
 def guard_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of the guard over conversations as requests, scored by length: actions of the requests in it."""
     came = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req_id"), "text", F.when(F.col("turn") >= 3, "stop").alias("finish_reason"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"))
     state = spark.createDataFrame([], guard.STATE)
     _, actions = guard.step(state, came, lambda d: d.select("req_id", F.when(F.length("text") % 7 == 0, -1).otherwise(1).alias("pred")))
-    return actions
+    return actions.select("req_id", "pred", "action")
 
 
 TEMPLATE = "Classify the text.\n<text>{text}</text>\nAnswer for {lang}:"

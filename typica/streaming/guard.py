@@ -2,7 +2,7 @@
 
 ``step`` is a pure function of (state, what came in) and serves streams through foreachBatch and tests alike. State rows:
 req_id, text, word_count, last_predicted_at, finish_reason, first_seen. A step that can't fill its minimum scores nothing
-and moves no counter.
+and moves no counter; nor does one whose scores fail, which lets all requests go on and says so in ``error``.
 """
 
 from __future__ import annotations
@@ -52,30 +52,53 @@ def batch(now: DataFrame, *, interval: int = 20, least: int = 10, fill_share: fl
     return due
 
 
-def step(state: DataFrame, came: DataFrame, score: Callable[[DataFrame], DataFrame], **limits) -> tuple[DataFrame, DataFrame]:
-    """(new state, actions): score maps rows (req_id, text) to (req_id, pred); below 1 stops a request of this step."""
+def step(state: DataFrame, came: DataFrame, score: Callable[[DataFrame], DataFrame], *, hold: Callable[[DataFrame], DataFrame] = lambda d: d, **limits) -> tuple[DataFrame, DataFrame]:
+    """(new state, actions): score maps rows (req_id, text) to (req_id, pred); below 1 stops a request of this step.
+
+    hold: what makes the scored rows fixed, as a written table, so that state and actions read the same scores and the model
+    sees a batch once. actions: req_id, pred, action, error. If score or hold fails, the rows that were to be scored go on,
+    without pred and with the error, and are due again.
+    """
     now = update(state, came)
     chosen = batch(now, **limits)
-    found = score(chosen.select("req_id", "text"))
-    new = now.join(found.select("req_id", F.lit(True).alias("scored")), "req_id", "left")
+    try:
+        found, error = hold(score(chosen.select("req_id", "text"))), None
+    except Exception as e:  # the guard is open when its model is not there
+        found, error = chosen.select("req_id", F.lit(None).cast("int").alias("pred")), f"{type(e).__name__}: {e}"[:500]
+    new = now.join(found.select("req_id", F.lit(error is None).alias("scored")), "req_id", "left")
     new = new.select("req_id", "text", "word_count", F.when(F.col("scored"), F.col("word_count")).otherwise(F.col("last_predicted_at")).alias("last_predicted_at"), "finish_reason", "first_seen")
     here = now.select("req_id", "here")
-    actions = found.join(here, "req_id").select("req_id", "pred", F.when((F.col("pred") < 1) & F.col("here"), "stop").otherwise("go").alias("action"))
+    stop = (F.col("pred") < 1) & F.col("here")
+    actions = found.join(here, "req_id").select("req_id", "pred", F.when(stop, "stop").otherwise("go").alias("action"), F.lit(error).cast("string").alias("error"))
     return new, actions
 
 
-def run(stream: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, **limits):
-    """Start the guard on a stream of (req_id, text, finish_reason, seq). State and actions are tables under folder, one per
-    batch, so a batch that runs twice writes the same. Finished requests leave the state once they are scored at their end."""
+def kept_state(new: DataFrame, history: int) -> DataFrame:
+    """All requests that still need a score, and the last ``history`` others that have finished, which may fill batches."""
+    done = F.col("finish_reason").isNotNull() & (F.col("last_predicted_at") >= F.col("word_count"))
+    return new.where(~done).unionByName(new.where(done).orderBy(F.desc("first_seen"), F.desc("req_id")).limit(history))
+
+
+def run(stream: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, *, history: int = 0, **limits):
+    """Start the guard on a stream of (req_id, text, finish_reason, seq). Scores, state and actions are tables under folder, one
+    per batch, so a batch that runs twice writes the same. Of the state the last two batches are kept. Finished requests
+    leave the state once they are scored at their end, but for the last ``history`` of them."""
 
     def each(came: DataFrame, number: int) -> None:
         spark = came.sparkSession
         before = f"{folder}/state/{number - 1}"
         state = spark.read.schema(STATE).parquet(before) if number else spark.createDataFrame([], STATE)
-        new, actions = step(state, came, score, **limits)
+
+        def hold(found: DataFrame) -> DataFrame:
+            found.select("req_id", "pred").write.mode("overwrite").parquet(f"{folder}/scores/{number}")
+            return spark.read.schema("req_id bigint, pred int").parquet(f"{folder}/scores/{number}")
+
+        new, actions = step(state, came, lambda d: score(d).withColumn("pred", F.col("pred").cast("int")), hold=hold, **limits)
         actions.write.mode("overwrite").parquet(f"{folder}/actions/batch={number}")
-        kept = new.where("finish_reason is null or last_predicted_at < word_count")
-        kept.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        kept_state(new, history).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        for old in (f"{folder}/state/{number - 2}", f"{folder}/scores/{number - 2}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").start()
 
