@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typica.functions import text as T
@@ -21,6 +21,16 @@ def strip_sql(c: str) -> str:
 TEXT = strip_sql("text")
 
 
+def halves(text: str = "text") -> tuple[Column, Column]:
+    """Both halves of a whole text, for loaders that take two fields."""
+    n = F.floor(F.length(text) / 2).cast("int")
+    return F.col(text).substr(F.lit(1), n), F.col(text).substr(n + 1, F.length(text))
+
+
+#: The same in SQL.
+A, B = "substr(text, 1, length(text) // 2)", "substr(text, length(text) // 2 + 1)"
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -48,10 +58,10 @@ def load_share_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.split_share(rows, 0.7, "doc_id").select("doc_id", "place", "split")
 
 
-@query(f"""WITH x AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) || chr(10) || lang ELSE substr(text, 1, 40) END AS text FROM documents)
+@query(f"""WITH x AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || lang ELSE text END AS text FROM documents)
 SELECT ord, 0::BIGINT AS sub, 'alpaca' AS dataset, true AS is_id, {TEXT} AS text FROM x WHERE length({TEXT}) > 20""")
 def load_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"))
+    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"))
     return texts(corpora.load(rows, "alpaca", "doc_id"))
 
 
@@ -105,10 +115,10 @@ def load_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     a, b = F.col("toxic").cast("double"), 1 - F.col("quality").cast("double")
-    return rows.select("doc_id", F.substring("text", 1, 60).alias("p"), F.substring("text", 61, 700).alias("c"), a.alias("a"), b.alias("b"))
+    return rows.select("doc_id", *(c.alias(n) for c, n in zip(halves(), "pc", strict=True)), a.alias("a"), b.alias("b"))
 
 
-ANNOTATED = "x AS (SELECT doc_id, substr(text, 1, 60) AS p, substr(text, 61, 700) AS c, toxic::DOUBLE AS a, 1 - quality::DOUBLE AS b FROM documents JOIN labels USING (doc_id))"
+ANNOTATED = f"x AS (SELECT doc_id, {A} AS p, {B} AS c, toxic::DOUBLE AS a, 1 - quality::DOUBLE AS b FROM documents JOIN labels USING (doc_id))"
 
 
 @query(f"""WITH {ANNOTATED}, y AS (SELECT doc_id AS ord, 0::BIGINT AS sub, p AS text FROM x WHERE a * 4 >= 3 UNION ALL SELECT doc_id, 1, substr(c, 1, 500) FROM x WHERE b * 3 >= 3)
@@ -125,11 +135,11 @@ def load_prompt_else_continuation(spark: SparkSession, sf_dir: str) -> DataFrame
     return texts(corpora.load(rows, "realtoxicity", "doc_id"))
 
 
-@query(f"""WITH x AS (SELECT doc_id AS ord, coalesce(CASE WHEN doc_id % 3 = 0 THEN nullif(substr(text, 1, 50), '') END, CASE WHEN doc_id % 3 <> 1 THEN nullif(substr(text, 51, 50), '') END, nullif(text, '')) AS text FROM documents)
+@query(f"""WITH x AS (SELECT doc_id AS ord, coalesce(CASE WHEN doc_id % 3 = 0 THEN nullif({A}, '') END, CASE WHEN doc_id % 3 <> 1 THEN nullif({B}, '') END, nullif(text, '')) AS text FROM documents)
 SELECT ord, 0::BIGINT AS sub, 'jailbreakbench' AS dataset, false AS is_id, {TEXT} AS text FROM x WHERE length({TEXT}) > 20""")
 def load_first_non_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
-    rows = docs(spark, sf_dir).select("doc_id", F.when(k == 0, F.substring("text", 1, 50)).alias("behavior"), F.when(k != 1, F.substring("text", 51, 50)).otherwise("").alias("prompt"), F.col("text").alias("goal"))
+    rows = docs(spark, sf_dir).select("doc_id", F.when(k == 0, halves()[0]).alias("behavior"), F.when(k != 1, halves()[1]).otherwise("").alias("prompt"), F.col("text").alias("goal"))
     return texts(corpora.load(rows, "jailbreakbench", "doc_id"))
 
 
@@ -145,22 +155,22 @@ def load_boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(corpora.load(rows, "wildguardmix", "doc_id"))
 
 
-@query("""WITH x AS (SELECT item_id, substr(text, 1, 30) AS a, substr(text, 31, 30) AS b FROM benchmark) SELECT item_id AS ord, is_id, 'Input: ' || a || chr(10) || 'Response: ' || r AS text FROM (SELECT item_id, a, true AS is_id, 'yes ' || b AS r FROM x UNION ALL SELECT item_id, a, false, 'no ' || b FROM x) WHERE item_id % 5 <> 0""")
+@query(f"""WITH x AS (SELECT item_id, {A} AS a, {B} AS b FROM benchmark) SELECT item_id AS ord, is_id, 'Input: ' || a || chr(10) || 'Response: ' || r AS text FROM (SELECT item_id, a, true AS is_id, 'yes ' || b AS r FROM x UNION ALL SELECT item_id, a, false, 'no ' || b FROM x) WHERE item_id % 5 <> 0""")
 def load_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.substring("text", 1, 30), F.substring("text", 31, 30)
+    a, b = halves()
     scores = F.when(F.col("item_id") % 5 == 0, F.create_map(F.concat(F.lit("yes "), b), F.lit(1))).otherwise(F.create_map(F.concat(F.lit("yes "), b), F.lit(1), F.concat(F.lit("no "), b), F.lit(0)))
     return corpora.target_scores(table(spark, sf_dir, "benchmark").select("item_id", a.alias("input"), scores.alias("target_scores")), "item_id")
 
 
-@query(f"""WITH x AS (SELECT item_id, 'Problem: ' || substr(text, 1, 20) || chr(10) || 'Solution: ' || substr(text, 21, 20) AS text FROM benchmark) SELECT item_id AS ord, 0::BIGINT AS sub, 'math' AS dataset, true AS is_id, {TEXT} AS text FROM x WHERE length({TEXT}) > 20""")
+@query(f"""WITH x AS (SELECT item_id, 'Problem: ' || {A} || chr(10) || 'Solution: ' || {B} AS text FROM benchmark) SELECT item_id AS ord, 0::BIGINT AS sub, 'math' AS dataset, true AS is_id, {TEXT} AS text FROM x WHERE length({TEXT}) > 20""")
 def load_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 20).alias("problem"), F.substring("text", 21, 20).alias("solution"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", halves()[0].alias("problem"), halves()[1].alias("solution"))
     return texts(corpora.load(rows, "math", "item_id"))
 
 
-@query(f"""WITH x AS (SELECT item_id, '[SYSTEM] ' || substr(text, 1, 20) || chr(10) || '[USER] ' || substr(text, 21, 20) AS text FROM benchmark WHERE item_id % 4 <> 0) SELECT item_id AS ord, 0::BIGINT AS sub, 'injection_context' AS dataset, false AS is_id, {TEXT} AS text FROM x""")
+@query(f"""WITH x AS (SELECT item_id, '[SYSTEM] ' || {A} || chr(10) || '[USER] ' || {B} AS text FROM benchmark WHERE item_id % 4 <> 0) SELECT item_id AS ord, 0::BIGINT AS sub, 'injection_context' AS dataset, false AS is_id, {TEXT} AS text FROM x""")
 def load_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 20).alias("test_case_prompt"), F.when(F.col("item_id") % 4 != 0, F.substring("text", 21, 20)).otherwise("  ").alias("user_input"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", halves()[0].alias("test_case_prompt"), F.when(F.col("item_id") % 4 != 0, halves()[1]).otherwise("  ").alias("user_input"))
     return texts(corpora.load(rows, "injection_context", "item_id"))
 
 
