@@ -6,7 +6,7 @@ Spark. Rows are (id, v) with v array<double>.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from typica.functions import vectors as V
 from typica.operators.blocks import matrix, scan
+from typica.operators.passes import Rows
 from typica.operators.neighbours import k_smallest
 from typica.operators.order import percentiles, places
 from typica.plans import metrics
@@ -118,16 +119,45 @@ def mean_margin(fit: DataFrame, background: DataFrame) -> Margin:
     return Margin(a - b, float(-((a - b) * (a + b) / 2).sum()))
 
 
-def logistic_margin(fit: DataFrame, background: DataFrame, *, weight: float = 1.0, c: float = 1.0, rounds: int = 200) -> Margin:
-    """L2-regularised logistic regression, intercept free; background rows weigh weight (repeated corpora)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+def logistic_margin(fit: DataFrame, background: DataFrame, *, weight: float = 1.0, c: float = 1.0, rounds: int = 50) -> Margin:
+    """L2-regularised logistic regression, intercept free, at its optimum; background rows weigh weight (repeated corpora).
 
-    rows = fit.select("v", F.lit(1.0).alias("y"), F.lit(1.0).alias("wt")).unionByName(background.select("v", F.lit(0.0).alias("y"), F.lit(float(weight)).alias("wt")))
-    rows = rows.select(array_to_vector("v").alias("features"), F.col("y").alias("label"), "wt")
-    n = rows.agg(F.sum("wt")).first()[0]
-    model = LogisticRegression(regParam=1 / (n * c), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-9, weightCol="wt").fit(rows)
-    return Margin(model.coefficients.toArray(), float(model.intercept))
+    Newton's method over sums: every pass over the rows adds up the gradient, the curvature (vector length squared) and the
+    loss, so the fit does not depend on how the rows are dealt out.
+    """
+    sides = [(Rows(fit), 1.0, 1.0), (Rows(background), 0.0, float(weight))]
+    d = sides[0][0].d
+    p, last, step = np.zeros(d + 1), np.inf, np.zeros(d + 1)
+
+    def sums(y: float, wt: float, at: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        def work(x: np.ndarray) -> np.ndarray:
+            v = np.hstack([x, np.ones((len(x), 1))])
+            z = v @ at
+            q = 1 / (1 + np.exp(-z))
+            loss = np.logaddexp(0.0, -z if y else z).sum()
+            return wt * np.concatenate(([loss], v.T @ (q - y), ((v * (q * (1 - q))[:, None]).T @ v).ravel()))
+
+        return work
+
+    for _ in range(rounds):
+        s = sum(rows.sums(sums(y, wt, p)) for rows, y, wt in sides)
+        loss = s[0] + p[:-1] @ p[:-1] / (2 * c)
+        if loss > last + 1e-12 * abs(last):  # too far: half of the way back
+            step /= 2
+            p = p - step
+            if np.abs(step).max() < 1e-14:
+                break
+            continue
+        last = loss
+        grad = s[1 : d + 2] + np.append(p[:-1], 0.0) / c
+        curve = s[d + 2 :].reshape(d + 1, d + 1) + np.diag(np.append(np.full(d, 1 / c), 1e-12))
+        if np.abs(grad).max() < 1e-10 * max(1.0, sides[0][0].n):
+            break
+        step = -np.linalg.solve(curve, grad)
+        p = p + step
+    for rows, _, _ in sides:
+        rows.done()
+    return Margin(p[:-1], float(p[-1]))
 
 
 def margin_score(rows: DataFrame, m: Margin) -> DataFrame:
@@ -197,27 +227,59 @@ def adaptive_scale(rows: DataFrame, fit: DataFrame, m: Margin, *, percent: tuple
     return own.join(found, "id").select("id", V.log_2cosh(F.col("l") * (p / 100.0)).alias("score"))
 
 
-def open_max(rows: DataFrame, fit: DataFrame, background: DataFrame, m: Margin, *, tail: int = 20, eu_weight: float = 0.5) -> DataFrame:
+def weibull(tail: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """(shape, scale) of greatest likelihood for positive values; equal values have an endless shape and are its scale."""
+    x = np.maximum(np.asarray(tail, np.float64), 1e-12)
+    if not len(x) or x.max() - x.min() < 1e-12 * x.max():
+        return np.inf, float(x.max(initial=0.0))
+    log, top = np.log(x), np.log(x.max())
+    lo, hi = 1e-3, 1e6
+
+    def slope(k: float) -> float:
+        e = np.exp(k * (log - top))
+        return float((e * log).sum() / e.sum() - 1 / k - log.mean())
+
+    for _ in range(rounds):  # slope rises with the shape
+        mid = np.sqrt(lo * hi)
+        lo, hi = (mid, hi) if slope(mid) < 0 else (lo, mid)
+    k = float(np.sqrt(lo * hi))
+    return k, float(np.exp(top + np.log(np.exp(k * (log - top)).mean()) / k))
+
+
+DISTANCES: dict[str, Callable[[Column, Column, float], Column]] = {
+    "euclidean": lambda a, b, w: V.euclid(a, b),
+    "cosine": lambda a, b, w: V.cosine_distance(a, b),
+    "eucos": lambda a, b, w: V.eucos(a, b, w),
+}
+
+
+def open_max(rows: DataFrame, fit: DataFrame, background: DataFrame, m: Margin, *, tail: int = 20, distance: str = "eucos", eu_weight: float = 0.5, tail_fit: str = "mean") -> DataFrame:
     """The larger known-class probability after the tails of each class' distances take their share.
 
-    Two classes: background (0) and in-distribution (1); a class's mean activation is over its correctly classified rows,
-    and its scale the mean of its tail largest distances. A class without such rows has the mean (0.9, 0.1) towards itself.
+    Two classes: background (0) and in-distribution (1); a class's mean activation is over its correctly classified rows.
+    distance: euclidean, cosine or eucos (their weighted sum). tail_fit: of the tail largest distances a class takes the mean
+    as the scale of an exponential law (mean), or a Weibull law of greatest likelihood (weibull). A class without such rows
+    has the mean (0.9, 0.1) towards itself.
     """
+    if distance not in DISTANCES or tail_fit not in ("mean", "weibull"):
+        raise ValueError(f"distance {distance!r}, tail {tail_fit!r}")
     prob = lambda d: d.select((1 / (1 + F.exp(-m.of(F.col("v"))))).alias("p"))
     sides = [prob(background).where("p <= 0.5"), prob(fit).where("p > 0.5")]
-    far = lambda p, mean: V.eucos(F.array(1 - p, p), V.constant(mean), eu_weight)
+    far = lambda p, mean: DISTANCES[distance](F.array(1 - p, p), V.constant(mean), eu_weight)
     models = []
     for k, rows_k in enumerate(sides):
         n, mean_p = rows_k.agg(F.count(F.lit(1)), F.avg("p")).first()
         mean = [0.9 - 0.8 * k, 0.1 + 0.8 * k] if not n else [1 - mean_p, mean_p]
-        top = rows_k.select(far(F.col("p"), mean).alias("d")).orderBy(F.desc("d")).limit(tail).agg(F.avg("d")).first()[0] if n else 0.0
-        models.append((mean, top))
+        top = np.array([r["d"] for r in rows_k.select(far(F.col("p"), mean).alias("d")).orderBy(F.desc("d")).limit(tail).collect()])  # tail rows
+        models.append((mean, weibull(top) if tail_fit == "weibull" else (1.0, float(top.mean()) if len(top) else 0.0)))
     own = rows.select("id", (1 / (1 + F.exp(-m.of(F.col("v"))))).alias("p"))
     p = [1 - F.col("p"), F.col("p")]
     first = [F.col("p") < 0.5, F.col("p") >= 0.5]
     cut = []
-    for k, (mean, scale) in enumerate(models):
-        w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.exp(-far(F.col("p"), mean) / scale))) if scale > 0 else F.lit(0.0)
+    for k, (mean, (shape, scale)) in enumerate(models):
+        d = far(F.col("p"), mean)
+        beyond = (d >= scale).cast("double") if shape == np.inf else 1 - F.exp(-F.pow(F.greatest(d, F.lit(0.0)) / scale, F.lit(shape))) if scale > 0 else F.lit(0.0)
+        w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), beyond))
         cut.append(p[k] * (1 - w * F.when(first[k], 1.0).otherwise(0.5)))
     e = [F.exp(c) for c in cut]
     unknown = F.exp((p[0] - cut[0]) + (p[1] - cut[1]))

@@ -14,7 +14,7 @@ from typica.operators import density, linear, neighbours
 from typica.operators.topology import topology
 from typica.plans import metrics
 from typica.plans.detector import Detector, TypicalityDetector
-from typica.plans.registered import query
+from typica.plans.registered import SQL, query
 from typica.session import table
 
 
@@ -254,39 +254,92 @@ def gmm_score_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(both, "loglik", "raw")
 
 
-# ---- fits that SQL can't express: rows only here, held against numpy in the tests
+# ---- full fits: SQL solves the same equations in its own way
 
 
-@query()
+def moments_sql(n: str, source: str, covar: str = "covar_pop", ridge: str = "0") -> str:
+    """CTEs {n}m (m: the covariance as rows) and {n}mu (mu) of a source (id, v)."""
+    return f"""{n}x AS (SELECT id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM {source}), {n}mu AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(x) AS a FROM {n}x GROUP BY i)),
+{n}m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT a.i, b.i AS j, {covar}(a.x, b.x) + CASE WHEN a.i = b.i THEN {ridge} ELSE 0 END AS c FROM {n}x a JOIN {n}x b USING (id) GROUP BY a.i, b.i) GROUP BY i))"""
+
+
+def quadratic_sql(n: str, rows: str) -> str:
+    """CTE {n}md (id, md): the quadratic form of rows (id, v) about mu with the inverse of m, by conjugate gradients."""
+    plus = lambda a, f, b: f"list_transform(list_zip({a}, {b}), lambda z: z[1] + {f} * z[2])"
+    return f"""{n}g AS (SELECT id, {plus('v', '(-1.0::DOUBLE)', 'mu')} AS g FROM {rows}, {n}mu),
+{n}cg AS (SELECT id, 0 AS k, g, list_transform(g, lambda z: 0.0::DOUBLE) AS x, g AS r, g AS p, list_dot_product(g, g) AS rs FROM {n}g UNION ALL
+SELECT id, k + 1, g, x, r, {plus('r', '(list_dot_product(r, r) / rs)', 'p')}, list_dot_product(r, r) FROM (SELECT id, k, g, rs, p, {plus('x', 'f', 'p')} AS x, {plus('r', '(-f)', 'ap')} AS r FROM
+(SELECT *, rs / list_dot_product(p, ap) AS f FROM (SELECT c.*, list_transform(m, lambda row: list_dot_product(row, p)) AS ap FROM {n}cg c, {n}m WHERE k < 400 AND rs > 1e-22)))),
+{n}md AS (SELECT id, arg_max(list_dot_product(g, x), k) AS md FROM {n}cg GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {E}, {moments_sql('a', 'tr')}, {quadratic_sql('a', 'q')} SELECT id AS vec_id, round(-md, 6) AS score FROM amd")
 def mahalanobis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(linear.mahalanobis(vecs(batch(spark, sf_dir)), vecs(train(spark, sf_dir))))
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {moments_sql('a', 'ref')}, {quadratic_sql('a', 'q')}, {moments_sql('b', 'tr')}, {quadratic_sql('b', 'q')} SELECT id AS vec_id, round(bmd.md - amd.md, 6) AS score FROM amd JOIN bmd USING (id)")
 def rmd_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = train(spark, sf_dir)
     return out(linear.relative_mahalanobis(vecs(batch(spark, sf_dir)), vecs(t.where("id % 2 = 0")), vecs(t)))
 
 
-@query()
+def _side(n: str, cut: str) -> str:
+    half = lambda where: f"(SELECT id, v{cut} AS v FROM {where})"
+    return ", ".join([moments_sql(f"a{n}", half("tr"), "covar_samp", "1e-6"), quadratic_sql(f"a{n}", half("q")), moments_sql(f"b{n}", half("e WHERE label = 9"), "covar_samp", "1e-6"), quadratic_sql(f"b{n}", half("q"))])
+
+
+@query(f"WITH RECURSIVE {E}, {_side('i', '[1:32]')}, {_side('o', '[33:64]')} SELECT id AS vec_id, round((bimd.md - aimd.md + bomd.md - aomd.md) / 2, 6) AS score FROM aimd JOIN bimd USING (id) JOIN aomd USING (id) JOIN bomd USING (id)")
 def rmd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two vectors per row: the halves of the embedding stand in for encoder and decoder states."""
     halves = lambda d: d.select("id", F.slice("v", 1, 32).alias("v_in"), F.slice("v", 33, 32).alias("v_out"))
     return out(linear.relative_mahalanobis_pairs(halves(batch(spark, sf_dir)), halves(train(spark, sf_dir)), halves(background(spark, sf_dir))))
 
 
-@query()
+def logistic_sql(weight: float = 1.0, cut: str = "") -> str:
+    """CTE wb (w, mu, b): logistic regression of tr against label 9, by accelerated gradient steps of one over the largest
+    curvature that the rows' lengths allow."""
+    plus = lambda a, f, b: f"list_transform(list_zip({a}, {b}), lambda z: z[1] + {f} * z[2])"
+    return f"""lx AS (SELECT row_number() OVER () AS n, x, y, wt FROM (SELECT list_append(v{cut}, 1.0::DOUBLE) AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS wt FROM tr UNION ALL SELECT list_append(v{cut}, 1.0::DOUBLE), 0.0, {weight} FROM e WHERE label = 9)),
+lt AS (SELECT list(c ORDER BY i) AS xt FROM (SELECT i, list(c ORDER BY n) AS c FROM (SELECT n, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS c FROM lx) GROUP BY i)),
+ls AS (SELECT list(x ORDER BY n) AS xs, list(y ORDER BY n) AS ys, list(wt ORDER BY n) AS ws, 1 + 0.25::DOUBLE * sum(wt * list_dot_product(x, x)) AS l FROM lx),
+la AS (SELECT xs, ys, ws, xt, l, (sqrt(l) - 1) / (sqrt(l) + 1) AS beta FROM ls, lt),
+lr AS (SELECT 0 AS k, list_transform(xt, lambda c: 0.0::DOUBLE) AS p, list_transform(xt, lambda c: 0.0::DOUBLE) AS h FROM la UNION ALL
+SELECT k + 1, p2, {plus('p2', 'beta', plus('p2', '(-1.0::DOUBLE)', 'p'))} FROM (SELECT k, p, beta, {plus('h', '(-1 / l)', plus('g', '1.0::DOUBLE', 'list_append(h[:len(h) - 1], 0.0::DOUBLE)'))} AS p2 FROM
+(SELECT k, p, h, l, beta, list_transform(xt, lambda c: list_dot_product(c, d)) AS g FROM (SELECT k, p, h, l, beta, xt, list_transform(list_zip(list_transform(xs, lambda x: list_dot_product(x, h)), ys, ws), lambda z: z[3] * (1 / (1 + exp(-z[1])) - z[2])) AS d FROM lr, la WHERE k < 40 * sqrt(l))))),
+wb AS (SELECT p[:len(p) - 1] AS w, p[len(p)] AS b, (SELECT list(a ORDER BY i) FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM tr) GROUP BY i)) AS mu FROM lr ORDER BY k DESC LIMIT 1)"""
+
+
+@query(f"WITH RECURSIVE {E}, {logistic_sql(1.0, '[1:32]')} SELECT id AS vec_id, round(list_dot_product(v[1:32], w) + b, 6) AS score FROM q, wb")
 def binary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = lambda d: d.select("id", F.slice("v", 1, 32).alias("v_in"), F.slice("v", 33, 32).alias("v_out"))
     return out(linear.relative_mahalanobis_pairs(halves(batch(spark, sf_dir)), halves(train(spark, sf_dir)), halves(background(spark, sf_dir)), "binary_input"))
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {logistic_sql(50.0)} SELECT id AS vec_id, round(list_dot_product(v, w) + b, 6) AS score FROM q, wb")
 def logistic_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = linear.logistic_margin(vecs(train(spark, sf_dir)), vecs(background(spark, sf_dir)), weight=50.0)
     return out(linear.margin_score(vecs(batch(spark, sf_dir)), m))
 
 
+def _with_logistic(name: str, **options) -> None:
+    """The detector on its own margin, logistic regression, beside its SQL on the same."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = Detector(name, **options).setup(vecs(train(spark, sf_dir)), vecs(background(spark, sf_dir)))
+        return out(d.postprocess(vecs(batch(spark, sf_dir))))
+
+    run.__name__ = f"{name}_logistic"
+    query(SQL[f"{name}_score"].replace(f"WITH {WB}", f"WITH RECURSIVE {E}, {logistic_sql()}"))(run)
+
+
+for _name, _options in (("react", {}), ("fdbd", {}), ("nnguide", {"k": 10}), ("adascale", {}), ("openmax", {})):
+    _with_logistic(_name, **_options)
+
+
+# ---- fits that SQL can't express: rows only here, held against numpy in the tests
+
+
 @query()
 def vim_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark, sf_dir, "vim", dim=32)
