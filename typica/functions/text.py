@@ -53,6 +53,21 @@ def token_estimate(text: Column, by: str = "words") -> Column:
     return F.greatest(F.lit(1), n).cast("long")
 
 
+def cut(text: Column, most: int, mark: str = "...") -> Column:
+    """A text longer than most characters is its first most and the mark."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
+
+
+def fitted(text: Column, context: int, *, prompt: int = 1500, answer: int = 0, margin: int = 200, per_token: int = 4) -> Column:
+    """Cut to what a model's context (in tokens) leaves beside its prompt, its answer and a margin, at per_token characters."""
+    return cut(text, max(0, context - prompt - answer - margin) * per_token)
+
+
+def first_tokens(text: Column, most: int) -> Column:
+    """The first most words and what stands between them; for encoders that read so many tokens."""
+    return F.when(n_words(text) <= most, text).otherwise(F.regexp_extract(text, rf"^(?s)(?:{SPACE}*[^\s]+){{1,{most}}}", 0))
+
+
 def content_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 

@@ -51,6 +51,13 @@ def normalised(v: Column, eps: float = 1e-10) -> Column:
     return let(norm(v) + eps, lambda n: F.transform(v, lambda x: x / n))
 
 
+def feature(v: Column, kind: str) -> Column:
+    """A feature type: norm is the length alone, normalized the unit vector; raw, embedding, penultimate and others the vector."""
+    if kind == "norm":
+        return F.array(norm(v))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-12)))) if kind == "normalized" else v
+
+
 def clipped(v: Column, most: float | Column) -> Column:
     return F.transform(v, lambda x: F.least(x, F.lit(most) if isinstance(most, float) else most))
 

@@ -253,7 +253,7 @@ DISTANCES: dict[str, Callable[[Column, Column, float], Column]] = {
 }
 
 
-def open_max(rows: DataFrame, fit: DataFrame, background: DataFrame, m: Margin, *, tail: int = 20, distance: str = "eucos", eu_weight: float = 0.5, tail_fit: str = "mean") -> DataFrame:
+def open_max(rows: DataFrame, fit: DataFrame, background: DataFrame, m: Margin, *, tail: int = 20, distance: str = "euclidean", eu_weight: float = 0.5, tail_fit: str = "mean") -> DataFrame:
     """The larger known-class probability after the tails of each class' distances take their share.
 
     Two classes: background (0) and in-distribution (1); a class's mean activation is over its correctly classified rows.

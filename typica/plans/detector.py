@@ -88,6 +88,11 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def register(name: str, score: Callable[..., DataFrame]) -> None:
+    """Add a detector, a function of (rows, fit, background, options) giving (id, score), to those that Detector takes."""
+    DETECTORS[name.strip().lower()] = score
+
+
 class Detector:
     """Any of DETECTORS with the common interface; thresholds are the batch's median, or OpenMax' own."""
 

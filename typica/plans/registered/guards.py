@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typica.functions import guards as G
+from typica.functions import prompts
 from typica.functions import text as T
 from typica.plans.registered import query
 from typica.session import table
@@ -220,6 +221,28 @@ def guard_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.select("req_id", "pred", "action")
 
 
+@query("""SELECT doc_id, sha256(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS fitted_sha256, length(text)::BIGINT AS n FROM documents""")
+def fitted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to a guard's context of 1800 tokens, 1500 of which are its prompt and 200 a margin: the feature's own cut."""
+    return docs(spark, sf_dir).select("doc_id", F.sha2(T.fitted(F.col("text"), 1800), 256).alias("fitted_sha256"), F.length("text").cast("long").alias("n"))
+
+
+def _template_sql() -> str:
+    parts = []
+    for name, template in sorted(prompts.TEMPLATES.items()):
+        body = template.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{text}", "' || coalesce(text, '') || '").replace("{response}", f"' || '{prompts.NO_RESPONSE}' || '")
+        parts.append(f"SELECT doc_id, '{name}' AS guard, sha256('{body}') AS prompt_sha256 FROM documents")
+    return " UNION ALL ".join(parts)
+
+
+@query(_template_sql())
+def guard_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every guard's prompt for every document, without a response to judge."""
+    d = docs(spark, sf_dir)
+    each = F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(n), F.sha2(prompts.rendered(n, F.col("text")), 256)) for n in sorted(prompts.TEMPLATES))))).alias("guard", "prompt_sha256")
+    return d.select("doc_id", each)
+
+
 TEMPLATE = "Classify the text.\n<text>{text}</text>\nAnswer for {lang}:"
 
 

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typica.functions import vectors as V
 from typica.operators import density, linear, neighbours
 from typica.operators.topology import topology
 from typica.plans import metrics
@@ -136,6 +137,12 @@ def energy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(linear.energy(vecs(batch(spark, sf_dir))))
 
 
+@query(f"WITH {E}, s AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM e) SELECT id AS vec_id, round(n, 6) AS norm, round(list_sum(list_transform(v, lambda x: abs(x / greatest(n, 1e-12)))), 6) AS unit_total, round(list_sum(v), 6) AS raw_total FROM s")
+def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = rows(spark, sf_dir).select("id", *(V.feature(F.col("v"), k).alias(k) for k in ("norm", "normalized", "raw")))
+    return out(f.select("id", F.get("norm", F.lit(0)).alias("norm"), V.total(F.transform("normalized", F.abs)).alias("unit_total"), V.total(F.col("raw")).alias("raw_total")), "norm", "unit_total", "raw_total")
+
+
 @query(f"WITH {E} SELECT i - 1 AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM tr) GROUP BY i")
 def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = train(spark, sf_dir).select(F.posexplode("v").alias("dim", "x"))
@@ -218,6 +225,10 @@ def adascale_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark, sf_dir, "adascale")
 
 
+def _euclid(p: str, m: str) -> str:
+    return f"sqrt(2 * ({p} - {m}) * ({p} - {m}))"
+
+
 def _eucos(p: str, m: str) -> str:
     return f"(0.5::DOUBLE * sqrt(2 * ({p} - {m}) * ({p} - {m})) + 1 - ((1 - {p}) * (1 - {m}) + {p} * {m}) / (sqrt((1 - {p}) * (1 - {p}) + {p} * {p}) * sqrt((1 - {m}) * (1 - {m}) + {m} * {m})))"
 
@@ -230,6 +241,11 @@ y AS (SELECT id, p, least(1, greatest(0, 1 - exp(-{_eucos('p', 'm0.m')} / s0.s))
 z AS (SELECT id, p, (1 - p) * (1 - w0 * CASE WHEN p < 0.5 THEN 1 ELSE 0.5::DOUBLE END) AS a, p * (1 - w1 * CASE WHEN p >= 0.5 THEN 1 ELSE 0.5::DOUBLE END) AS c FROM y)
 SELECT id AS vec_id, round(greatest(exp(a), exp(c)) / (exp(a) + exp(c) + exp((1 - p - a) + (p - c))), 6) AS score FROM z""")
 def openmax_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detect(spark, sf_dir, "openmax", distance="eucos")
+
+
+@query(SQL["openmax_score"].replace(_eucos("p", "m"), _euclid("p", "m")).replace(_eucos("p", "m0.m"), _euclid("p", "m0.m")).replace(_eucos("p", "m1.m"), _euclid("p", "m1.m")))
+def openmax_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark, sf_dir, "openmax")
 
 
@@ -333,7 +349,7 @@ def _with_logistic(name: str, **options) -> None:
     query(SQL[f"{name}_score"].replace(f"WITH {WB}", f"WITH RECURSIVE {E}, {logistic_sql()}"))(run)
 
 
-for _name, _options in (("react", {}), ("fdbd", {}), ("nnguide", {"k": 10}), ("adascale", {}), ("openmax", {})):
+for _name, _options in (("react", {}), ("fdbd", {}), ("nnguide", {"k": 10}), ("adascale", {}), ("openmax", {"distance": "eucos"})):
     _with_logistic(_name, **_options)
 
 

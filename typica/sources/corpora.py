@@ -77,6 +77,26 @@ def _harmful(name: str) -> Column:
     return ~value.isin("", "benign", "unharmful", "safe")
 
 
+#: The parts of one corpus, and what it is without a known one.
+PARTS = ["social_media", "education", "hr", "finance_input", "finance_output", "law_input", "law_output", "regulation_input", "regulation_output", "code", "cyber"]
+
+
+def routed(name: str) -> tuple[str, str | None]:
+    """(corpus, part or language) of a data set's name in any case: polyguard_<part> with a known part, else the first one;
+    rtp_lx_<language> and xsafety_<language>; other names are corpora themselves. Unknown ones raise."""
+    low = name.strip().lower().replace("-", "_")
+    if low == "polyguard" or low.startswith("polyguard_"):
+        part = low.removeprefix("polyguard").strip("_")
+        part = part if part in PARTS else part.split("_")[0]
+        return "polyguard", part if part in PARTS else PARTS[0]
+    for corpus in ("rtp_lx", "xsafety"):
+        if low == corpus or low.startswith(f"{corpus}_"):
+            return corpus, low.removeprefix(corpus).strip("_") or None
+    if low not in CORPORA:
+        raise ValueError(f"corpus {name!r}")
+    return low, None
+
+
 def load(rows: DataFrame, corpus: Corpus | str, order: str, *, most: int | None = None) -> DataFrame:
     """(ord, sub, dataset, is_id, text): the corpus' texts in order; a row may give several, sub counts them."""
     c = CORPORA[corpus] if isinstance(corpus, str) else corpus
