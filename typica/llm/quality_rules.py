@@ -25,7 +25,7 @@ from typica.llm.common import SPACES, free_prefix, let, numbered, unclashed, wor
 
 SYMBOLS = "#*$%&|<>"
 #: Rows, and entries of lists, up to which tables are broadcast: some 50 bytes each.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def repeated_words(words: Column) -> Column:
