@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,21 +77,21 @@ def test_decontamination_with_clashing_columns_and_shared_windows(spark, monkeyp
 
 
 def brute_lines(rows, max_docs, keep_first, copies_once):
-    holders = defaultdict(list)
+    holders, key = defaultdict(list), lambda x: re.sub("[1-9]", "0", x.lower()).strip()
     for i, t, host in rows:
-        for line in {x.strip().lower() for x in (t or "").split("\n")} - {""}:
+        for line in {key(x) for x in (t or "").split("\n")} - {""}:
             holders[host, line].append((i, t))
     out = []
     for i, t, host in rows:
         def gone(line, i=i, host=host):
-            h = holders[host, line.strip().lower()] if line.strip() else []
+            h = holders[host, key(line)] if line.strip() else []
             n = len({t for _, t in h}) if copies_once else len(h)
             return n > max_docs and not (keep_first and i == min((x for x, _ in h if x is not None), default=None))
         out.append((i, "\n".join(x for x in (t or "").split("\n") if not gone(x)) if t is not None else None))
     return Counter(out)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [200_000, 1])
 @pytest.mark.parametrize("options", [{}, {"keep_first": True}, {"copies_once": True}])
 def test_frequent_lines_by_brute_force(spark, monkeypatch, broadcast, options):
     """Lines at both ends and in runs, copies that outnumber the limit, a null host, ids that repeat."""
@@ -206,7 +207,7 @@ def test_language_model_by_plain_loops(spark, monkeypatch):
     assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-6) for a, b in zip(got, other, strict=True))
 
 
-@pytest.mark.parametrize("few", [50_000, 0, 3])
+@pytest.mark.parametrize("few", [50_000, 1, 3])
 def test_many_equal_payloads(spark, monkeypatch, few):
     monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
     rows = [(i, f"http://x/{i}", None if i % 3 == 0 else f"page {i % 7} " * 30) for i in range(60)] + [(8, "u", "page 1 " * 30), (None, "v", "w")]

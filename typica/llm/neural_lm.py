@@ -292,7 +292,7 @@ def train(read: DataFrame, v: Vocabulary, *, rounds: int = 1) -> Parameters:
             def moved() -> Iterator[pa.RecordBatch]:
                 for part in ("u1", "u2", "r", "b"):
                     at = np.flatnonzero(trainer.seen[part] > START_SEEN)
-                    x = getattr(trainer.p, part)[at].astype(np.float64).reshape(len(at), -1) * seen
+                    x = getattr(trainer.p, part)[at].astype(np.float64).reshape(len(at), 1 if part == "b" else DIM) * seen
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.full(len(at), float(seen))), flat], ["part", "at", "n", "x"])
 
