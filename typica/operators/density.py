@@ -96,28 +96,28 @@ def fit_mixtures(rows: np.ndarray | DataFrame | Rows, sizes: list[int], kind: st
 
     kind: full, tied, diag or spherical.
     """
-    rows = as_rows(rows)
-    some, origin, d = rows.some(), rows.moments()[0], rows.d
-    models: list[Mixture | np.ndarray] = [seeds(some, k, seed) for k in sizes]
-    before, moving, last = [-np.inf] * len(sizes), list(range(len(sizes))), [0.0] * len(sizes)
-    for t in range(rounds + 1):
-        now = [models[i] for i in moving]
-        cuts = np.cumsum([0, *(1 + sizes[i] * (1 + d + d * d) for i in moving)])
-        sums = rows.sums(lambda x, now=now: np.concatenate([_em_sums(m, x, origin) for m in now]))
-        still = []
-        for i, lo, hi in zip(moving, cuts, cuts[1:], strict=False):
-            s, fit = sums[lo:hi], float(sums[lo]) / rows.n
-            if t:
-                last[i] = float(s[0])
-                if abs(fit - before[i]) < tolerance or t == rounds:
-                    continue
-                before[i] = fit
-            models[i] = _em_model(s, sizes[i], d, kind, ridge, origin)
-            still.append(i)
-        moving = still
-        if not moving:
-            break
-    return list(zip(models, last, strict=True))
+    with as_rows(rows) as rows:
+        some, origin, d = rows.some(), rows.moments()[0], rows.d
+        models: list[Mixture | np.ndarray] = [seeds(some, k, seed) for k in sizes]
+        before, moving, last = [-np.inf] * len(sizes), list(range(len(sizes))), [0.0] * len(sizes)
+        for t in range(rounds + 1):
+            now = [models[i] for i in moving]
+            cuts = np.cumsum([0, *(1 + sizes[i] * (1 + d + d * d) for i in moving)])
+            sums = rows.sums(lambda x, now=now: np.concatenate([_em_sums(m, x, origin) for m in now]))
+            still = []
+            for i, lo, hi in zip(moving, cuts, cuts[1:], strict=False):
+                s, fit = sums[lo:hi], float(sums[lo]) / rows.n
+                if t:
+                    last[i] = float(s[0])
+                    if abs(fit - before[i]) < tolerance or t == rounds:
+                        continue
+                    before[i] = fit
+                models[i] = _em_model(s, sizes[i], d, kind, ridge, origin)
+                still.append(i)
+            moving = still
+            if not moving:
+                break
+        return list(zip(models, last, strict=True))
 
 
 def fit_mixture(rows: np.ndarray | DataFrame | Rows, k: int, kind: str = "full", **options) -> Mixture:
@@ -131,10 +131,10 @@ def n_parameters(k: int, d: int, kind: str) -> int:
 
 def best_mixture(rows: np.ndarray | DataFrame | Rows, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64), kind: str = "full") -> Mixture:
     """The size of the lowest BIC among those that the rows allow."""
-    rows = as_rows(rows)
-    fits = fit_mixtures(rows, [k for k in sizes if k <= rows.n], kind)
-    bic = [-2 * fit + n_parameters(len(m.weights), rows.d, kind) * np.log(rows.n) for m, fit in fits]
-    return fits[int(np.argmin(bic))][0]
+    with as_rows(rows) as rows:
+        fits = fit_mixtures(rows, [k for k in sizes if k <= rows.n], kind)
+        bic = [-2 * fit + n_parameters(len(m.weights), rows.d, kind) * np.log(rows.n) for m, fit in fits]
+        return fits[int(np.argmin(bic))][0]
 
 
 def mixture_score(rows: DataFrame, model: Mixture, *, raw: bool = False) -> DataFrame:
@@ -221,25 +221,25 @@ def fit_one_classes(rows: np.ndarray | DataFrame | Rows, nus: tuple[float, ...],
     mean of the share with the lowest w.x joins the corners, and w moves to the shortest vector between them, until no share
     lies lower. A pass over the rows serves all nus that still move; nothing is drawn at random.
     """
-    rows = as_rows(rows)
-    mean, reach = rows.moments()[0], float(np.sqrt(_largest(rows)))
-    ws: list[np.ndarray] = [mean.copy() for _ in nus]
-    corners: list[np.ndarray] = [np.empty((0, rows.d)) for _ in nus]
-    weights: list[np.ndarray] = [np.empty(0) for _ in nus]
-    moving = list(range(len(nus)))
-    for _ in range(rounds):
-        still = []
-        for i, (v, low, _) in zip(moving, _low_ends(rows, [ws[i] for i in moving], [nus[i] for i in moving], reach), strict=True):
-            if len(corners[i]) and ws[i] @ ws[i] - low <= tolerance * max(1.0, ws[i] @ ws[i]):
-                continue
-            size = len(corners[i])
-            corners[i], weights[i] = shortest(np.vstack([corners[i], v]), np.append(weights[i], 0.0 if size else 1.0))
-            ws[i] = weights[i] @ corners[i]
-            still.append(i)
-        moving = still
-        if not moving:
-            break
-    return [(w, rho) for w, (_, _, rho) in zip(ws, _low_ends(rows, ws, list(nus), reach), strict=True)]
+    with as_rows(rows) as rows:
+        mean, reach = rows.moments()[0], float(np.sqrt(_largest(rows)))
+        ws: list[np.ndarray] = [mean.copy() for _ in nus]
+        corners: list[np.ndarray] = [np.empty((0, rows.d)) for _ in nus]
+        weights: list[np.ndarray] = [np.empty(0) for _ in nus]
+        moving = list(range(len(nus)))
+        for _ in range(rounds):
+            still = []
+            for i, (v, low, _) in zip(moving, _low_ends(rows, [ws[i] for i in moving], [nus[i] for i in moving], reach), strict=True):
+                if len(corners[i]) and ws[i] @ ws[i] - low <= tolerance * max(1.0, ws[i] @ ws[i]):
+                    continue
+                size = len(corners[i])
+                corners[i], weights[i] = shortest(np.vstack([corners[i], v]), np.append(weights[i], 0.0 if size else 1.0))
+                ws[i] = weights[i] @ corners[i]
+                still.append(i)
+            moving = still
+            if not moving:
+                break
+        return [(w, rho) for w, (_, _, rho) in zip(ws, _low_ends(rows, ws, list(nus), reach), strict=True)]
 
 
 def _largest(rows: Rows) -> float:
@@ -274,10 +274,10 @@ def fit_one_class(x: np.ndarray | DataFrame | Rows, nu: float) -> tuple[np.ndarr
 
 def best_one_class(x: np.ndarray | DataFrame | Rows, nus: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2, 0.5)) -> tuple[np.ndarray, float]:
     """The nu that accepts most training rows, the first of equals."""
-    rows = as_rows(x)
-    fits = fit_one_classes(rows, nus)
-    accepted = rows.sums(lambda m: np.array([(m @ w - r >= 0).sum() for w, r in fits], np.float64))
-    return fits[int(np.argmax(accepted))]
+    with as_rows(x) as rows:
+        fits = fit_one_classes(rows, nus)
+        accepted = rows.sums(lambda m: np.array([(m @ w - r >= 0).sum() for w, r in fits], np.float64))
+        return fits[int(np.argmax(accepted))]
 
 
 def one_class_score(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -304,13 +304,13 @@ def reduction(x: np.ndarray | DataFrame | Rows, how: str, dim: int, labels: np.n
         out = np.zeros((d, dim))
         out[:, : len(keep)] = vectors[:, keep].real
         return out
-    rows = as_rows(x)
-    if how == "none":
-        return np.eye(rows.d)
-    if how == "pca":
-        _, vectors = np.linalg.eigh(rows.moments()[1])
-        return np.ascontiguousarray(vectors[:, ::-1][:, :dim])
-    raise ValueError(f"reduction {how!r}")
+    with as_rows(x) as rows:
+        if how == "none":
+            return np.eye(rows.d)
+        if how == "pca":
+            _, vectors = np.linalg.eigh(rows.moments()[1])
+            return np.ascontiguousarray(vectors[:, ::-1][:, :dim])
+        raise ValueError(f"reduction {how!r}")
 
 
 def project(rows: DataFrame, directions: np.ndarray) -> DataFrame:

@@ -7,6 +7,7 @@ fits, are the same up to rounding.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -87,5 +88,12 @@ class Rows:
             self.frame.unpersist()
 
 
-def as_rows(x: np.ndarray | DataFrame | Rows) -> Rows:
-    return x if isinstance(x, Rows) else Rows(x)
+@contextmanager
+def as_rows(x: np.ndarray | DataFrame | Rows) -> Iterator[Rows]:
+    """x to fit; what was cached for this is released."""
+    rows = x if isinstance(x, Rows) else Rows(x)
+    try:
+        yield rows
+    finally:
+        if rows is not x:
+            rows.done()
