@@ -46,7 +46,7 @@ TOP, CLASSES = 704, 319
 #: Training tokens of a shard, and most shards: what a row of parameters is averaged over.
 SHARD, SHARDS = 8_000_000, 4096
 #: Tokens that are learned from, or units that normalisers are summed over, at once.
-CHUNK, UNITS = 1 << 16, 8192
+CHUNK, UNITS = 1 << 16, 2048
 #: Words of a partition that are counted before they are passed on.
 FLUSH = 200_000
 
@@ -314,7 +314,7 @@ def train(read: DataFrame, v: Vocabulary, *, rounds: int = 1) -> Parameters:
                 yield from moved()
 
         parts = dealt.mapInArrow(run, "part string, at int, n double, x array<double>")
-        mean = [(F.sum(F.get("x", F.lit(d))) / F.sum("n")).alias(f"x{d}") for d in range(DIM)]
+        mean = [(F.sum(F.get("x", F.lit(d))) / F.sum("n")).cast("float").alias(f"x{d}") for d in range(DIM)]
         found = parts.groupBy("part", "at").agg(*mean).toArrow()  # at most as many rows as parameters
         new = {part: getattr(p, part).copy() for part in ("u1", "u2", "r", "b")}
         names, at = found.column("part").to_numpy(), found.column("at").to_numpy()
