@@ -1,6 +1,6 @@
 """Queries over scores: ranking metrics, thresholds, reports.
 
-The scores are the sum of an embedding's first two entries, rounded so that there are ties; is_id is label < 7.
+The scores are the sums of whole embeddings, rounded so that there are ties; is_id is label < 7.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typica.functions import vectors as V
 from typica.plans import metrics, report
 from typica.plans.registered import query
 from typica.plans.registered.vectors import METRICS
@@ -16,10 +17,10 @@ from typica.session import table
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.round(v[0] + v[1], 2) + 0.0).alias("score"), (F.col("label") < 7).cast("int").alias("is_id"), F.col("label").cast("long").alias("label"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.round(V.total(v), 1) + 0.0).alias("score"), (F.col("label") < 7).cast("int").alias("is_id"), F.col("label").cast("long").alias("label"))
 
 
-S = "s AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 2) + 0.0 AS score, (label < 7)::INT AS is_id, label FROM embeddings)"
+S = "s AS (SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 1) + 0.0 AS score, (label < 7)::INT AS is_id, label FROM embeddings)"
 SM = f"WITH {S}, {METRICS}"
 
 

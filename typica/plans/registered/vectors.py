@@ -20,8 +20,9 @@ from typica.session import table
 
 
 def rows(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+    """(id, v, label); with dims, v is the sums over so many equal stretches of the embedding."""
     v = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (v if dims is None else F.slice(v, 1, dims)).alias("v"), F.col("label").cast("long").alias("label"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (v if dims is None else F.array(*(V.total(F.slice(v, 1 + k * (64 // dims), 64 // dims)) for k in range(dims)))).alias("v"), F.col("label").cast("long").alias("label"))
 
 
 TRAIN = "label < 7 AND id % 5 < 3"
@@ -53,6 +54,8 @@ def out(scores: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 E = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), tr AS (SELECT * FROM e WHERE label < 7 AND id % 5 < 3), q AS (SELECT * FROM e WHERE NOT (label < 7 AND id % 5 < 3)), ref AS (SELECT * FROM tr WHERE id % 2 = 0)"
+#: The same on the sums of the embeddings' halves, two dimensions in which SQL can write out inverse and determinant.
+E2 = E.replace("embedding::DOUBLE[] AS v", "[list_sum(embedding[1:32]::DOUBLE[]), list_sum(embedding[33:64]::DOUBLE[])] AS v")
 PRDC = f"""{E},
 rr AS (SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v, b.v) END) AS k FROM ref a, ref b),
 qq AS (SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v, b.v) END) AS k FROM q a, q b),
@@ -168,12 +171,12 @@ def _m2(name: str, where: str) -> str:
     return f"{name} AS (SELECT avg(v[1]) AS mx, avg(v[2]) AS my, var_pop(v[1]) AS sxx, var_pop(v[2]) AS syy, covar_pop(v[1], v[2]) AS sxy FROM tr WHERE {where})"
 
 
-@query(f"WITH {E}, {_m2('m', 'true')} SELECT q.id AS vec_id, round(-{_md2('m', 'm')}, 6) AS score FROM q, m")
+@query(f"WITH {E2}, {_m2('m', 'true')} SELECT q.id AS vec_id, round(-{_md2('m', 'm')}, 6) AS score FROM q, m")
 def mahalanobis_lowdim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(linear.mahalanobis(vecs(batch(spark, sf_dir, 2)), vecs(train(spark, sf_dir, 2))))
 
 
-@query(f"WITH {E}, {_m2('m', 'id % 2 = 0')}, {_m2('b', 'true')} SELECT q.id AS vec_id, round({_md2('b', 'b')} - {_md2('m', 'm')}, 6) AS score FROM q, m, b")
+@query(f"WITH {E2}, {_m2('m', 'id % 2 = 0')}, {_m2('b', 'true')} SELECT q.id AS vec_id, round({_md2('b', 'b')} - {_md2('m', 'm')}, 6) AS score FROM q, m, b")
 def rmd_lowdim(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = train(spark, sf_dir, 2)
     return out(linear.relative_mahalanobis(vecs(batch(spark, sf_dir, 2)), vecs(t.where("id % 2 = 0")), vecs(t)))
@@ -249,7 +252,7 @@ def openmax_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark, sf_dir, "openmax")
 
 
-@query(f"""WITH {E}, h AS (SELECT pow(count(*), -1 / 6::DOUBLE) AS h, var_samp(v[1]) AS xx, var_samp(v[2]) AS yy, covar_samp(v[1], v[2]) AS xy FROM ref), c AS (SELECT xx * h * h + 1e-6 AS sxx, yy * h * h + 1e-6 AS syy, xy * h * h AS sxy FROM h),
+@query(f"""WITH {E2}, h AS (SELECT pow(count(*), -1 / 6::DOUBLE) AS h, var_samp(v[1]) AS xx, var_samp(v[2]) AS yy, covar_samp(v[1], v[2]) AS xy FROM ref), c AS (SELECT xx * h * h + 1e-6 AS sxx, yy * h * h + 1e-6 AS syy, xy * h * h AS sxy FROM h),
 d AS (SELECT q.id, exp(-0.5::DOUBLE * (syy * (q.v[1] - ref.v[1]) * (q.v[1] - ref.v[1]) - 2 * sxy * (q.v[1] - ref.v[1]) * (q.v[2] - ref.v[2]) + sxx * (q.v[2] - ref.v[2]) * (q.v[2] - ref.v[2])) / (sxx * syy - sxy * sxy)) / (2 * pi() * sqrt(sxx * syy - sxy * sxy)) AS k FROM q, ref, c)
 SELECT id AS vec_id, round(ln(avg(k) + 1e-10), 6) AS score FROM d GROUP BY id""")
 def kde_logpdf_lowdim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +260,7 @@ def kde_logpdf_lowdim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(density.kernel_score(vecs(batch(spark, sf_dir, 2)), density.fit_kernel(vecs(ref))))
 
 
-@query(f"""WITH {E}, g AS (SELECT label % 2 AS k, avg(v[1]) AS mx, avg(v[2]) AS my FROM tr GROUP BY k), c AS (SELECT var_pop(v[1]) AS sxx, var_pop(v[2]) AS syy, covar_pop(v[1], v[2]) AS sxy FROM tr),
+@query(f"""WITH {E2}, g AS (SELECT label % 2 AS k, avg(v[1]) AS mx, avg(v[2]) AS my FROM tr GROUP BY k), c AS (SELECT var_pop(v[1]) AS sxx, var_pop(v[2]) AS syy, covar_pop(v[1], v[2]) AS sxy FROM tr),
 p AS (SELECT q.id, exp(-0.5::DOUBLE * (syy * (q.v[1] - mx) * (q.v[1] - mx) - 2 * sxy * (q.v[1] - mx) * (q.v[2] - my) + sxx * (q.v[2] - my) * (q.v[2] - my)) / (sxx * syy - sxy * sxy)) AS e, sxx * syy - sxy * sxy AS det FROM q, g, c)
 SELECT id AS vec_id, round(ln(sum(0.5::DOUBLE * e / (2 * pi() * sqrt(det)))), 6) AS loglik, round(ln(sum(0.5::DOUBLE * e) + 1e-45), 6) AS raw FROM p GROUP BY id""")
 def gmm_score_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,14 @@ def wide(tidy: DataFrame, datasets: Sequence[str], names: Sequence[str]) -> Data
     return tidy.groupBy("method").pivot("dataset", list(datasets)).agg(*aggs)
 
 
+def lines(report: DataFrame, *columns: str) -> list[str]:
+    """A report for a console: a head and a line per row, in columns as wide as what stands in them."""
+    names = list(columns) or report.columns
+    rows = [names, *([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in report.select(*names).collect())]
+    sizes = [max(len(r[i]) for r in rows) for i in range(len(names))]
+    return ["  ".join(x.ljust(n) for x, n in zip(r, sizes, strict=True)).rstrip() for r in rows]
+
+
 def write_csv(report: DataFrame, path: str) -> None:
     """One file with a header; a report has a row per method."""
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
