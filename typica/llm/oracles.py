@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from typica.llm.quality_rules import BOILERPLATE
@@ -112,6 +114,74 @@ items AS (SELECT rid, count(*) AS n, string_agg(s, ',' ORDER BY s) AS l FROM (SE
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated FROM dw LEFT JOIN hits ON dw.rid = hits.rid LEFT JOIN items ON dw.rid = items.rid"""
 
 
+#: The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+WRAP = f"{2**64}::UHUGEINT"
+
+
+def _let(value: str, body: Callable[[str], str], names: Iterator[int] = itertools.count()) -> str:  # noqa: B008
+    name = f"x{next(names)}"
+    return f"list_transform([{value}], lambda {name}: {body(name)})[1]"
+
+
+def _add(a: str, b: str) -> str:
+    return f"((({a})::UHUGEINT + ({b})::UHUGEINT) % {WRAP})::UBIGINT"
+
+
+def _times(a: str, prime: int) -> str:
+    return f"(({a})::UHUGEINT * {PRIMES[prime - 1]}::UHUGEINT % {WRAP})::UBIGINT"
+
+
+def _turned(a: str, bits: int) -> str:
+    return _let(a, lambda v: f"((({v})::UHUGEINT * {2**bits}::UHUGEINT % {WRAP}) + ({v})::UHUGEINT // {2 ** (64 - bits)}::UHUGEINT)::UBIGINT")
+
+
+def _round(a: str, b: str) -> str:
+    return _times(_turned(_add(a, _times(b, 2)), 31), 1)
+
+
+def _number(text: str, at: str, size: int) -> str:
+    """The little-endian number of size bytes at a place of a text of hexadecimal digits."""
+    return "('0x' || " + " || ".join(f"substr({text}, 2 * ({at} + {size - 1 - i}) + 1, 2)" for i in range(size)) + ")::UBIGINT"
+
+
+def _over(first: str, parts: str, step: str) -> str:
+    return f"list_reduce(list_prepend({first}, {parts}), lambda a, b: {step})"
+
+
+def xxh64(h: str, seed: int = 42) -> str:
+    """XXH64 of the bytes that h spells in hexadecimal digits, as its definition goes: stripes of 32 bytes, words of 8 and of
+    4, bytes, and the final mixing."""
+    size = f"(length({h}) // 2)"
+    whole, rest = f"({size} // 32 * 32)", f"({size} % 32)"
+    p1, p2, p3, p4, p5 = PRIMES
+    lanes = [_over(f"{v % 2**64}::UBIGINT", f"list_transform(range({size} // 32), lambda j: {_number(h, f'(32 * j + {8 * k})', 8)})", _round("a", "b")) for k, v in enumerate((seed + p1 + p2, seed + p2, seed, seed - p1))]
+
+    def joined(v: str) -> str:
+        start = _add(_add(_turned(f"{v}[1]", 1), _turned(f"{v}[2]", 7)), _add(_turned(f"{v}[3]", 12), _turned(f"{v}[4]", 18)))
+        return _over(start, v, _add(_times(f"xor(a, {_round('0::UBIGINT', 'b')})", 1), f"{p4}::UBIGINT"))
+
+    out = _add(f"CASE WHEN {size} >= 32 THEN {_let('[' + ', '.join(lanes) + ']', joined)} ELSE {(seed + p5) % 2**64}::UBIGINT END", f"{size}::UBIGINT")
+    out = _over(out, f"list_transform(range({rest} // 8), lambda j: {_number(h, f'({whole} + 8 * j)', 8)})", _add(_times(_turned(f"xor(a, {_round('0::UBIGINT', 'b')})", 27), 1), f"{p4}::UBIGINT"))
+    out = _over(out, f"list_transform(range({rest} % 8 // 4), lambda j: {_number(h, f'({whole} + {rest} // 8 * 8)', 4)})", _add(_times(_turned(f"xor(a, {_times('b', 1)})", 23), 2), f"{p3}::UBIGINT"))
+    out = _over(out, f"list_transform(range({rest} % 4), lambda j: {_number(h, f'({whole} + {rest} // 4 * 4 + j)', 1)})", _times(_turned(f"xor(a, {_times('b', 5)})", 11), 1))
+    for shift, prime in ((33, 2), (29, 3)):
+        out = _let(out, lambda v, shift=shift, prime=prime: _times(f"xor({v}, {v} >> {shift})", prime))
+    return _let(out, lambda v: f"xor({v}, {v} >> 32)")
+
+
+def simhash_groups() -> str:
+    """Fingerprints bit by bit, links from all pairs of different fingerprints, groups by what they reach."""
+    words = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    bits = " + ".join(f"CASE WHEN 2 * sum(((x >> {b}) & 1)::BIGINT) > count(*) THEN {2**b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+sh AS (SELECT rid, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+u AS (SELECT s, {xxh64('h')} AS x FROM (SELECT s, hex(encode(s)) AS h FROM (SELECT DISTINCT s FROM sh))), f AS (SELECT rid, ({bits})::UBIGINT AS fp FROM sh JOIN u USING (s) GROUP BY rid),
+p AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (rid)), n AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+e AS (SELECT a.fp AS a, b.fp AS b FROM n a, n b WHERE bit_count(xor(a.fp, b.fp)::HUGEINT) <= 3), r AS (SELECT fp, fp AS other FROM n UNION SELECT r.fp, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.fp, min(least) AS component_id FROM r JOIN n ON n.fp = r.other GROUP BY r.fp) SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM p JOIN c USING (fp)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_frequency": LINE_FREQUENCY,
@@ -121,4 +191,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_ratio": url_ratio(),
         "op5_zstd_warc": ZSTD_WARC,
         "op8_wu_manber": WU_MANBER,
+        "op9_simhash_groups": simhash_groups(),
     }
