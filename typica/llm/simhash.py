@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typica.llm.common import bounded_batches, free_prefix, numbered, write_out
-from typica.llm.components import components
+from typica.llm.components import components, forest
 
 SEED, SEGMENTS, WIDTH, MOST = 42, 8, 8, 3
 #: Distinct fingerprints of a key that one task compares; more are dealt out as pairs of blocks of about this size.
@@ -79,23 +79,6 @@ KEY_MASKS = [_mask(i, [0, 1, *(s for s in (2, 3, 4) if s != free)]) for i in ran
 CHAINS = [[(_mask(i, list(range(n))) & (1 << 64) - 1, n * MOST // SEGMENTS) for n in (5, 7)] for i in range(SEGMENTS)]
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node to the smallest one that it reaches."""
-    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        for end in (label[a], label[b], a, b):
-            np.minimum.at(new, end, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal (kind, key, i, j) of the sorted rows; a run is bounded by the dealing of blocks."""
     rest: list[np.ndarray] | None = None
