@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import bounded_batches, free_prefix, numbered, unclashed, write_out
+from typica.llm.common import bounded_batches, discard, free_prefix, numbered, unclashed, write_out
 
 BLOCK, WINDOW = 3, 13
 #: Windows per broadcast. Their tables take some 120 MB in a Python worker (measured on random words).
@@ -186,11 +186,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     names = tuple(f"{p}{x}" for x in ("n_words", "n_hit", "spans", "found"))
     if parts == 1:
         out = search_all(docs, sent(0), text_col, names)
+        discard(pairs)
     else:
         row = free_prefix(docs.columns, "dc_row")
         rows = numbered(docs, row)
         hits = [write_out(search_all(rows.select(row, text_col), sent(k), text_col, ("n", "hit", "spans", "found"), hits_only=True), "hits") for k in range(parts)]
         found = write_out(_together(hits, row), "all-hits")
+        discard(pairs, *hits)
         found = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
         own = found.select(F.col(row).alias(f"{row}2"), F.struct("hit", "spans", "found").alias(f"{row}3"))
         joined = rows.join(own, F.col(row) == F.col(f"{row}2"), "left")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import SPACES, free_prefix, let, numbered, unclashed, words_of, write_out
+from typica.llm.common import SPACES, discard, free_prefix, let, numbered, unclashed, words_of, write_out
 
 SYMBOLS = "#*$%&|<>"
 #: Rows, and entries of lists, up to which tables are broadcast: some 50 bytes each.
@@ -126,6 +126,7 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str, host_col: str, p:
     lines, frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
     found = joined_by(lines, frequent, ["host", "a", "b"], "n_texts")
     lists = write_out(found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "first_id"))).alias("f"), F.first("n").alias("n")), "texts-with-frequent-lines")
+    discard(lines, frequent)
     n, entries = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("f")), F.lit(0))).first()
     if max(n, entries) <= BROADCAST_ROWS:
         rows, key = docs, text_key(text_col, host_col)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from typica.llm.common import LOWER, UPPER, free_prefix, unclashed, write_out
+from typica.llm.common import LOWER, UPPER, discard, free_prefix, unclashed, write_out
 
 #: Rules as (verdict, host, path).
 RULES = [
@@ -142,6 +142,7 @@ def _with_scores(texts: DataFrame) -> tuple[UrlModel, DataFrame]:
     counts = write_out(each.groupBy("gram").agg(*(F.sum(of(x)).alias(x) for x in KINDS)), "url-grams")
     ratios = write_out(log_ratios(counts), "url-ratios")
     scores = write_out(scored(texts, ratios), "url-scores")
+    discard(texts, ratios)
     bound = calibrated_bound(scores).first()["bound"]  # one number
     above = F.col("score") > F.lit(bound)
     wrong = F.sum(F.when(F.when(F.col("example") == "rej", ~above).otherwise(above), F.col("n")).otherwise(0))
