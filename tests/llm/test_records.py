@@ -79,7 +79,8 @@ URLS = [
 
 
 def test_url_filter_by_sql(spark):
-    many = [(100 + i, f"http://site{i % 9}.example.org/fr/{i}") for i in range(60)] + [(200 + i, f"http://{w}.example.org/fr/{i}") for i, w in enumerate(["casino-win", "free-bets", "casino-win", "adult-x"])]
+    name = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7))
+    many = [(100 + i, f"http://site{i % 9}.example.org/fr/{name(i)}") for i in range(60)] + [(200 + i, f"http://{w}.example.org/fr/{name(i)}") for i, w in enumerate(["casino-win", "free-bets", "casino-win", "adult-x"] * 6)]
     df = spark.createDataFrame([*URLS, *many, *many[:2]], "page_id long, url string").withColumn("score", F.lit(1)).withColumn("text", F.lit("t"))
     got = url_filter.url_filter(df)
     assert got.columns[:4] == df.columns and got.count() == df.count()
@@ -90,7 +91,8 @@ def test_url_filter_by_sql(spark):
     by = {x[0]: x for x in rows}
     assert by[1][1:5] == ("shop.example.com", "/en/7/x", "example.com/en/7", "allow") and by[4][3] is None
     assert by[8][1:5] == ("", "", None, "allow") and by[12][1:3] == ("a:", "//b/c") and by[5][3] == "example.net/de/8"
-    assert all(x[4] == "block" for k, x in by.items() if 200 <= k < 204) and all(x[4] == "allow" for k, x in by.items() if 100 <= k < 160)
+    # no URL is judged by a model that has seen it: a few of either kind may be wrong
+    assert sum(x[4] == "block" for k, x in by.items() if 200 <= k < 224) >= 20 and sum(x[4] == "allow" for k, x in by.items() if 100 <= k < 160) >= 55
 
 
 def test_url_filter_without_examples(spark):
