@@ -182,6 +182,47 @@ e AS (SELECT a.fp AS a, b.fp AS b FROM n a, n b WHERE bit_count(xor(a.fp, b.fp):
 c AS (SELECT r.fp, min(least) AS component_id FROM r JOIN n ON n.fp = r.other GROUP BY r.fp) SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM p JOIN c USING (fp)"""
 
 
+def harmonic_runs() -> str:
+    """Runs as islands among all pairs of equal words of a text, by the words between them."""
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: k::UBIGINT)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w, xor({crc}, 4294967295::UBIGINT)::BIGINT AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d), a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+v AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM a),
+x AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS word FROM v),
+m AS (SELECT l.rid, r.i - l.i AS p, l.i FROM x l JOIN x r ON l.rid = r.rid AND l.word = r.word AND r.i > l.i AND r.i - l.i <= l.n // 4),
+s AS (SELECT rid, p, min(i) AS s, count(*) + p AS len FROM (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS island FROM m) GROUP BY rid, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT rid, s, len, min(p) AS p FROM s GROUP BY ALL),
+f AS (SELECT rid, count(*) AS n_runs, arg_min({{'s': s, 'len': len, 'p': p}}, {{'a': -len, 'b': s, 'c': p}}) AS b, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + p, s + len)) AS i FROM r),
+c AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON gone.rid = x.rid AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.p AS period, 1000 * b.len // b.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN f USING (rid) LEFT JOIN c USING (rid)"""
+
+
+def _whole(scale: int) -> str:
+    """The usable vectors as whole numbers."""
+    sound = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"SELECT row_number() OVER () AS rid, *, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {sound}"
+
+
+def code_cells(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All distances to all entries, round by round."""
+    nearest = lambda k: f"a{k} AS MATERIALIZED (SELECT rid, part, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d FROM (SELECT x.rid, x.part, e.entry, sum((x.x - e.x) * (x.x - e.x))::BIGINT AS d FROM x JOIN e{k} e ON e.part = x.part AND e.pos = x.pos GROUP BY ALL) GROUP BY ALL)"
+    steps = [nearest(0)]
+    for k in range(1, rounds + 1):
+        steps += [f"m{k} AS (SELECT x.part, entry, pos, sum(x.x)::BIGINT AS s, count(*) AS n FROM x JOIN a{k - 1} USING (rid, part) GROUP BY ALL)", f"e{k} AS MATERIALIZED (SELECT e.part, e.entry, e.pos, coalesce((s - ((s % n) + n) % n) // n, e.x) AS x FROM e{k - 1} e LEFT JOIN m{k} USING (part, entry, pos))", nearest(k)]
+    return f"""WITH w AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) - 1 AS place, len(v) // {parts} AS width FROM ({_whole(4096)})),
+x AS MATERIALIZED (SELECT rid, place, (j // width) AS part, j % width AS pos, x FROM (SELECT rid, place, width, unnest(range(len(v))) AS j, unnest(v) AS x FROM w)),
+e0 AS MATERIALIZED (SELECT part, place AS entry, pos, x FROM x WHERE place < {entries}), {', '.join(steps)},
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM e{rounds}) AS codebooks_sha256 FROM w JOIN c USING (rid)"""
+
+
+#: All pairs; inner products of whole numbers stay exact in doubles.
+VORONOI_TOPK = f"""WITH w AS ({_whole(256)}), s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM w q JOIN w c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_frequency": LINE_FREQUENCY,
@@ -192,4 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_zstd_warc": ZSTD_WARC,
         "op8_wu_manber": WU_MANBER,
         "op9_simhash_groups": simhash_groups(),
+        "op11_harmonic_runs": harmonic_runs(),
+        "op12_code_cells": code_cells(),
+        "op13_voronoi_topk": VORONOI_TOPK,
     }

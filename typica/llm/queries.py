@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typica.llm import decontaminate, mixing, neural_lm, oracles, quality_rules, reply_trees, simhash, subword_classifier, token_offsets, url_filter, warc
-from typica.llm.common import table, write_out
+from typica.llm import decontaminate, mixing, neural_lm, oracles, periodic_runs, quality_rules, reply_trees, simhash, subword_classifier, token_offsets, url_filter, vector_codes, voronoi_join, warc
+from typica.llm.common import let, table, words_of, write_out
 
 
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "words_left")
@@ -109,8 +109,45 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", *(F.col(f"mx_{c}").alias(c) for c in ("topic", "n_tokens", "probability", "kept")))
 
 
+def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, where every tenth document (by its id's hash) first gets a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(w: Column, n: Column) -> Column:
+        g = F.floor(h / 10)
+        a, p = g % n, F.lit(1) + F.floor((n - g % n) / (F.lit(3) + g % 8))
+        again = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        return F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int")))
+
+    text = let(words_of(F.col("text")), lambda w: F.when(F.size(w) > 0, F.array_join(planted(w, F.size(w)), " ")).otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", F.array_max(F.transform("pr_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("down")))))
+    lines = F.array_join(F.transform("pr_runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("pr_runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.down")).alias("period"),
+        F.expr("1000 * best.length div -best.down").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("pr_collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_code_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code, its error and its label's; and the codebooks' digest."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every vector whose id is divisible by 50, with all other vectors."""
+    found = voronoi_join.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_offset_tokens, op2_line_frequency, planted_boilerplate, op3_reply_trees, branching_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups, op10_raked_mix)
+    own = (op1_offset_tokens, op2_line_frequency, planted_boilerplate, op3_reply_trees, branching_trees, op4_url_ratio, op5_zstd_warc, op6_subword_quality, op7_log_bilinear, op8_wu_manber, op9_simhash_groups, op10_raked_mix, op11_harmonic_runs, op12_code_cells, op13_voronoi_topk)
     return {f.__name__: f for f in own}
 
 
