@@ -6,13 +6,14 @@ search. A token that crosses a boundary goes, by ``rule``, to the section with m
 (``largest``); to the section of its first character (``start``); or to all that it touches in proportion to the
 characters (``split``, fractional counts). A token of which no section has a character counts for section -1.
 
-Cases: null and empty texts have one empty section without tokens; empty sections have zero; repeated rows are counted row
+Cases: null and empty texts have one empty section without tokens; very long texts and runs of one character are encoded whole; empty sections have zero; repeated rows are counted row
 by row; a null id is returned as null; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,10 @@ from typica.llm.common import bounded_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: what that pattern takes for white space.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space from so many characters on is cut out before the pattern, which would recurse once a character.
+LONG_BLANK = 10_000
 OUT = "section int, name string, start bigint, stop bigint, n_tokens double, doc_tokens bigint"
 
 
@@ -52,9 +57,21 @@ class Spans:
         for token, i in merges.items():
             self.sizes[i] = len(token)
 
+    def tokens(self, text: str, long_blank: int = LONG_BLANK) -> list[int]:
+        """The text's tokens. White space before other text is split before its last character, at a text's end not at all,
+        so a long stretch of it is one piece that needs no pattern."""
+        out, done = [], 0
+        for m in re.finditer(f"[{BLANK}]{{{long_blank},}}", text):
+            stop = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[done : m.start()])
+            if stop > m.start():
+                out += self.encoding._encode_single_piece(text[m.start() : stop])
+            done = stop
+        return out + self.encoding.encode_ordinary(text[done:])
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Start and stop of each token; a token inside a character has that character's span."""
-        stops = np.cumsum(self.sizes[np.asarray(self.encoding.encode_ordinary(text), np.int64)])
+        stops = np.cumsum(self.sizes[np.asarray(self.tokens(text), np.int64)])
         starts = np.concatenate((np.zeros(1, np.int64), stops[:-1])) if len(stops) else stops
         raw = text.encode()
         if len(raw) != len(text):
