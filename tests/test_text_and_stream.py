@@ -1,6 +1,8 @@
 """Text functions, loaders, guard parsers, cache and the streaming guard on the edge cases."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +210,14 @@ def test_rate_windows_and_batches(spark):
     assert [(x.n_requests, x.n_tokens) for x in guard.rate_window(r).orderBy("ts_us").collect()] == [(1, 1), (2, 32), (3, 92), (3, 152), (1, 131)]
     t = spark.createDataFrame([("m", i, n) for i, n in enumerate((50, 40, 20, 200, 10))] + [("k", 0, 5)], "model string, ord long, tokens long")
     assert [x.batch for x in guard.token_batches(t, 125).where("model = 'm'").orderBy("ord").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_first_tokens_of_long_and_odd_texts(spark):
+    space = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]"
+    rng = random.Random(2)
+    texts = [None, "", "  ", " a", "a b ", "\n a\u3000b  c", "".join(rng.choice("ab \t\n\xa0") for _ in range(200)), "w " * 40_000, "\x85" + "word\n\n" * 40_000 + "end"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    for most in (0, 1, 2, 8192):
+        for k, got in df.select("id", T.first_tokens(F.col("t"), most)).collect():
+            t, ends = texts[k], [] if texts[k] is None else [m.end() for m in re.finditer(f"[^{space[1:]}+", texts[k])]
+            assert got == (None if t is None else "" if most == 0 else t if len(ends) <= most else t[: ends[most - 1]])
