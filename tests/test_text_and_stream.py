@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from typica.functions import guards as G
 from typica.functions import text as T
 from typica.sources import cache, corpora
-from typica.streaming import guard
+from typica.streaming import guard, rates
 
 
 def evaluate(spark, column, values, kind="string"):
@@ -207,9 +207,9 @@ def test_guard_as_a_stream(spark, tmp_path):
 
 def test_rate_windows_and_batches(spark):
     r = spark.createDataFrame([("m", t * 1_000_000, 1 + t) for t in (0, 30, 59, 60, 130)], "model string, ts_us long, tokens long")
-    assert [(x.n_requests, x.n_tokens) for x in guard.rate_window(r).orderBy("ts_us").collect()] == [(1, 1), (2, 32), (3, 92), (3, 152), (1, 131)]
+    assert [(x.n_requests, x.n_tokens) for x in rates.rate_window(r).orderBy("ts_us").collect()] == [(1, 1), (2, 32), (3, 92), (3, 152), (1, 131)]
     t = spark.createDataFrame([("m", i, n) for i, n in enumerate((50, 40, 20, 200, 10))] + [("k", 0, 5)], "model string, ord long, tokens long")
-    assert [x.batch for x in guard.token_batches(t, 125).where("model = 'm'").orderBy("ord").collect()] == [0, 0, 1, 2, 3]
+    assert [x.batch for x in rates.token_batches(t, 125).where("model = 'm'").orderBy("ord").collect()] == [0, 0, 1, 2, 3]
 
 
 def test_first_tokens_of_long_and_odd_texts(spark):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from typica.storage import numbered
+
 #: Rows of a bank that are broadcast, and of queries that a task holds: 50 000 vectors of 64 doubles are 25 MB.
 BANK_ROWS = 50_000
 #: Queries times bank rows of a distance matrix in a worker: 32 MB.
@@ -62,6 +64,11 @@ class Fold:
     merge: Callable[[], dict]
 
 
+def large(bank: DataFrame) -> bool:
+    """Whether a bank has too many rows to be broadcast."""
+    return bank.select(F.lit(1)).limit(BANK_ROWS + 1).count() > BANK_ROWS
+
+
 def small(rows: DataFrame, most: int) -> pa.Table | None:
     """rows, if they are at most so many."""
     held = rows.limit(most + 1).toArrow()
@@ -79,7 +86,8 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
 
     A bank of at most BANK_ROWS rows is broadcast, and queries pass it without a shuffle. Else queries and bank are dealt by
     row: a task has one of the blocks of queries and one of the shares of the bank, and the shares' outputs are merged by
-    the number of the query's row. sizes: rows of both, where they are dear to work out and known from elsewhere.
+    the number of the query's row, which is written. Where far rows change nothing, cells.fold_near compares fewer.
+    sizes: rows of both, where they are dear to work out and known from elsewhere.
     """
     names, theirs, schema = queries.columns, bank.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`{n}` {t}" for n, t in fold.out)])
     held = small(bank, BANK_ROWS) if sizes is None or sizes[1] <= BANK_ROWS else None
@@ -97,14 +105,24 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
 
         return queries.mapInArrow(one, schema)
 
-    blocks = max(1, -(-(queries.count() if sizes is None else sizes[0]) // BANK_ROWS))
+    given = numbered(queries, "row")
+    blocks = max(1, -(-(given.count() if sizes is None else sizes[0]) // BANK_ROWS))
     shares = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // blocks))
-    place = lambda d, n: F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(n)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = queries.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("q")).withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).withColumn("share", every(shares))
-    other = bank.select(F.struct(*bank.columns).alias("b"), place(bank, shares).alias("share")).withColumn("block", every(blocks))
-    both = mine.select("block", "share", F.lit(0).alias("side"), "row", "q", F.lit(None).cast(other.schema["b"].dataType).alias("b"))
-    both = both.unionByName(other.select("block", "share", F.lit(1).alias("side"), F.lit(None).cast("long").alias("row"), F.lit(None).cast(mine.schema["q"].dataType).alias("q"), "b"))
+    mine = given.select(F.pmod("row", F.lit(blocks)).cast("int").alias("block"), "row", F.struct(*(F.col(f"`{n}`") for n in names)).alias("q"))
+    mine = mine.select(F.explode(F.sequence(F.col("block") * shares, F.col("block") * shares + shares - 1)).alias("task"), "row", "q")
+    own = numbered(bank, "row").select(F.struct(*(F.col(f"`{n}`") for n in theirs)).alias("b"), F.pmod("row", F.lit(shares)).cast("int").alias("share"))
+    other = own.select(F.explode(F.sequence("share", F.col("share") + shares * (blocks - 1), F.lit(shares))).alias("task"), "b")
+    return folded(mine, other, fold, blocks * shares, once=shares == 1)
+
+
+def folded(mine: DataFrame, other: DataFrame, fold: Fold, tasks: int, once: bool = False) -> DataFrame:
+    """The queries' columns and fold.out. mine: (task, row, q), row a number that is fixed; other: (task, b); q and b are
+    structs. A task has the queries that name it in memory while its bank rows stream past; a query in several tasks gets
+    its outputs merged, unless each is in one (once)."""
+    names, theirs = mine.schema["q"].dataType.names, other.schema["b"].dataType.names
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema["q"].dataType.fields), *(f"`{n}` {t}" for n, t in fold.out)])
+    both = mine.select("task", F.lit(0).alias("side"), "row", "q", F.lit(None).cast(other.schema["b"].dataType).alias("b"))
+    both = both.unionByName(other.select("task", F.lit(1).alias("side"), F.lit(None).cast("long").alias("row"), F.lit(None).cast(mine.schema["q"].dataType).alias("q"), "b"))
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, asked, cols, state = None, [], None, None
@@ -116,29 +134,29 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in ready.columns), *(pa.array(out[n], type=KINDS[t]) for n, t in fold.out)], ["row", *names, *(n for n, _ in fold.out)])
 
         for whole in batches:
-            key = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            key = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in range(2)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), whole.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                b, at = whole.slice(lo, hi - lo), tuple(key[lo, :2])
-                if at != own:
+                b = whole.slice(lo, hi - lo)
+                if key[lo, 0] != own:
                     yield from done()
-                    own, asked, cols, state = at, [], None, None
-                if key[lo, 2] == 0:
-                    asked.append(pa.RecordBatch.from_arrays([b.column(3), *b.column(4).flatten()], ["row", *names]))
+                    own, asked, cols, state = key[lo, 0], [], None, None
+                if key[lo, 1] == 0:
+                    asked.append(pa.RecordBatch.from_arrays([b.column(2), *b.column(3).flatten()], ["row", *names]))
                 elif asked:
                     if cols is None:
                         cols = columns_of(pa.Table.from_batches(asked).select(names))
                         state = fold.start(len(cols[0]))
-                    state = fold.step(state, cols, columns_of(pa.RecordBatch.from_arrays(b.column(5).flatten(), theirs)))
+                    state = fold.step(state, cols, columns_of(pa.RecordBatch.from_arrays(b.column(4).flatten(), theirs)))
         yield from done()
 
-    parts = both.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side").mapInArrow(many, f"row bigint, {schema}")
-    if shares == 1:
+    parts = both.repartitionByRange(tasks, "task").sortWithinPartitions("task", "side").mapInArrow(many, f"row bigint, {schema}")
+    if once:
         return parts.drop("row")
-    merged = parts.groupBy("row").agg(F.first(F.struct(*names)).alias("q"), *(c.alias(n) for n, c in fold.merge().items()))
-    return merged.select(*(F.col(f"q.{n}").alias(n) for n in names), *(n for n, _ in fold.out))
+    merged = parts.groupBy("row").agg(F.first(F.struct(*(F.col(f"`{n}`") for n in names))).alias("q"), *(c.alias(n) for n, c in fold.merge().items()))
+    return merged.select(*(F.col(f"q.`{n}`").alias(n) for n in names), *(n for n, _ in fold.out))
 
 
 def scan(queries: DataFrame, block: object, work: Callable, out: list[tuple[str, str]]) -> DataFrame:

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, Fold, fold_pairs, scan
+from typica.operators.blocks import CELLS, Fold, fold_pairs, large, scan
+from typica.operators.cells import fold_near
 from typica.operators.passes import Rows, as_rows
+from typica.storage import write_out
 
 
 @dataclass
@@ -148,39 +150,62 @@ def mixture_score(rows: DataFrame, model: Mixture, *, raw: bool = False) -> Data
 class Kernel:
     """points: a matrix, or a DataFrame (id, v) of any size."""
 
-    points: np.ndarray | DataFrame
+    points: tuple[np.ndarray, np.ndarray] | DataFrame  # different points and how often each occurs, or a written table (id, v, w)
     n: int
     inverse_root: np.ndarray
     log_norm: float
 
 
+def different(rows: Rows) -> tuple[np.ndarray, np.ndarray] | DataFrame:
+    """Equal rows once, with their number: what sums over rows need."""
+    if rows.frame is None:
+        return np.unique(rows.x, axis=0, return_counts=True)
+    return write_out(rows.frame.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w")).select(F.xxhash64("v").alias("id"), "v", "w"), "points")
+
+
 def fit_kernel(x: np.ndarray | DataFrame) -> Kernel:
     """Scott's bandwidth on the unbiased covariance of all rows."""
-    rows = Rows(x)
-    d, h = rows.d, rows.n ** (-1.0 / (rows.d + 4))
-    root = np.linalg.cholesky(np.atleast_2d(rows.moments()[1]) * h * h + 1e-6 * np.eye(d))
-    rows.done()
-    return Kernel(x if rows.frame is not None else rows.x, rows.n, np.linalg.inv(root), float(-0.5 * d * np.log(2 * np.pi) - np.log(np.diag(root)).sum()))
+    with as_rows(x) as rows:
+        d, h = rows.d, rows.n ** (-1.0 / (rows.d + 4))
+        root = np.linalg.cholesky(np.atleast_2d(rows.moments()[1]) * h * h + 1e-6 * np.eye(d))
+        return Kernel(different(rows), rows.n, np.linalg.inv(root), float(-0.5 * d * np.log(2 * np.pi) - np.log(np.diag(root)).sum()))
 
 
-def kernel_score(rows: DataFrame, model: Kernel) -> DataFrame:
-    """log(density + 1e-10): kernels are summed over all points, in blocks."""
-    root, norm, n = model.inverse_root.T, model.log_norm, model.n
+def gaussian_sums(rows: DataFrame, points: tuple[np.ndarray, np.ndarray] | DataFrame, log_top: float, ignored: float) -> DataFrame:
+    """(id, total): sums of w * exp(log_top - d^2 / 2) over all points, d the euclidean distance.
+
+    Of a table of points those are left out whose kernel is at most ``ignored``; cells that are too far as a whole are not
+    sent to a block of rows. What is left out adds up to at most ``ignored`` times the sum of all w.
+    """
 
     def step(state: dict, q: list, b: list) -> dict:
-        v, own, size = q[1] @ root, b[1] @ root, max(1, CELLS // max(1, len(b[1])))
+        v, own, w, size = q[1], b[1], b[2], max(1, CELLS // max(1, len(b[1])))
         for lo in range(0, len(v), size):
             part = v[lo : lo + size]
             d2 = np.maximum(0, (part * part).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * part @ own.T)
-            state["total"][lo : lo + size] += np.exp(norm - 0.5 * d2).sum(1)
+            state["total"][lo : lo + size] += np.exp(log_top - 0.5 * d2) @ w
         return state
 
-    points = model.points
-    if isinstance(points, np.ndarray):
-        points = rows.sparkSession.createDataFrame(pa.table({"id": np.arange(len(points)), "v": pa.array(list(points), pa.list_(pa.float64()))}))
     fold = Fold(lambda k: {"total": np.zeros(k)}, step, lambda s: s, [("total", "double")], lambda: {"total": F.sum("total")})
-    found = fold_pairs(rows.select("id", "v"), points.select("id", "v"), fold)
-    return found.select("id", F.ln(F.col("total") / n + 1e-10).alias("score"))
+    if not isinstance(points, DataFrame):
+        points = rows.sparkSession.createDataFrame(pa.table({"id": np.arange(len(points[0])), "v": pa.array(list(points[0]), pa.list_(pa.float64())), "w": np.asarray(points[1], np.float64)}))
+    elif large(points):
+        reach = F.lit(float(np.sqrt(max(0.0, 2 * (log_top - np.log(ignored))))))
+        return fold_near(rows.select("id", "v"), points.select("id", "v", "w"), fold, limits=(reach, reach)).select("id", "total")
+    return fold_pairs(rows.select("id", "v"), points.select("id", "v", "w"), fold).select("id", "total")
+
+
+#: What a density may be off by where points are left out: a score is ln(density + 1e-10), so it is off by 1e-7 at most.
+IGNORED = 1e-17
+
+
+def kernel_score(rows: DataFrame, model: Kernel) -> DataFrame:
+    """log(density + 1e-10). Equal points are one with their number; far points that could change no score by 1e-7 are left
+    out; all others are summed."""
+    whitened = lambda d: scan(d, model.inverse_root.T, lambda root, _, v, more: {"v": list(v @ root)} | ({"w": more[0]} if more else {}), [("v", "array<double>"), ("w", "double")][: len(d.columns) - 1])
+    points = whitened(model.points.select("id", "v", "w")) if isinstance(model.points, DataFrame) else (model.points[0] @ model.inverse_root.T, model.points[1])
+    found = gaussian_sums(whitened(rows.select("id", "v")), points, model.log_norm, IGNORED)
+    return found.select("id", F.ln(F.col("total") / model.n + 1e-10).alias("score"))
 
 
 #: Ranges of a margin's values by which a pass finds its low end.

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, Fold, distances, fold_pairs
+from typica.operators.blocks import CELLS, Fold, distances, fold_pairs, large
+from typica.operators.cells import fold_near
 
 
 def nearest(k: int, metric: str, with_ids: bool) -> Fold:
@@ -55,8 +56,13 @@ def _tied(d: np.ndarray, n: int) -> bool:
 
 def k_smallest(queries: DataFrame, bank: DataFrame, k: int, metric: str = "euclidean", *, with_ids: bool = False) -> DataFrame:
     """(id, d[, ids]), one row per query row: the distances to the k nearest bank rows, ascending; fewer if the bank is smaller."""
-    found = fold_pairs(queries.select("id", "v"), bank.select("id", "v"), nearest(k, metric, with_ids))
-    return found.select("id", "d", *(["ids"] if with_ids else []))
+    return _near(queries.select("id", "v"), bank.select("id", "v"), k, metric, with_ids).select("id", "d", *(["ids"] if with_ids else []))
+
+
+def _near(queries: DataFrame, bank: DataFrame, k: int, metric: str, with_ids: bool) -> DataFrame:
+    """All pairs with a bank that is broadcast; with a larger one only those that its cells leave."""
+    fold = nearest(k, metric, with_ids)
+    return fold_near(queries, bank, fold, metric, k=k) if large(bank) else fold_pairs(queries, bank, fold)
 
 
 def mean_distance(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:
@@ -81,7 +87,7 @@ def with_radii(rows: DataFrame, k: int) -> DataFrame:
 
     A row meets itself at distance zero, which is one of the k + 1 smallest.
     """
-    near = fold_pairs(rows.select("id", "v"), rows.select("id", "v"), nearest(k + 1, "euclidean", False))
+    near = _near(rows.select("id", "v"), rows.select("id", "v"), k + 1, "euclidean", False)
     return near.select("id", "v", F.element_at("d", -1).alias("radius"))
 
 

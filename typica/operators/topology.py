@@ -10,36 +10,53 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from typica.operators import blocks
 from typica.operators.blocks import CELLS, Fold, distances, fold_pairs
+from typica.operators.cells import fold_near
 from typica.operators.neighbours import with_radii
+from typica.storage import write_out
 
 
 def _counts() -> Fold:
-    """How many reference rows lie within the query's radius, within how many of their own radii it lies, and the nearest."""
+    """How many reference rows lie within the query's radius, and within how many of their own radii it lies."""
 
     def start(n: int) -> dict:
-        return {"in_query": np.zeros(n, np.int64), "in_ref": np.zeros(n, np.int64), "nearest": np.full(n, np.inf), "seen": np.zeros(n, np.int64)}
+        return {"in_query": np.zeros(n, np.int64), "in_ref": np.zeros(n, np.int64)}
 
     def step(state: dict, q: list, b: list) -> dict:
-        (_, v, radius), (_, bank, theirs), size = q, b, max(1, CELLS // max(1, len(b[1])))
+        (v, radius), (_, bank, theirs), size = q[1:3], b, max(1, CELLS // max(1, len(b[1])))
         for lo in range(0, len(v), size):
             d, at = distances(v[lo : lo + size], bank, "euclidean"), slice(lo, lo + size)
             state["in_query"][at] += (d < radius[at, None]).sum(1)
             state["in_ref"][at] += (d < theirs[None, :]).sum(1)
-            state["nearest"][at] = np.minimum(state["nearest"][at], d.min(1))
-            state["seen"][at] += len(bank)
         return state
 
-    out = [("in_query", "bigint"), ("in_ref", "bigint"), ("nearest", "double"), ("seen", "bigint")]
-    return Fold(start, step, lambda s: s, out, lambda: {"in_query": F.sum("in_query"), "in_ref": F.sum("in_ref"), "nearest": F.min("nearest"), "seen": F.sum("seen")})
+    return Fold(start, step, lambda s: s, [("in_query", "bigint"), ("in_ref", "bigint")], lambda: {"in_query": F.sum("in_query"), "in_ref": F.sum("in_ref")})
+
+
+def range_counts(queries: DataFrame, reference: DataFrame, n_reference: int) -> DataFrame:
+    """queries (id, v, radius) with in_query and in_ref, over reference (id, v, radius). All comparisons are strict.
+
+    A reference that is too large to be broadcast is counted by cells: those outside all balls are skipped, those wholly
+    inside are added as a whole, and only rows of the others are compared.
+    """
+    if n_reference <= blocks.BANK_ROWS:
+        return fold_pairs(queries, reference, _counts())
+    reference = write_out(reference, "radii")  # read several times
+    return fold_near(queries, reference, _counts(), limits=(F.col("radius"), F.col("radius")), whole=("in_query", "in_ref"))
 
 
 def topology(queries: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
-    """(id, recall, density, precision, coverage), one row per query row; both inputs are (id, v). All comparisons are strict."""
-    sizes = (queries.count(), reference.count())  # of the plain rows: their radii are worked out once
-    found = fold_pairs(with_radii(queries, k), with_radii(reference, k), _counts(), sizes)
-    seen = F.when(F.col("seen") > 0, F.col("seen")).otherwise(F.raise_error(F.lit("empty reference")).cast("long"))
-    return found.select("id", (F.col("in_query") / seen).alias("recall"), (F.col("in_ref") / float(k)).alias("density"), (F.col("in_ref") > 0).cast("double").alias("precision"), (F.col("nearest") < F.col("radius")).cast("double").alias("coverage"))
+    """(id, recall, density, precision, coverage), one row per query row; both inputs are (id, v). All comparisons are strict.
+
+    The nearest reference row lies within the query's radius exactly if any does, so coverage needs no distance of its own.
+    """
+    n = reference.count()
+    if not n:
+        return queries.select("id", *(F.raise_error(F.lit("empty reference")).cast("double").alias(c) for c in ("recall", "density", "precision", "coverage")))
+    found = range_counts(with_radii(queries, k), with_radii(reference, k), n)
+    one = lambda c: (c > 0).cast("double")
+    return found.select("id", (F.col("in_query") / n).alias("recall"), (F.col("in_ref") / float(k)).alias("density"), one(F.col("in_ref")).alias("precision"), one(F.col("in_query")).alias("coverage"))
 
 
 def model_features(queries: dict[str, DataFrame], reference: dict[str, DataFrame], k: int = 5) -> DataFrame:

@@ -12,38 +12,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators import density, linear, neighbours
+from typica.operators import density, kernel_margin, linear, neighbours
 from typica.operators.topology import model_features
 from typica.plans import metrics
 
 
+#: Of each method how it fits features and how it scores them.
+METHODS: dict[str, tuple[Callable, Callable]] = {
+    "gmm": (density.best_mixture, density.mixture_score),
+    "kde": (density.fit_kernel, density.kernel_score),
+    "ocsvm": (density.best_one_class, density.one_class_score),
+    "ocsvm_rbf": (kernel_margin.best_kernel_margin, kernel_margin.kernel_margin_score),
+}
+
+
 class TypicalityDetector:
-    """Topology features of one or more models under a density: method gmm, kde or ocsvm."""
+    """Topology features of one or more models under a density: method gmm, kde, ocsvm (linear) or ocsvm_rbf (Gaussian kernel).
+
+    half: a condition on id that says which training rows are the reference; by default the hash of the id does.
+    """
 
-    def __init__(self, method: str = "gmm", *, nearest_k: int = 5, percent: float = 5.0):
-        if method not in ("gmm", "kde", "ocsvm"):
+    def __init__(self, method: str = "gmm", *, nearest_k: int = 5, percent: float = 5.0, half: str | None = None):
+        if method not in METHODS:
             raise ValueError(f"method {method!r}")
-        self.method, self.k, self.percent = method, nearest_k, percent
+        self.method, self.k, self.percent, self.half = method, nearest_k, percent, half
         self.threshold: float | None = None
 
     def _half(self, rows: dict[str, DataFrame], part: int) -> dict[str, DataFrame]:
-        return {m: d.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part) for m, d in rows.items()}
+        first = F.pmod(F.xxhash64("id"), F.lit(2)) == 0 if self.half is None else F.expr(self.half)
+        return {m: d.where(first if part == 0 else ~first) for m, d in rows.items()}
 
     def fit(self, train: dict[str, DataFrame]) -> TypicalityDetector:
         """The reference half is the bank; the other half's features train the density and set the threshold."""
         self.reference = self._half(train, 0)
         features = model_features(self._half(train, 1), self.reference, self.k).select("id", F.col("f").alias("v")).persist()
         try:  # the features of all pairs are worked out once
-            self.model = {"gmm": density.best_mixture, "kde": density.fit_kernel, "ocsvm": density.best_one_class}[self.method](density.Rows(features) if self.method != "kde" else features)
-            self.threshold = 0.0 if self.method == "ocsvm" else metrics.percentile(self._score(features), self.percent / 100)
+            self.model = METHODS[self.method][0](features)
+            self.threshold = 0.0 if self.method.startswith("ocsvm") else metrics.percentile(self._score(features), self.percent / 100)
         finally:
-            if self.method != "kde" or not hasattr(self, "model") or isinstance(self.model.points, np.ndarray):
-                features.unpersist()  # a kernel density of more points than the driver holds goes on reading them
+            features.unpersist()
         return self
 
     def _score(self, features: DataFrame) -> DataFrame:
-        score: Callable = {"gmm": density.mixture_score, "kde": density.kernel_score, "ocsvm": density.one_class_score}[self.method]
-        return score(features, self.model)
+        return METHODS[self.method][1](features, self.model)
 
     def scores(self, rows: dict[str, DataFrame]) -> DataFrame:
         if self.threshold is None:
@@ -136,7 +147,7 @@ class Detector:
 def chosen(methods: str) -> list[str]:
     """Names of a comma-separated list, in any case; unknown ones raise."""
     names = [m.strip().lower() for m in methods.split(",") if m.strip()]
-    unknown = [m for m in names if m not in DETECTORS and m not in ("core_gmm", "core_kde", "core_ocsvm")]
+    unknown = [m for m in names if m not in DETECTORS and m not in {f"core_{x}" for x in METHODS}]
     if unknown:
         raise ValueError(f"methods {unknown}")
     return names

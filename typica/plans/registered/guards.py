@@ -13,7 +13,7 @@ from typica.functions import prompts
 from typica.functions import text as T
 from typica.plans.registered import query
 from typica.session import table
-from typica.streaming import guard
+from typica.streaming import guard, rates
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, model, count(*) OVER w AS n_requests, (sum(tokens) OVER w)::BIGINT AS n_tokens FROM r WINDOW w AS (PARTITION BY model ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), (F.col("event_id") % 50 + 1).alias("tokens"))
-    return guard.rate_window(r).select("event_id", "model", "n_requests", "n_tokens")
+    return rates.rate_window(r).select("event_id", "model", "n_requests", "n_tokens")
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT source AS model, doc_id AS ord, greatest(1, {WORDS})::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
@@ -184,7 +184,7 @@ SELECT d.model, d.ord, d.k, d.tokens, CASE WHEN g.used + d.tokens > 4000 THEN d.
 SELECT model, ord, tokens, batch FROM g""")
 def greedy_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select(F.col("source").alias("model"), F.col("doc_id").alias("ord"), T.token_estimate(F.col("text")).alias("tokens"))
-    return guard.token_batches(rows, 5000)
+    return rates.token_batches(rows, 5000)
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typica.functions import vectors as V
-from typica.operators import density, linear, neighbours
+from typica.operators import density, kernel_margin, linear, neighbours
 from typica.operators.topology import topology
 from typica.plans import metrics
 from typica.plans.detector import Detector, TypicalityDetector
@@ -356,6 +356,65 @@ for _name, _options in (("react", {}), ("fdbd", {}), ("nnguide", {"k": 10}), ("a
     _with_logistic(_name, **_options)
 
 
+# ---- kernel densities and margins with a Gaussian kernel
+
+
+def pair_steps_sql(source: str, nu: float, score: str) -> str:
+    """CTEs that solve the one-class dual over source (id, v) by its most violating pairs, and s (id, score) over rows of score."""
+    return f"""sv AS (SELECT row_number() OVER (ORDER BY id) AS n, v FROM {source}), gm AS (SELECT 1 / (any_value(d) * var_pop(x)) AS gamma FROM (SELECT len(v) AS d, unnest(v) AS x FROM sv)),
+km AS MATERIALIZED (SELECT list(k ORDER BY n) AS k FROM (SELECT a.n, list(exp(-gamma * list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) ORDER BY b.n) AS k FROM sv a, sv b, gm GROUP BY a.n)),
+st AS (SELECT 0 AS t, list_transform(k, lambda x: {nu}::DOUBLE) AS a, list_transform(k, lambda x: {nu}::DOUBLE * list_sum(x)) AS g, 0.0::DOUBLE AS rho, 1.0::DOUBLE AS gap FROM km UNION ALL
+SELECT t + 1, list_transform(a, lambda x, p: CASE WHEN p = i THEN CASE WHEN d = 1 - x THEN 1.0 ELSE x + d END WHEN p = j THEN CASE WHEN d = x THEN 0.0 ELSE x - d END ELSE x END), list_transform(list_zip(g, k[i], k[j]), lambda z: z[1] + d * (z[2] - z[3])), (low + high) / 2, high - low FROM
+(SELECT *, least((high - low) / greatest(2 - 2 * k[i][j], 1e-12), 1 - a[i], a[j]) AS d FROM (SELECT *, list_position(up, low) AS i, list_position(dn, high) AS j FROM (SELECT *, list_min(up) AS low, list_max(dn) AS high FROM
+(SELECT *, list_transform(list_zip(g, a), lambda z: CASE WHEN z[2] < 1 THEN z[1] ELSE 1e300 END) AS up, list_transform(list_zip(g, a), lambda z: CASE WHEN z[2] > 0 THEN z[1] ELSE -1e300 END) AS dn FROM st, km WHERE gap > 1e-11 * len(a) AND t < 100000))))),
+al AS (SELECT a, rho FROM st ORDER BY t DESC LIMIT 1),
+s AS (SELECT q.id, sum(a[n] * exp(-gamma * list_sum(list_transform(list_zip(q.v, sv.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) - any_value(rho) AS score FROM {score} q, sv, gm, al GROUP BY q.id)"""
+
+
+@query(f"WITH RECURSIVE {E}, {pair_steps_sql('tr', 0.1, 'q')} SELECT id AS vec_id, round(score, 6) AS score FROM s")
+def rbf_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-class margin with a Gaussian kernel on whole embeddings."""
+    return out(kernel_margin.kernel_margin_score(vecs(batch(spark, sf_dir)), kernel_margin.fit_kernel_margin(vecs(train(spark, sf_dir)), 0.1)))
+
+
+def topology_sql(n: str, rows: str, cut: str) -> str:
+    """CTE {n}f (id, f): the four features of rows against ref, on a slice of the vectors."""
+    near = lambda t: f"SELECT id, d AS r FROM (SELECT a.id, list_distance(a.v{cut}, b.v{cut}) AS d, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v{cut}, b.v{cut}) END) AS k FROM {t} a, {t} b) WHERE k = 6"
+    return f"""{n}f AS (SELECT id, [avg((d < rq)::INT), sum((d < rr)::INT) / 5.0, max((d < rr)::INT), max((d < rq)::INT)]::DOUBLE[] AS f
+FROM (SELECT a.id, list_distance(a.v{cut}, b.v{cut}) AS d, x.r AS rq, y.r AS rr FROM {rows} a JOIN ({near(rows)}) x USING (id), ref b JOIN ({near('ref')}) y USING (id)) GROUP BY id)"""
+
+
+#: Features of two models, the embedding and its first half: ft of the training rows that are no reference, fq of the batch.
+FEATURES = f"""{E}, odd AS (SELECT * FROM tr WHERE id % 2 <> 0), {topology_sql('a', 'odd', '')}, {topology_sql('b', 'odd', '[1:32]')}, {topology_sql('c', 'q', '')}, {topology_sql('d', 'q', '[1:32]')},
+ft AS MATERIALIZED (SELECT id, af.f || bf.f AS v FROM af JOIN bf USING (id)), fq AS MATERIALIZED (SELECT id, cf.f || df.f AS v FROM cf JOIN df USING (id))"""
+
+
+def kernel_sql(fit: str, rows: str, d: int) -> str:
+    """CTE s (id, score): the kernel density of fit in d dimensions; the bandwidth matrix is inverted by elimination."""
+    return f"""{moments_sql('k', fit, f'(SELECT count(*) FROM {fit}) ** (-2.0::DOUBLE / {d + 4}) * covar_samp', '1e-6')},
+el AS (SELECT 0 AS k, list_transform(m, lambda r, i: r || list_transform(range(1, {d + 1}), lambda j: CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE)) AS m, 0.0::DOUBLE AS ld FROM km UNION ALL
+SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN p ELSE list_transform(list_zip(r, p), lambda z: z[1] - r[k + 1] * z[2]) END), ld + ln(m[k + 1][k + 1]) FROM (SELECT *, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS p FROM el WHERE k < {d})),
+iv AS (SELECT list_transform(m, lambda r: r[{d + 1}:]) AS m, ld FROM el WHERE k = {d}),
+s AS (SELECT id, ln(avg(exp(-0.5 * ({d} * ln(2 * pi()) + ld + list_dot_product(x, list_transform(m, lambda r: list_dot_product(r, x)))))) + 1e-10) AS score FROM (SELECT q.id, list_transform(list_zip(q.v, t.v), lambda z: z[1] - z[2]) AS x FROM {rows} q, {fit} t), iv GROUP BY id)"""
+
+
+def _even(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """The core detector on two models, with even ids as the reference."""
+    pick = lambda d: {"full": vecs(d), "half": d.select("id", F.slice("v", 1, 32).alias("v"))}
+    return out(TypicalityDetector(method, half="id % 2 = 0").fit(pick(train(spark, sf_dir))).scores(pick(batch(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {FEATURES}, {kernel_sql('ft', 'fq', 8)} SELECT id AS vec_id, round(score, 6) AS score FROM s")
+def core_kde_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _even(spark, sf_dir, "kde")
+
+
+@query(f"WITH RECURSIVE {FEATURES}, {pair_steps_sql('ft', 0.01, 'fq')} SELECT id AS vec_id, round(score, 6) AS score FROM s")
+def core_rbf_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all nus the smallest accepts most training rows here."""
+    return _even(spark, sf_dir, "ocsvm_rbf")
+
+
 # ---- fits that SQL can't express: rows only here, held against numpy in the tests
 
 
