@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typica.storage import discard, drop_path, drop_scratch, numbered, scratch_path, session_dir, shared_dir, write_out  # noqa: F401
+
 #: ASCII white space, as the contracts have it: space and \t to \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none: one of our own in local mode, as in tests; an
-    error on a cluster, whose executors would each write to a disk of their own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or "/tmp/typica-shared"
-
-
-def session_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/typica/{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def free_prefix(columns: list[str], wanted: str) -> str:
     """wanted, with as many underscores as it takes until no column starts with it in any case."""
     while any(c.lower().startswith(wanted.lower()) for c in columns):
@@ -48,32 +31,6 @@ def unclashed(df: DataFrame, *added: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in own)) if any(c.lower() in own for c in df.columns) else df
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no rerun."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._typica_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by write_out, once nothing will read them again."""
-    for df in tables:
-        drop_path(df.sparkSession, df._typica_path)
-
-
-def numbered(docs: DataFrame, column: str) -> DataFrame:
-    """docs with a row number that is fixed, because it is written."""
-    return write_out(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def some_rows(rows: DataFrame, key: Column, most: int, total: int) -> DataFrame:
     """The most rows of the smallest hashes of key, of total: a bound on the hash first, so that tasks pass on few."""
     h = F.xxhash64(key)
@@ -104,8 +61,3 @@ def words_of(text: Column) -> Column:
     """The words between ASCII white space, in order; none for null."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return let(t, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"[ \t-\r]+")))
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application in the shared folder; results that read them end with them."""
-    drop_path(spark, session_dir(spark))
