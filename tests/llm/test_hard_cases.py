@@ -96,6 +96,7 @@ def brute_lines(rows, max_docs, keep_first, copies_once):
 def test_frequent_lines_by_brute_force(spark, monkeypatch, broadcast, options):
     """Lines at both ends and in runs, copies that outnumber the limit, a null host, ids that repeat."""
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(quality_rules, "BROADCAST_ENTRIES", broadcast)
     rng = random.Random(6)
     lines = [words(4, rng, 50) for _ in range(6)]
     rows = [(i, "\n".join(rng.choices([*lines, words(5, rng), "", " "], k=rng.randrange(1, 9))), rng.choice(["a", "b", None])) for i in range(60)]

@@ -21,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.llm.common import SPACES, discard, free_prefix, let, numbered, unclashed, words_of, write_out
+from typica.llm.common import SPACES, discard, free_prefix, let, unclashed, words_of, write_out
 
 SYMBOLS = "#*$%&|<>"
 #: Rows, and entries of lists, up to which tables are broadcast: some 50 bytes each.
 BROADCAST_ROWS = 100_000
+#: Lists of places, and places in them, up to which they are broadcast: some 50 bytes a list and 16 a place.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def repeated_words(words: Column) -> Column:
@@ -127,15 +129,19 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str, host_col: str, p:
     found = joined_by(lines, frequent, ["host", "a", "b"], "n_texts")
     lists = write_out(found.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "first_id"))).alias("f"), F.first("n").alias("n")), "texts-with-frequent-lines")
     discard(lines, frequent)
-    n, entries = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("f")), F.lit(0))).first()
-    if max(n, entries) <= BROADCAST_ROWS:
-        rows, key = docs, text_key(text_col, host_col)
-        listed = F.broadcast(lists.select(*(F.col(c).alias(f"{p}{c}") for c in KEY), F.col("f").alias(f"{p}f")))
-        out = rows.join(listed, [k.eqNullSafe(F.col(f"{p}{c}")) for k, c in zip(key, KEY, strict=True)], "left")
+    n, entries, total = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("f")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    listed = lambda d, q: d.select(*(F.col(c).alias(f"{q}{c}") for c in KEY), F.col("f").alias(f"{q}f"))
+    key = text_key(text_col, host_col)
+    same = lambda k, q: [a.eqNullSafe(F.col(f"{q}{c}")) for a, c in zip(k, KEY, strict=True)]
+    if max(n, entries) <= BROADCAST_ENTRIES:
+        out = docs.join(F.broadcast(listed(lists, p)), same(key, p), "left")
     else:
-        rows = numbered(docs, f"{p}row")
-        mine = joined_by(rows.select(f"{p}row", *text_key(text_col, host_col)), lists, list(KEY), "n")
-        out = rows.join(mine.select(F.col(f"{p}row").alias(f"{p}own"), F.col("f").alias(f"{p}f")), F.col(f"{p}row") == F.col(f"{p}own"), "left")
+        # texts that many rows have are broadcast with their lists; their rows go anywhere in the shuffle of the others
+        heavy = F.col("n") > total / BROADCAST_ROWS
+        own = docs.join(F.broadcast(listed(lists.where(heavy), f"{p}h_")), same(key, f"{p}h_"), "left")
+        t1 = F.when(F.col(f"{p}h_f").isNull(), key[1]).otherwise(F.xxhash64(F.col(id_col), key[2]))
+        rest = listed(lists.where(~heavy), f"{p}r_")
+        out = own.join(rest, [F.col(f"{p}h_f").isNull(), *same([key[0], t1, key[2]], f"{p}r_")], "left").withColumn(f"{p}f", F.coalesce(f"{p}h_f", f"{p}r_f"))
     mine = F.filter(f"{p}f", lambda f: ~f["first_id"].eqNullSafe(F.col(id_col))) if keep_first else F.col(f"{p}f")
     places = F.transform(mine, lambda f: f["place"])
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.size(places) > 0, places).alias(f"{p}f"))
