@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from typica.functions.text import strip
-
+from typica.functions.vectors import let
 
 #: The marker words of the guards' outputs.
 RESULT_MARK, REASONING_MARK = "[RESULT]", "[REASONING]"
@@ -36,15 +36,20 @@ def judged_guard(raw: Column) -> Column:
     lines = F.transform(after_mark(F.lower(raw), RESULT_MARK + ":"), lambda x: F.split_part(F.regexp_replace(x, r"^\s+", ""), F.lit("\n"), F.lit(1)))
     digit = lambda x: F.regexp_extract(x, "[0-9]", 0)
     line = F.get(F.filter(lines, lambda x: (x.startswith("safe") | x.startswith("unsafe")) & (digit(x) != "")), F.lit(0))
-    level, up = F.when(line.isNotNull(), digit(line).cast("int")), F.upper(F.coalesce(raw, F.lit("")))
+    up = F.upper(F.coalesce(raw, F.lit("")))
     said = lambda w: F.contains(up, F.lit(w))
-    return (
-        F.when(line.startswith("safe"), F.greatest(F.lit(0.1), 1.0 - (level - 1) * 0.2))
-        .when(line.startswith("unsafe"), F.greatest(F.lit(0.05), 0.3 - (level - 3) * 0.05))
-        .when(said("SAFE") & ~said("UNSAFE"), JUDGED["the word safe"])
-        .when(said("UNSAFE"), JUDGED["the word unsafe"])
-        .otherwise(JUDGED["neither"])
-    )
+
+    def verdict(line: Column) -> Column:
+        level = F.when(line.isNotNull(), digit(line).cast("int"))
+        return (
+            F.when(line.startswith("safe"), F.greatest(F.lit(0.1), 1.0 - (level - 1) * 0.2))
+            .when(line.startswith("unsafe"), F.greatest(F.lit(0.05), 0.3 - (level - 3) * 0.05))
+            .when(said("SAFE") & ~said("UNSAFE"), JUDGED["the word safe"])
+            .when(said("UNSAFE"), JUDGED["the word unsafe"])
+            .otherwise(JUDGED["neither"])
+        )
+
+    return let(line, verdict)
 
 
 def reasoning(raw: Column) -> Column:

@@ -81,6 +81,12 @@ def content_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def batch_key(texts: Column, salt: str, settings: str = "") -> Column:
+    """Twelve digits that name a batch, an array of texts in order, under a salt and the settings of what judges it."""
+    each = F.array_join(F.transform(texts, lambda t: F.concat(F.coalesce(t, F.lit("None")), F.lit("\n"))), "")
+    return F.left(F.sha1(F.concat(each, F.lit(salt + settings))), F.lit(12))
+
+
 def rendered(template: str, **columns: Column) -> Column:
     """template with each {name} replaced by its column; nulls are empty."""
     parts, rest = [], template

@@ -64,11 +64,6 @@ class Fold:
     merge: Callable[[], dict]
 
 
-def large(bank: DataFrame) -> bool:
-    """Whether a bank has too many rows to be broadcast."""
-    return bank.select(F.lit(1)).limit(BANK_ROWS + 1).count() > BANK_ROWS
-
-
 def small(rows: DataFrame, most: int) -> pa.Table | None:
     """rows, if they are at most so many."""
     held = rows.limit(most + 1).toArrow()
@@ -81,16 +76,17 @@ def columns_of(t: pa.Table | pa.RecordBatch) -> list:
     return [matrix(flat(c)) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy() for c in t.columns]
 
 
-def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int, int] | None = None) -> DataFrame:
+def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int, int] | None = None, held: pa.Table | None = None) -> DataFrame:
     """queries' columns and fold.out, one row per row of queries, whatever their ids. The first columns are id and v.
 
     A bank of at most BANK_ROWS rows is broadcast, and queries pass it without a shuffle. Else queries and bank are dealt by
     row: a task has one of the blocks of queries and one of the shares of the bank, and the shares' outputs are merged by
     the number of the query's row, which is written. Where far rows change nothing, cells.fold_near compares fewer.
-    sizes: rows of both, where they are dear to work out and known from elsewhere.
+    sizes: rows of both, where they are dear to work out and known from elsewhere; held: the bank, where the caller has it.
     """
-    names, theirs, schema = queries.columns, bank.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`{n}` {t}" for n, t in fold.out)])
-    held = small(bank, BANK_ROWS) if sizes is None or sizes[1] <= BANK_ROWS else None
+    names, schema = queries.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`{n}` {t}" for n, t in fold.out)])
+    if held is None and (sizes is None or sizes[1] <= BANK_ROWS):
+        held = small(bank, BANK_ROWS)
     if held is not None:
         sent = queries.sparkSession.sparkContext.broadcast(columns_of(held))
 
@@ -105,7 +101,7 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
 
         return queries.mapInArrow(one, schema)
 
-    given = numbered(queries, "row")
+    given, theirs = numbered(queries, "row"), bank.columns
     blocks = max(1, -(-(given.count() if sizes is None else sizes[0]) // BANK_ROWS))
     shares = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // blocks))
     mine = given.select(F.pmod("row", F.lit(blocks)).cast("int").alias("block"), "row", F.struct(*(F.col(f"`{n}`") for n in names)).alias("q"))

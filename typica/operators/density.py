@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, Fold, fold_pairs, large, scan
+from typica.operators import blocks
+from typica.operators.blocks import CELLS, Fold, fold_pairs, scan, small
 from typica.operators.cells import fold_near
 from typica.operators.passes import Rows, as_rows
 from typica.storage import write_out
@@ -187,12 +188,18 @@ def gaussian_sums(rows: DataFrame, points: tuple[np.ndarray, np.ndarray] | DataF
         return state
 
     fold = Fold(lambda k: {"total": np.zeros(k)}, step, lambda s: s, [("total", "double")], lambda: {"total": F.sum("total")})
+    given = rows.select("id", "v")
     if not isinstance(points, DataFrame):
-        points = rows.sparkSession.createDataFrame(pa.table({"id": np.arange(len(points[0])), "v": pa.array(list(points[0]), pa.list_(pa.float64())), "w": np.asarray(points[1], np.float64)}))
-    elif large(points):
-        reach = F.lit(float(np.sqrt(max(0.0, 2 * (log_top - np.log(ignored))))))
-        return fold_near(rows.select("id", "v"), points.select("id", "v", "w"), fold, limits=(reach, reach)).select("id", "total")
-    return fold_pairs(rows.select("id", "v"), points.select("id", "v", "w"), fold).select("id", "total")
+        held = pa.table({"id": np.arange(len(points[0])), "v": pa.array(list(points[0]), pa.list_(pa.float64())), "w": np.asarray(points[1], np.float64)})
+        if held.num_rows <= blocks.BANK_ROWS:
+            return fold_pairs(given, given, fold, held=held).select("id", "total")
+        points = rows.sparkSession.createDataFrame(held)
+    points = points.select("id", "v", "w")
+    held = small(points, blocks.BANK_ROWS)
+    if held is not None:
+        return fold_pairs(given, points, fold, held=held).select("id", "total")
+    reach = F.lit(float(np.sqrt(max(0.0, 2 * (log_top - np.log(ignored))))))
+    return fold_near(given, points, fold, limits=(reach, reach)).select("id", "total")
 
 
 #: What a density may be off by where points are left out: a score is ln(density + 1e-10), so it is off by 1e-7 at most.

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typica.operators.blocks import CELLS, Fold, distances, fold_pairs, large
+from typica.operators import blocks
+from typica.operators.blocks import CELLS, Fold, distances, fold_pairs, small
 from typica.operators.cells import fold_near
 
 
@@ -62,7 +63,8 @@ def k_smallest(queries: DataFrame, bank: DataFrame, k: int, metric: str = "eucli
 def _near(queries: DataFrame, bank: DataFrame, k: int, metric: str, with_ids: bool) -> DataFrame:
     """All pairs with a bank that is broadcast; with a larger one only those that its cells leave."""
     fold = nearest(k, metric, with_ids)
-    return fold_near(queries, bank, fold, metric, k=k) if large(bank) else fold_pairs(queries, bank, fold)
+    held = small(bank, blocks.BANK_ROWS)
+    return fold_near(queries, bank, fold, metric, k=k) if held is None else fold_pairs(queries, bank, fold, held=held)
 
 
 def mean_distance(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:

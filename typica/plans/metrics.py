@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from typica.operators import order
 from typica.operators.order import ranged, ranges_for
+from typica.storage import write_out
 
 
 def counts(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -117,7 +118,8 @@ def all_metrics(scores: DataFrame, eps: float = 1e-10) -> DataFrame:
 def by_group(scores: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
     """keys, auroc, auprc, f1 for every group of keys at once."""
     tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp0", "fp0"))
-    return curve_of(counts(scores, keys), keys).groupBy(*keys).agg(
+    counted = write_out(counts(scores, keys), "group-counts")  # read several times; scores may be dear
+    return curve_of(counted, keys).groupBy(*keys).agg(
         auroc_of(tp, fp, tp0, fp0).alias("auroc"),
         F.try_divide(F.sum((tp - tp0) * tp / (tp + fp)), F.max("tp")).alias("auprc"),
         F.max(f1_of(eps)).alias("f1"),

@@ -247,3 +247,10 @@ def load_literal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus without rows is replaced by literal prompts."""
     none = corpora.load(docs(spark, sf_dir).where("lang = 'xx'").withColumnRenamed("text", "prompt"), "orbench", "doc_id")
     return corpora.or_literal(none, ["What is a haiku?", "Name a river."], 4, "literal").select("ord", "text")
+
+
+@query("SELECT conv_id, left(sha1(string_agg(coalesce(text, 'None') || chr(10), '' ORDER BY turn, text) || 'test' || 'mean|False'), 12) AS key, count(*) AS n FROM conversations GROUP BY conv_id")
+def batch_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each conversation's turns as a batch."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", T.batch_key(F.col("t.text"), "test", "mean|False").alias("key"), F.size("t").cast("long").alias("n"))

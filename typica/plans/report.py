@@ -45,8 +45,8 @@ def write_csv(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_metadata(report: DataFrame, path: str, metadata: Mapping[str, object]) -> None:
-    """Run metadata as one JSON row beside a report."""
+def write_metadata(report: DataFrame, path: str, metadata: Mapping[str, object], at: datetime | None = None) -> None:
+    """Run metadata as one JSON row beside a report, with the time of the run: now, unless the caller has a clock."""
     spark = report.sparkSession
     fields = [F.lit(v if isinstance(v, (str, int, float, bool)) else str(v)).alias(k) for k, v in metadata.items()]
-    spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("timestamp"), *fields).coalesce(1).write.mode("overwrite").json(path)
+    spark.range(1).select(F.date_format(F.current_timestamp() if at is None else F.lit(at), "yyyyMMdd_HHmmss").alias("timestamp"), *fields).coalesce(1).write.mode("overwrite").json(path)
