@@ -155,21 +155,22 @@ def needed(candidates: DataFrame, d: int, pivots: np.ndarray, largest: int, cell
 
     A query of a cell is at least r(c, pivot) - radius from candidate c, r being c's distance from that cell's pivot.
     """
-    use, names = np.array(sorted(cells)), [*candidates.columns, "groups"]
+    use, names = np.array(sorted(cells, key=lambda c: (cells[c][0], c))), [*candidates.columns, "groups"]
     first, parts, radius, reach = (np.array([cells[c][j] for c in use]) for j in range(4))
-    sent = candidates.sparkSession.sparkContext.broadcast((pivots[use], first, parts, radius + reach))
+    starts = np.unique(first, return_index=True)[1]  # cells of a group stand together
+    sent = candidates.sparkSession.sparkContext.broadcast((pivots[use], starts, first[starts], parts[starts], radius + reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, several, bound = sent.value
+        at, starts, own, several, bound = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
                 r = apart(extended(whole_matrix(b.column(b.num_columns - 1), d), largest), at)
-                row, cell = np.nonzero(r <= bound[None, :] + SLACK * (1 + r))
-                n = several[cell]
-                each = np.repeat(own[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pairs = np.unique(np.stack([np.repeat(row, n), each], 1), axis=0)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(b.num_rows + 1)), pa.int32()), pa.array(pairs[:, 1].astype(np.int32)))
+                row, at_group = np.nonzero(np.logical_or.reduceat(r <= bound[None, :] + SLACK * (1 + r), starts, axis=1))
+                n = several[at_group]
+                groups = np.repeat(own[at_group], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.cumsum(np.bincount(row, n, b.num_rows).astype(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(groups.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names)
 
     return candidates.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema), "groups array<int>"]))
