@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from typica.functions import text as T
 from typica.plans.registered import query
-from typica.sources import cache, corpora
+from typica.sources import cache, corpora, hub
 from typica.session import table
+from typica.storage import scratch_path
 
 #: Language names by code.
 LANGUAGES = {"en": "English", "de": "German", "fr": "French"}
@@ -254,3 +255,18 @@ def batch_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name of each conversation's turns as a batch."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("conv_id", T.batch_key(F.col("t.text"), "test", "mean|False").alias("key"), F.size("t").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE lang IN ('de', 'fr')")
+def load_hub_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as shards of JSON lines in folders by language, of which two are read."""
+    root = scratch_path(spark, "shards")
+    docs(spark, sf_dir).select("doc_id", "text", "lang").write.partitionBy("lang").option("compression", "gzip").json(f"{root}/train")
+    return hub.scan(spark, root).where(F.col("lang").isin("de", "fr")).select("doc_id", "text", "lang")
+
+
+@query("SELECT doc_id, array_to_string(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \\t\\n\\x0B\\f\\r]+')[1:64], ' ') AS first FROM documents")
+def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 words of every document, found in the whole text; white space between them as one blank."""
+    cut = F.regexp_replace(T.first_tokens(T.strip(F.col("text")), 64), r"\s+", " ")
+    return docs(spark, sf_dir).select("doc_id", cut.alias("first"))
