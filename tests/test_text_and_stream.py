@@ -190,11 +190,13 @@ def test_guard_fills_and_stops(spark):
     assert at[5] == (25, 25) and at[20] == (13, 13) and at[41] == (3, 3) and len(at) == 13
 
 
-def test_guard_as_a_stream(spark, tmp_path):
+@pytest.mark.parametrize(("options", "stay"), [({"history": 0}, 0), ({}, 2)])
+def test_guard_as_a_stream(spark, tmp_path, options, stay):
+    """Without a history finished requests leave the state; by default the last ones stay to fill batches."""
     source = tmp_path / "in"
     source.mkdir()
     kind = "req_id long, text string, finish_reason string, seq long"
-    q = guard.run(spark.readStream.schema(kind).parquet(str(source)), score, str(tmp_path / "out"), least=2)
+    q = guard.run(spark.readStream.schema(kind).parquet(str(source)), score, str(tmp_path / "out"), least=2, **options)
     for n in (1, 2):
         came(spark, [(i, words(20 * n), "stop" if n == 2 else None, n) for i in (4, 5)]).coalesce(1).write.mode("append").parquet(str(source))
         q.processAllAvailable()
@@ -202,7 +204,7 @@ def test_guard_as_a_stream(spark, tmp_path):
     actions = spark.read.parquet(str(tmp_path / "out" / "actions"))
     assert {(r.req_id, r.action) for r in actions.collect()} == {(4, "go"), (5, "stop")} and actions.count() == 4
     last = max(int(p.name) for p in (tmp_path / "out" / "state").iterdir())
-    assert spark.read.schema(guard.STATE).parquet(str(tmp_path / "out" / "state" / str(last))).count() == 0
+    assert spark.read.schema(guard.STATE).parquet(str(tmp_path / "out" / "state" / str(last))).count() == stay
 
 
 def test_rate_windows_and_batches(spark):

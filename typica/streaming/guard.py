@@ -80,7 +80,7 @@ def kept_state(new: DataFrame, history: int) -> DataFrame:
 def run(stream: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, *, history: int = 1000, **limits):
     """Start the guard on a stream of (req_id, text, finish_reason, seq). Scores, state and actions are tables under folder, one
     per batch, so a batch that runs twice writes the same. Of the state the last two batches are kept. Finished requests
-    leave the state once they are scored at their end, but for the last ``history`` of them."""
+    leave the state once they are scored at their end, but for the last ``history`` of them, which fill batches."""
 
     def each(came: DataFrame, number: int) -> None:
         spark = came.sparkSession
