@@ -13,7 +13,8 @@ from typica.functions import prompts
 from typica.functions import text as T
 from typica.plans.registered import query
 from typica.session import table
-from typica.streaming import guard, rates
+from typica.storage import scratch_path
+from typica.streaming import guard, rates, stateful
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +222,30 @@ def guard_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.select("req_id", "pred", "action")
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS req_id, CASE WHEN turn <= 1 THEN 0 WHEN turn <= 3 THEN 1 ELSE 2 END AS part, max({{'s': turn, 't': coalesce(text, '')}}) AS m FROM conversations GROUP BY ALL),
+x AS (SELECT req_id, part, m.s >= 3 AS done, m.t AS text FROM c), p AS (SELECT *, {WORDS} AS wc FROM x),
+r AS (SELECT DISTINCT req_id, -1 AS part, 0::BIGINT AS last, false AS due, '' AS text FROM p UNION ALL
+SELECT r.req_id, r.part + 1, CASE WHEN p.wc - r.last >= 20 OR p.done THEN p.wc ELSE r.last END, coalesce(p.wc - r.last >= 20 OR p.done, false), p.text FROM r LEFT JOIN p ON p.req_id = r.req_id AND p.part = r.part + 1 WHERE r.part < 2),
+a AS (SELECT req_id, CASE WHEN length(text) % 7 = 0 THEN -1 ELSE 1 END AS pred FROM r WHERE due) SELECT req_id, pred, CASE WHEN pred < 1 THEN 'stop' ELSE 'go' END AS action FROM a""")
+def guard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard on the state store: conversations come as a stream in three parts, by turn; all actions."""
+    c = table(spark, sf_dir, "conversations")
+    came = c.select(F.col("conv_id").alias("req_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("turn") >= 3, "stop").alias("finish_reason"), F.col("turn").cast("long").alias("seq"))
+    folder = scratch_path(spark, "guard")
+    parts = [came.where(w) for w in ("seq <= 1", "seq > 1 AND seq <= 3", "seq > 3")]
+    parts[0].write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(came.schema).parquet(f"{folder}/in")
+    q = stateful.run(stream, lambda d: d.select("req_id", F.when(F.length("text") % 7 == 0, -1).otherwise(1).alias("pred")), f"{folder}/guard", least=1)
+    try:
+        q.processAllAvailable()
+        for part in parts[1:]:
+            part.write.mode("append").parquet(f"{folder}/in")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema("req_id bigint, pred int, action string").parquet(f"{folder}/guard/actions").select("req_id", "pred", "action")
+
+
 @query("""SELECT doc_id, sha256(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS fitted_sha256, length(text)::BIGINT AS n FROM documents""")
 def fitted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut to a guard's context of 1800 tokens, 1500 of which are its prompt and 200 a margin: the feature's own cut."""

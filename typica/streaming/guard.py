@@ -58,17 +58,22 @@ def step(state: DataFrame, came: DataFrame, score: Callable[[DataFrame], DataFra
     without pred and with the error, and are due again.
     """
     now = update(state, came)
-    chosen = batch(now, **limits)
+    found, actions, error = judged(now, batch(now, **limits), score, hold)
+    new = now.join(found.select("req_id", F.lit(error is None).alias("scored")), "req_id", "left")
+    new = new.select("req_id", "text", "word_count", F.when(F.col("scored"), F.col("word_count")).otherwise(F.col("last_predicted_at")).alias("last_predicted_at"), "finish_reason", "first_seen")
+    return new, actions
+
+
+def judged(now: DataFrame, chosen: DataFrame, score: Callable[[DataFrame], DataFrame], hold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, str | None]:
+    """(scores, actions, error) of the chosen rows of now, as ``step`` describes them."""
     try:
         found, error = hold(score(chosen.select("req_id", "text"))), None
     except Exception as e:  # the guard is open when its model is not there
         found, error = chosen.select("req_id", F.lit(None).cast("int").alias("pred")), f"{type(e).__name__}: {e}"[:500]
-    new = now.join(found.select("req_id", F.lit(error is None).alias("scored")), "req_id", "left")
-    new = new.select("req_id", "text", "word_count", F.when(F.col("scored"), F.col("word_count")).otherwise(F.col("last_predicted_at")).alias("last_predicted_at"), "finish_reason", "first_seen")
     here = now.select("req_id", "here")
     stop = (F.col("pred") < 1) & F.col("here")
     actions = found.join(here, "req_id").select("req_id", "pred", F.when(stop, "stop").otherwise("go").alias("action"), F.lit(error).cast("string").alias("error"))
-    return new, actions
+    return found, actions, error
 
 
 def kept_state(new: DataFrame, history: int) -> DataFrame:
