@@ -199,9 +199,10 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.top_categories(docs(spark, sf_dir), "source")
 
 
-@query("SELECT i AS ord, ['Explain the categorical imperative.', 'What is a sonnet?', 'Describe photosynthesis.'][i % 3 + 1] AS text FROM range(10) t(i)")
+@query("WITH t AS (SELECT row_number() OVER () - 1 AS i FROM documents) SELECT i AS ord, ['Explain the categorical imperative.', 'What is a sonnet?', 'Describe photosynthesis.'][i % 3 + 1] AS text FROM t")
 def load_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.literal_corpus(spark, ["Explain the categorical imperative.", "What is a sonnet?", "Describe photosynthesis."], 10, "literal").select("ord", "text")
+    """Literal prompts in turn, as many as there are documents to set them against."""
+    return corpora.literal_corpus(spark, ["Explain the categorical imperative.", "What is a sonnet?", "Describe photosynthesis."], docs(spark, sf_dir).count(), "literal").select("ord", "text")
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
