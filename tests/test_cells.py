@@ -1,10 +1,12 @@
 """The metric index: same results as all pairs, fewer pairs; kernels and margins over tables as over matrices."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from typica.operators import blocks, cells, density, kernel_margin, neighbours, topology
+from typica.operators import blocks, cells, density, kernel_margin, neighbours, screen, topology
 from typica.operators.passes import Rows
 
 RNG = np.random.default_rng(12)
@@ -135,3 +137,33 @@ def test_margins_are_optimal_on_the_driver_and_in_tables(spark, monkeypatch, nu)
 def test_the_nu_that_accepts_most(spark):
     best = kernel_margin.best_kernel_margin(Rows(X[:120]))
     assert best.nu == 0.01 and best.gap <= 1e-9 * 0.01 * 120
+
+
+def test_how_far_a_neighbour_can_be_takes_little_memory():
+    """2048 rows, all cells and a hundred rows of each were held at once, over 3 GB a worker."""
+    pivots, rows = RNG.normal(size=(1024, 8)), RNG.normal(size=(2048, 8))
+    r, near = blocks.distances(rows, pivots, "euclidean"), np.sort(RNG.random((1024, 100)), axis=1)
+    near[::2] = np.inf
+    tracemalloc.start()
+    got = cells.reaches(r, near, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    full = np.partition((r[:50, :, None] + near).reshape(50, -1), 99, axis=1)[:, 99]
+    assert peak < 64e6 and (got[:50] >= full - 1e-12).all() and (got[:50] <= full + 0.5).all()
+    few = np.full((1024, 100), np.inf)
+    few[:, 0] = 0.0  # a row a cell: the nearest cells hold too few
+    assert cells.reaches(r[:9], few, 100) == pytest.approx(np.sort(r[:9], axis=1)[:, 99]) and np.isinf(cells.reaches(r[:9], few[:, :1], 2000)).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine", "dot"])
+def test_the_screen_loses_no_neighbour(metric):
+    """Batches of any size, repeats, an offset that short numbers can't resolve; as all distances have it."""
+    x = np.concatenate([RNG.normal(size=(5200, 6)), RNG.normal(size=(3, 6)).repeat(40, axis=0)]) + 300.0
+    q, fold = x[::17], neighbours.nearest(7, metric, True)
+    state = fold.start(len(q))
+    for lo, hi in ((0, 3), (3, 12), (12, 5000), (5000, len(x))):
+        state = fold.step(state, [None, q], [np.arange(lo, hi), x[lo:hi]])
+    want = np.sort(blocks.distances(q, x, metric), axis=1)[:, :7]
+    assert state["d"] == pytest.approx(want, abs=2e-5 if metric == "euclidean" else 1e-8)
+    at, near = np.indices(state["ids"].shape)[0].ravel(), state["ids"].ravel()
+    assert screen.measured(q, x, at, near, metric) == pytest.approx(state["d"].ravel(), abs=1e-12)

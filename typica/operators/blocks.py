@@ -18,6 +18,8 @@ from typica.storage import numbered
 
 #: Rows of a bank that are broadcast, and of queries that a task holds: 50 000 vectors of 64 doubles are 25 MB.
 BANK_ROWS = 50_000
+#: Rows of a broadcast bank from which queries are dealt out anew.
+DEAR_ROWS = 2_000
 #: Queries times bank rows of a distance matrix in a worker: 32 MB.
 CELLS = 4_000_000
 
@@ -70,6 +72,11 @@ def small(rows: DataFrame, most: int) -> pa.Table | None:
     return held if held.num_rows <= most else None
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out for work per row that is much dearer than moving it, however few files or row groups they come from."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def columns_of(t: pa.Table | pa.RecordBatch) -> list:
     """Columns as numpy: vectors as a matrix."""
     flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
@@ -99,7 +106,7 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
                     done = fold.finish(state)
                     yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(done[n], type=KINDS[t]) for n, t in fold.out)], [*names, *(n for n, _ in fold.out)])
 
-        return queries.mapInArrow(one, schema)
+        return (spread(queries) if held.num_rows > DEAR_ROWS else queries).mapInArrow(one, schema)
 
     given, theirs = numbered(queries, "row"), bank.columns
     blocks = max(1, -(-(given.count() if sizes is None else sizes[0]) // BANK_ROWS))

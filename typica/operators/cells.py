@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typica.operators import blocks
-from typica.operators.blocks import Fold, distances, folded, matrix
+from typica.operators.blocks import Fold, distances, folded, matrix, spread
 from typica.operators.passes import sample
 from typica.storage import discard, numbered, write_out
 
 #: Pivots at most, rows that they are chosen from, rows of the bank that a task lets pass.
 PIVOTS, FIT_ROWS, SHARE_ROWS = 1024, 16_384, 2_000_000
+#: Cells of the nearest pivots that bound how far a neighbour can be; sums of distances that a worker holds for this: 8 MB.
+NEAR_CELLS, REACH_CELLS = 32, 1_000_000
 #: Distances are floats: what is skipped must be this far beyond its limit, in proportion.
 SLACK = 1e-6
 
@@ -69,26 +71,45 @@ def far_points(x: np.ndarray, n: int, space: Space) -> np.ndarray:
     return x[at]
 
 
-def placed(rows: DataFrame, pivots: np.ndarray, space: Space, bank: bool, nearest: tuple | None = None, k: int = 0) -> DataFrame:
-    """rows (id, v, ...) with cell and r; with nearest (cells and distances of bank rows near their pivots) also how far the
+def reaches(r: np.ndarray, near: np.ndarray, k: int, cells: int = 0) -> np.ndarray:
+    """How far the k-th nearest row of the bank can be at most, for rows at distances r from the pivots.
+
+    near: per pivot the distances of its k nearest rows, infinite where there are fewer. The cells of the NEAR_CELLS nearest
+    pivots give a bound; all cells are read only for rows for which these hold fewer than k. Few rows go at once.
+    """
+    cells = min(cells or NEAR_CELLS, r.shape[1])
+    out, size = np.full(len(r), np.inf), max(1, REACH_CELLS // (cells * near.shape[1]))
+    if cells * near.shape[1] < k:
+        return out if cells == r.shape[1] else reaches(r, near, k, r.shape[1])
+    for lo in range(0, len(r), size):
+        part = r[lo : lo + size]
+        at = np.argpartition(part, cells - 1, axis=1)[:, :cells]
+        far = (np.take_along_axis(part, at, 1)[:, :, None] + near[at]).reshape(len(part), -1)
+        out[lo : lo + size] = np.partition(far, k - 1, axis=1)[:, k - 1]
+    left = np.flatnonzero(np.isinf(out))
+    if len(left) and cells < r.shape[1]:
+        out[left] = reaches(r[left], near, k, r.shape[1])
+    return out
+
+
+def placed(rows: DataFrame, pivots: np.ndarray, space: Space, bank: bool, near: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """rows (id, v, ...) with cell and r; with near (per pivot the distances of its nearest rows of the bank) also how far the
     k-th neighbour can be."""
-    names = [*rows.columns, "cell", "r", *(["reach"] if nearest is not None else [])]
-    sent = rows.sparkSession.sparkContext.broadcast((pivots, nearest))
+    names = [*rows.columns, "cell", "r", *(["reach"] if near is not None else [])]
+    sent = rows.sparkSession.sparkContext.broadcast((pivots, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, near = sent.value
+        at, theirs = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
                 r = space.apart(space.of(matrix(b.column(1)), bank), at)
-                cell, more = r.argmin(1), []
-                if near is not None:
-                    reach = r[:, near[0]] + near[1][None, :]
-                    more = [pa.array(np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(r), np.inf))]
+                cell = r.argmin(1)
+                more = [] if theirs is None else [pa.array(reaches(r, theirs, k))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(r[np.arange(len(r)), cell]), *more], names)
 
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "cell int", "r double", *(["reach double"] if nearest is not None else [])]
-    return rows.mapInArrow(run, ", ".join(schema))
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "cell int", "r double", *(["reach double"] if near is not None else [])]
+    return spread(rows).mapInArrow(run, ", ".join(schema))
 
 
 def blocks_of(n: np.ndarray, pivots: np.ndarray, most: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +156,13 @@ def fold_near(queries: DataFrame, bank: DataFrame, fold: Fold, metric: str = "eu
     none = F.lit(0.0)
     other = write_out(placed(bank, pivots, space, True).withColumn("lim", (limits[1] if limits else none).cast("double")), "cells")
     sums = other.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.min("lim").alias("least"), F.max("lim").alias("most")).toPandas().sort_values("cell")
-    nearest = None
+    near = None
     if k is not None:
         few = other.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("at") <= k).select("cell", "r").toPandas()  # PIVOTS * k rows at most
-        nearest = (few["cell"].to_numpy(), few["r"].to_numpy())
-    given = placed(queries, pivots, space, False, nearest, k or 0)
+        few = few.sort_values(["cell", "r"])
+        near = np.full((len(pivots), min(k, int(sums["n"].max()) if len(sums) else 1)), np.inf)
+        near[few["cell"], few.groupby("cell").cumcount()] = few["r"]
+    given = placed(queries, pivots, space, False, near, k or 0)
     asking = numbered(given.withColumn("lim", F.col("reach") if k is not None else limits[0].cast("double")), "row")
     cells = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius"), F.min("lim").alias("least"), F.max("lim").alias("most")).toPandas()
     n = np.zeros(len(pivots), np.int64)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typica.operators import blocks
-from typica.operators.blocks import CELLS, Fold, distances, fold_pairs
+from typica.operators.blocks import Fold, distances, fold_pairs
 from typica.operators.cells import fold_near
 from typica.operators.neighbours import with_radii
+from typica.operators.screen import DENSE, TILE_B, TILE_Q, Screen, fits, hits, measured, tiles
 from typica.storage import write_out
 
 
@@ -24,11 +25,34 @@ def _counts() -> Fold:
         return {"in_query": np.zeros(n, np.int64), "in_ref": np.zeros(n, np.int64)}
 
     def step(state: dict, q: list, b: list) -> dict:
-        (v, radius), (_, bank, theirs), size = q[1:3], b, max(1, CELLS // max(1, len(b[1])))
-        for lo in range(0, len(v), size):
-            d, at = distances(v[lo : lo + size], bank, "euclidean"), slice(lo, lo + size)
-            state["in_query"][at] += (d < radius[at, None]).sum(1)
-            state["in_ref"][at] += (d < theirs[None, :]).sum(1)
+        (v, radius), (_, bank, theirs) = q[1:3], b[:3]
+        usable = fits(v, bank, "euclidean") and np.isfinite(radius).all() and np.isfinite(theirs).all()
+        screen = Screen(v, bank, "euclidean") if usable else None
+        for lo, first in tiles(len(v), len(bank)):
+            at, near = slice(lo, lo + TILE_Q), slice(first, first + TILE_B)
+            if screen is None:
+                d = distances(v[at], bank[near], "euclidean")
+                state["in_query"][at] += (d < radius[at, None]).sum(1)
+                state["in_ref"][at] += (d < theirs[None, near]).sum(1)
+                continue
+            scores, limit = screen.scores(lo, first), radius[at]
+            least, most = screen.between(lo, limit)
+            may = scores >= least[:, None]
+            if np.count_nonzero(may) > DENSE * may.size:
+                sure = scores > most[:, None]
+                state["in_query"][at] += sure.sum(1)
+                may &= ~sure
+            i, j = hits(may)
+            state["in_query"][at] += np.bincount(i[measured(v[at], bank[near], i, j, "euclidean") < limit[i]], minlength=len(limit))
+            scores += (0.5 * np.square(theirs[near])).astype(np.float32)
+            least, most = screen.between(lo, np.zeros(len(limit)), float(np.square(theirs[near]).max()))
+            may = scores >= least[:, None]
+            if np.count_nonzero(may) > DENSE * may.size:
+                sure = scores > most[:, None]
+                state["in_ref"][at] += sure.sum(1)
+                may &= ~sure
+            i, j = hits(may)
+            state["in_ref"][at] += np.bincount(i[measured(v[at], bank[near], i, j, "euclidean") < theirs[near][j]], minlength=len(limit))
         return state
 
     return Fold(start, step, lambda s: s, [("in_query", "bigint"), ("in_ref", "bigint")], lambda: {"in_query": F.sum("in_query"), "in_ref": F.sum("in_ref")})
