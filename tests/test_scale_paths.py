@@ -220,3 +220,24 @@ def test_guard_scores_a_batch_once_and_fills_from_history(spark, tmp_path):
     assert sorted((r.batch, r.req_id) for r in actions) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 9), (2, 2), (2, 3), (2, 9)]
     assert calls.value == 10
     assert {p.name for p in (tmp_path / "out" / "state").iterdir()} == {"1", "2"}
+
+
+@pytest.mark.parametrize("name", ["knn", "cider"])
+def test_all_pairs_are_compared_once_for_decisions(spark, monkeypatch, name):
+    """The median and the rows that it decides about read the same scores; the pairs were compared three times."""
+    n = spark.sparkContext.accumulator(0)
+    real = detector.DETECTORS[name]
+
+    def counted(r, f, b, **o):
+        def run(batches):
+            for x in batches:
+                n.add(x.num_rows)
+                yield x
+
+        return real(r, f, b, **o).mapInArrow(run, "id long, score double")
+
+    monkeypatch.setitem(detector.DETECTORS, name, counted)
+    q, b = RNG.normal(size=(30, 3)), RNG.normal(size=(40, 3))
+    d = detector.Detector(name, k=2).setup(frame(spark, b), frame(spark, b))
+    got = d.predict(frame(spark, q)).collect()
+    assert len(got) == 30 and sum(r.pred == 1 for r in got) == 15 and n.value == 30

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from typica.operators import density, kernel_margin, linear, neighbours
 from typica.operators.topology import model_features
 from typica.plans import metrics
+from typica.storage import write_out
 
 
 #: Of each method how it fits features and how it scores them.
@@ -48,7 +49,7 @@ class TypicalityDetector:
         features = model_features(self._half(train, 1), self.reference, self.k).select("id", F.col("f").alias("v")).persist()
         try:  # the features of all pairs are worked out once
             self.model = METHODS[self.method][0](features)
-            self.threshold = 0.0 if self.method.startswith("ocsvm") else metrics.percentile(self._score(features), self.percent / 100)
+            self.threshold = 0.0 if self.method.startswith("ocsvm") else metrics.percentile(write_out(self._score(features), "scores"), self.percent / 100)
         finally:
             features.unpersist()
         return self
@@ -59,7 +60,8 @@ class TypicalityDetector:
     def scores(self, rows: dict[str, DataFrame]) -> DataFrame:
         if self.threshold is None:
             raise RuntimeError("fit first")
-        return self._score(model_features(rows, self.reference, self.k).select("id", F.col("f").alias("v")))
+        """Written, because thresholds, ranges and metrics read them again."""
+        return write_out(self._score(model_features(rows, self.reference, self.k).select("id", F.col("f").alias("v"))), "scores")
 
     def predict(self, rows: dict[str, DataFrame]) -> DataFrame:
         return metrics.decide(self.scores(rows), self.threshold)
@@ -132,15 +134,15 @@ class Detector:
         return DETECTORS[self.name](rows, *self.fitted, **dict(self.options))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return metrics.decide(self.postprocess(rows), 0.9 if self.name == "openmax" else None)
+        return metrics.decide(write_out(self.postprocess(rows), "scores"), 0.9 if self.name == "openmax" else None)  # all pairs once
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
-        scores = self.postprocess(rows)
+        scores = write_out(self.postprocess(rows), "scores")
         return scores.withColumn("proba", F.col("score")) if self.name == "openmax" else metrics.probabilities(scores)
 
     def evaluate(self, good: DataFrame, bad: DataFrame) -> DataFrame:
         both = good.select("id", "v", F.lit(1).alias("is_id")).unionByName(bad.select("id", "v", F.lit(0).alias("is_id")))
-        scores = self.postprocess(both.select("id", "v")).join(both.select("id", "is_id"), "id")
+        scores = write_out(self.postprocess(both.select("id", "v")), "scores").join(both.select("id", "is_id"), "id")
         return metrics.all_metrics(scores.select("score", "is_id"))
 
 
