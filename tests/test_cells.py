@@ -134,6 +134,20 @@ def test_margins_are_optimal_on_the_driver_and_in_tables(spark, monkeypatch, nu)
         assert one == pytest.approx(other, abs=1e-5)
 
 
+def test_few_rounds_and_few_rows_on_the_driver_are_enough(spark, monkeypatch):
+    x, moved = np.random.default_rng(5).normal(size=(2000, 4)), []
+    monkeypatch.setattr(kernel_margin, "WORKING", 48)
+    held = kernel_margin.fit_kernel_margin(x, 0.1, rounds=8)
+    assert held.gap <= 1e-9 * 0.1 * 2000 and held.support[1].sum() == pytest.approx(200)
+    monkeypatch.setattr("typica.operators.passes.HELD_ROWS", 100)
+    monkeypatch.setattr(kernel_margin, "HELD", 100)
+    worst = kernel_margin.Spread.worst
+    monkeypatch.setattr(kernel_margin.Spread, "worst", lambda self, n: moved.append(worst(self, n)) or moved[-1])
+    spread = kernel_margin.fit_kernel_margin(frame(spark, x), 0.1, tolerance=1e-8, rounds=8)
+    assert spread.gap <= 1e-8 * 0.1 * 2000 and spread.rho == pytest.approx(held.rho, abs=1e-5)
+    assert spread.support.agg(F.sum("w")).first()[0] == pytest.approx(200) and sum(len(m[0]) for m in moved) < 600
+
+
 def test_the_nu_that_accepts_most(spark):
     best = kernel_margin.best_kernel_margin(Rows(X[:120]))
     assert best.nu == 0.01 and best.gap <= 1e-9 * 0.01 * 120
