@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from typica.operators import blocks, cells, density, kernel_margin, neighbours, screen, topology
+from typica.operators import blocks, cells, density, kernel_margin, neighbours, passes, screen, topology
 from typica.operators.passes import Rows
 
 RNG = np.random.default_rng(12)
@@ -181,3 +181,59 @@ def test_the_screen_loses_no_neighbour(metric):
     assert state["d"] == pytest.approx(want, abs=2e-5 if metric == "euclidean" else 1e-8)
     at, near = np.indices(state["ids"].shape)[0].ravel(), state["ids"].ravel()
     assert screen.measured(q, x, at, near, metric) == pytest.approx(state["d"].ravel(), abs=1e-12)
+
+
+def peak(work) -> tuple[object, float]:
+    """What work gives, and the most MB that it had beside what was there."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "dot", "manhattan", "counts"])
+def test_a_block_of_queries_takes_little_beside_itself(name):
+    """A worker holds a large block of queries; a step may not copy it whole for each batch of the bank."""
+    rng = np.random.default_rng(3)
+    few = 4 if name == "manhattan" else 64
+    v, bank = rng.standard_normal((40_000 if name != "manhattan" else 9_000, few)), rng.standard_normal((9_000, few))
+    q, b = [np.arange(len(v)), v, np.full(len(v), 8.0)], [np.arange(len(bank)), bank, np.full(len(bank), 8.5)]
+    fold = topology._counts() if name == "counts" else neighbours.nearest(4, name, False)
+    found, mb = peak(lambda: blocks.stepped(fold, fold.start(len(v)), q, b))
+    some = rng.choice(len(v), 50, replace=False)
+    d = blocks.distances(v[some], bank, "euclidean" if name == "counts" else name)
+    if name == "counts":
+        assert found["in_query"][some].tolist() == (d < 8.0).sum(1).tolist()
+        assert found["in_ref"][some].tolist() == (d < 8.5).sum(1).tolist()
+    else:
+        np.testing.assert_allclose(found["d"][some], np.sort(d, 1)[:, :4], atol=1e-9)
+    assert mb < 20  # all queries at once took 25 (dot) to 53
+
+
+def test_steps_write_all_rows_and_an_empty_bank_changes_nothing():
+    fold, v = neighbours.nearest(3, "euclidean", True), np.arange(20_000.0)[:, None]
+    state = fold.start(len(v))
+    assert blocks.stepped(fold, state, [np.arange(len(v)), v], [np.arange(0), np.empty((0, 1))]) is state
+    found = blocks.stepped(fold, state, [np.arange(len(v)), v], [np.arange(len(v)) + 7, v])
+    assert (found["d"][1:-1] == [0, 1, 1]).all()
+    assert (found["ids"][1:-1] == np.arange(1, len(v) - 1)[:, None] + 7 + np.array([0, -1, 1])).all()
+
+
+def test_kernels_are_summed_a_few_megabytes_at_a_time(spark, monkeypatch):
+    folds, rng = [], np.random.default_rng(5)
+    monkeypatch.setattr(density, "fold_pairs", lambda q, b, fold, **o: folds.append(fold) or q.withColumn("total", q["id"]))
+    v, own, w = rng.standard_normal((3_000, 4)), rng.standard_normal((2_000, 4)), rng.random(2_000)
+    density.gaussian_sums(spark.createDataFrame([(1, [0.0] * 4)], "id long, v array<double>"), (own, w), 0.3, 1e-17)
+    found, mb = peak(lambda: folds[0].step(folds[0].start(len(v)), [np.arange(len(v)), v], [np.arange(len(own)), own, w]))
+    d2 = ((v[:, None] - own[None]) ** 2).sum(-1)
+    np.testing.assert_allclose(found["total"], np.exp(0.3 - 0.5 * d2) @ w, rtol=1e-9)
+    assert mb < 16  # three whole matrices of 32 MB before
+
+
+def test_passes_take_few_rows_at_once(spark):
+    rows = passes.Rows(spark.range(20_000).selectExpr("id", "array(cast(id as double)) v").coalesce(1), most=10)
+    most = passes.PASS_ROWS
+    n, total, larger = rows.sums(lambda x: np.array([len(x), x.sum(), float(len(x) > most)]))
+    rows.done()
+    assert (n, total, larger) == (20_000, 20_000 * 19_999 / 2, 0)

@@ -22,6 +22,8 @@ BANK_ROWS = 50_000
 DEAR_ROWS = 2_000
 #: Queries times bank rows of a distance matrix in a worker: 32 MB.
 CELLS = 4_000_000
+#: Rows of either side that a fold takes at once, so that what it works out about them stays small beside a block.
+STEP_ROWS = 8_192
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -70,6 +72,20 @@ class Fold:
     merge: Callable[[], dict]
 
 
+def stepped(fold: Fold, state: dict, q: list, b: list) -> dict:
+    """The state of all queries after these bank rows, a few of both at a time; it is written in place where its shape stays."""
+    for at in range(0, len(b[0]), STEP_ROWS):
+        bank, out = [c[at : at + STEP_ROWS] for c in b], {}
+        for lo in range(0, len(q[0]), STEP_ROWS):
+            rows = slice(lo, lo + STEP_ROWS)
+            for n, x in fold.step({n: x[rows] for n, x in state.items()}, [c[rows] for c in q], bank).items():
+                if n not in out:
+                    out[n] = state[n] if state[n].shape[1:] == x.shape[1:] else np.empty((len(q[0]), *x.shape[1:]), x.dtype)
+                out[n][rows] = x
+        state = out or state
+    return state
+
+
 def small(rows: DataFrame, most: int) -> pa.Table | None:
     """rows, if they are at most so many."""
     held = rows.limit(most + 1).toArrow()
@@ -105,9 +121,7 @@ def fold_pairs(queries: DataFrame, bank: DataFrame, fold: Fold, sizes: tuple[int
             for b in batches:
                 if b.num_rows:
                     state = fold.start(b.num_rows)
-                    if len(sent.value[0]):
-                        state = fold.step(state, columns_of(b), sent.value)
-                    done = fold.finish(state)
+                    done = fold.finish(stepped(fold, state, columns_of(b), sent.value))
                     yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(done[n], type=KINDS[t]) for n, t in fold.out)], [*names, *(n for n, _ in fold.out)])
 
         return (spread(queries) if held.num_rows > DEAR_ROWS else queries).mapInArrow(one, schema)
@@ -132,13 +146,19 @@ def folded(mine: DataFrame, other: DataFrame, fold: Fold, tasks: int, once: bool
     both = both.unionByName(other.select("task", F.lit(1).alias("side"), F.lit(None).cast("long").alias("row"), F.lit(None).cast(mine.schema["q"].dataType).alias("q"), "b"))
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, asked, cols, state = None, [], None, None
+        own, asked, ready, cols, state = None, [], None, None, None
+
+        def gathered() -> tuple[pa.RecordBatch, list, dict]:
+            """The queries, held once: numpy reads them where they are."""
+            whole = pa.Table.from_batches(asked).combine_chunks().to_batches()[0]
+            asked.clear()
+            return whole, columns_of(pa.RecordBatch.from_arrays(whole.columns[1:], names)), fold.start(whole.num_rows)
 
         def done() -> Iterator[pa.RecordBatch]:
-            if asked:
-                ready = pa.Table.from_batches(asked)
-                out = fold.finish(state if cols is not None else fold.start(ready.num_rows))
-                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in ready.columns), *(pa.array(out[n], type=KINDS[t]) for n, t in fold.out)], ["row", *names, *(n for n, _ in fold.out)])
+            held, _, found = gathered() if asked else (ready, cols, state)
+            if held is not None:
+                out = fold.finish(found)
+                yield pa.RecordBatch.from_arrays([*held.columns, *(pa.array(out[n], type=KINDS[t]) for n, t in fold.out)], ["row", *names, *(n for n, _ in fold.out)])
 
         for whole in batches:
             key = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in range(2)], 1)
@@ -149,14 +169,14 @@ def folded(mine: DataFrame, other: DataFrame, fold: Fold, tasks: int, once: bool
                 b = whole.slice(lo, hi - lo)
                 if key[lo, 0] != own:
                     yield from done()
-                    own, asked, cols, state = key[lo, 0], [], None, None
+                    own, ready, cols, state = key[lo, 0], None, None, None
                 if key[lo, 1] == 0:
                     asked.append(pa.RecordBatch.from_arrays([b.column(2), *b.column(3).flatten()], ["row", *names]))
-                elif asked:
-                    if cols is None:
-                        cols = columns_of(pa.Table.from_batches(asked).select(names))
-                        state = fold.start(len(cols[0]))
-                    state = fold.step(state, cols, columns_of(pa.RecordBatch.from_arrays(b.column(4).flatten(), theirs)))
+                    continue
+                if asked:
+                    ready, cols, state = gathered()
+                if ready is not None:
+                    state = stepped(fold, state, cols, columns_of(pa.RecordBatch.from_arrays(b.column(4).flatten(), theirs)))
         yield from done()
 
     parts = both.repartitionByRange(tasks, "task").sortWithinPartitions("task", "side").mapInArrow(many, f"row bigint, {schema}")

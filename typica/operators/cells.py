@@ -27,6 +27,8 @@ from typica.storage import discard, numbered, write_out
 PIVOTS, FIT_ROWS, SHARE_ROWS = 1024, 16_384, 2_000_000
 #: Cells of the nearest pivots that bound how far a neighbour can be; sums of distances that a worker holds for this: 8 MB.
 NEAR_CELLS, REACH_CELLS = 32, 1_000_000
+#: Rows whose distances from all pivots a worker holds: 4 MB.
+SLICE_ROWS = 512
 #: Distances are floats: what is skipped must be this far beyond its limit, in proportion.
 SLACK = 1e-6
 
@@ -103,8 +105,8 @@ def placed(rows: DataFrame, pivots: np.ndarray, space: Space, bank: bool, near:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, theirs = sent.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(lo, SLICE_ROWS)
                 r = space.apart(space.of(matrix(b.column(1)), bank), at)
                 cell = r.argmin(1)
                 more = [] if theirs is None else [pa.array(reaches(r, theirs, k))]
@@ -205,8 +207,8 @@ def _sent(bank: DataFrame, names: list[str], pivots: np.ndarray, space: Space, a
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, radius, most, starts, wanted, place, first, cut, parts = sent.value
         for whole in batches if len(starts) else ():
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(lo, SLICE_ROWS)
                 cell, lim, row = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 r = space.apart(space.of(matrix(b.column(3).field(1)), True), own)
                 near = r - radius[None, :] - SLACK * (1 + r) <= np.maximum(most[None, :], lim[:, None])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typica.operators import blocks
-from typica.operators.blocks import CELLS, Fold, fold_pairs, scan, small
+from typica.operators.blocks import Fold, fold_pairs, scan, small
 from typica.operators.cells import fold_near
 from typica.operators.passes import Rows, as_rows
 from typica.storage import write_out
@@ -172,6 +172,10 @@ def fit_kernel(x: np.ndarray | DataFrame) -> Kernel:
         return Kernel(different(rows), rows.n, np.linalg.inv(root), float(-0.5 * d * np.log(2 * np.pi) - np.log(np.diag(root)).sum()))
 
 
+#: Pairs whose kernels a worker holds: 4 MB.
+SUMMED = 500_000
+
+
 def gaussian_sums(rows: DataFrame, points: tuple[np.ndarray, np.ndarray] | DataFrame, log_top: float, ignored: float) -> DataFrame:
     """(id, total): sums of w * exp(log_top - d^2 / 2) over all points, d the euclidean distance.
 
@@ -180,11 +184,16 @@ def gaussian_sums(rows: DataFrame, points: tuple[np.ndarray, np.ndarray] | DataF
     """
 
     def step(state: dict, q: list, b: list) -> dict:
-        v, own, w, size = q[1], b[1], b[2], max(1, CELLS // max(1, len(b[1])))
+        v, own, w, size = q[1], b[1], b[2], max(1, SUMMED // max(1, len(b[1])))
+        squares = (own * own).sum(1)
         for lo in range(0, len(v), size):
             part = v[lo : lo + size]
-            d2 = np.maximum(0, (part * part).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * part @ own.T)
-            state["total"][lo : lo + size] += np.exp(log_top - 0.5 * d2) @ w
+            d2 = (part * part).sum(1)[:, None] + squares[None]
+            d2 -= 2 * part @ own.T
+            np.maximum(0, d2, out=d2)
+            d2 *= -0.5
+            d2 += log_top
+            state["total"][lo : lo + size] += np.exp(d2, out=d2) @ w
         return state
 
     fold = Fold(lambda k: {"total": np.zeros(k)}, step, lambda s: s, [("total", "double")], lambda: {"total": F.sum("total")})

@@ -19,6 +19,8 @@ from typica.operators.blocks import columns_of, matrix
 
 #: Rows up to which the driver holds them, and from which mixtures take their starting points.
 HELD_ROWS, SEED_ROWS = 50_000, 50_000
+#: Rows that a pass takes at once on the executors.
+PASS_ROWS = 4_096
 #: Places at which the partial sums of a pass meet before the driver adds them up.
 MEETING = 32
 
@@ -61,8 +63,9 @@ class Rows:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                if b.num_rows:
-                    now = work(matrix(b.column(0)))
+                x = matrix(b.column(0))
+                for lo in range(0, len(x), PASS_ROWS):
+                    now = work(x[lo : lo + PASS_ROWS])
                     total = now if total is None else total + now
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
