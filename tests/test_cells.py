@@ -237,3 +237,9 @@ def test_passes_take_few_rows_at_once(spark):
     n, total, larger = rows.sums(lambda x: np.array([len(x), x.sum(), float(len(x) > most)]))
     rows.done()
     assert (n, total, larger) == (20_000, 20_000 * 19_999 / 2, 0)
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(spark):
+    rows = frame(spark, X, parts=1)
+    one, two = (density.fit_mixture(rows.orderBy(F.xxhash64("id", F.lit(k))), 4) for k in range(2))
+    assert one.means.tolist() == two.means.tolist() and one.covariances.tolist() == two.covariances.tolist()

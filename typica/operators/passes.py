@@ -44,7 +44,7 @@ class Rows:
             held = rows.select("id", "v").limit(most + 1).toArrow()
             self.n = held.num_rows if held.num_rows <= most else rows.count()
             if held.num_rows <= most:
-                self.x = columns_of(held)[1]
+                self.x = columns_of(held.sort_by("id"))[1]  # tasks end in any order, but starts are drawn by place
             else:
                 self.frame = rows.select("id", "v").persist(StorageLevel.MEMORY_AND_DISK)
                 self.x = np.array([self.frame.first()["v"]], np.float64)
