@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from typica.functions import vectors as V
 from typica.operators import blocks, density, linear, neighbours
 from typica.operators.topology import model_features, topology
-from typica.plans.detector import DETECTORS, Detector, TypicalityDetector, chosen
+from typica.plans.detector import DETECTORS, METHODS, Detector, TypicalityDetector, chosen
 
 RNG = np.random.default_rng(0)
 X = RNG.normal(size=(60, 6))
@@ -185,6 +185,24 @@ def test_core_detector(spark, method):
     assert {x.pred for x in d.predict({"m": frame(spark, good[120:], 5000)}).collect()} <= {1, -1}
 
 
+def test_equal_features_are_scored_once_and_from_a_table(spark, monkeypatch):
+    """Scores of equal features differed in their last digits by where a row stood; workers of both steps stood side by side."""
+    seen = []
+
+    def score(rows, _):
+        seen.append((rows.count(), rows.select("v").distinct().count(), "MapInArrow" in rows._jdf.queryExecution().toString()))
+        return rows.select("id", F.rand().alias("score"))
+
+    monkeypatch.setitem(METHODS, "drawn", (lambda features: None, score))
+    d = TypicalityDetector("drawn", half="id % 2 = 0").fit({"m": frame(spark, X.repeat(2, axis=0)), "n": frame(spark, X[:, :2].repeat(2, axis=0))})
+    batch = {"m": frame(spark, Y, 1000), "n": frame(spark, Y[:, :2], 1000)}
+    v = {r.id: tuple(r.f) for r in model_features(batch, d.reference, 5).collect()}
+    scores = d.scores(batch).collect()
+    of = {v[r.id]: r.score for r in scores}
+    assert sorted(r.id for r in scores) == sorted(v) and len(of) < len(v) and all(of[v[r.id]] == r.score for r in scores)
+    assert len(seen) == 2 and all(n == different and not pairs for n, different, pairs in seen)
+
+
 def test_method_lists():
     assert chosen(" KNN, vim,core_gmm ") == ["knn", "vim", "core_gmm"]
     with pytest.raises(ValueError):

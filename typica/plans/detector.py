@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from typica.operators import density, kernel_margin, linear, neighbours
 from typica.operators.topology import model_features
 from typica.plans import metrics
-from typica.storage import write_out
+from typica.storage import numbered, write_out
 
 
 #: Of each method how it fits features and how it scores them.
@@ -46,22 +46,26 @@ class TypicalityDetector:
     def fit(self, train: dict[str, DataFrame]) -> TypicalityDetector:
         """The reference half is the bank; the other half's features train the density and set the threshold."""
         self.reference = self._half(train, 0)
-        features = model_features(self._half(train, 1), self.reference, self.k).select("id", F.col("f").alias("v")).persist()
-        try:  # the features of all pairs are worked out once
-            self.model = METHODS[self.method][0](features)
-            self.threshold = 0.0 if self.method.startswith("ocsvm") else metrics.percentile(write_out(self._score(features), "scores"), self.percent / 100)
-        finally:
-            features.unpersist()
+        features = self._features(self._half(train, 1))
+        self.model = METHODS[self.method][0](features)
+        self.threshold = 0.0 if self.method.startswith("ocsvm") else metrics.percentile(write_out(self._score(features), "scores"), self.percent / 100)
         return self
 
+    def _features(self, rows: dict[str, DataFrame]) -> DataFrame:
+        """(id, v), written: all pairs are worked out once, and no task runs the workers of features and of scores at once."""
+        return write_out(model_features(rows, self.reference, self.k).select("id", F.col("f").alias("v")), "features")
+
     def _score(self, features: DataFrame) -> DataFrame:
-        return METHODS[self.method][1](features, self.model)
+        """(id, score) of written features. Different ones are scored once each, so equal ones tie to the last digit."""
+        each = numbered(features.select("v").distinct(), "key")
+        found = METHODS[self.method][1](each.select(F.col("key").alias("id"), "v"), self.model)
+        return features.join(each, "v").join(found.withColumnRenamed("id", "key"), "key").select("id", "score")
 
     def scores(self, rows: dict[str, DataFrame]) -> DataFrame:
         if self.threshold is None:
             raise RuntimeError("fit first")
         """Written, because thresholds, ranges and metrics read them again."""
-        return write_out(self._score(model_features(rows, self.reference, self.k).select("id", F.col("f").alias("v"))), "scores")
+        return write_out(self._score(self._features(rows)), "scores")
 
     def predict(self, rows: dict[str, DataFrame]) -> DataFrame:
         return metrics.decide(self.scores(rows), self.threshold)
