@@ -148,6 +148,33 @@ def test_few_rounds_and_few_rows_on_the_driver_are_enough(spark, monkeypatch):
     assert spread.support.agg(F.sum("w")).first()[0] == pytest.approx(200) and sum(len(m[0]) for m in moved) < 600
 
 
+def test_margins_of_rows_without_structure_need_few_rounds(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(1500, 24))  # most weights end between their bounds
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1400:] = x[:100] + 1e-3 * x[100:200]  # near copies
+    x[1300:1310] = x[:10]
+    monkeypatch.setattr(kernel_margin, "WORKING", 48)
+    held = kernel_margin.fit_kernel_margin(x, 0.1, rounds=90)
+    v, w = held.support
+    assert held.gap <= 1e-9 * 0.1 * 1500 and w.sum() == pytest.approx(150, abs=1e-8) and w.min() > 0
+    times = {tuple(r): n for r, n in zip(*np.unique(x, axis=0, return_counts=True), strict=True)}
+    share = {tuple(r): s / times[tuple(r)] for r, s in zip(v, w, strict=True)}
+    assert max(share.values()) <= 1 and conditions(x, np.array([share.get(tuple(r), 0.0) for r in x]), held) < 3e-7
+    monkeypatch.setattr(kernel_margin, "DEALT", 100)
+    monkeypatch.setattr(kernel_margin, "TILE", 128)
+    dealt = kernel_margin.fit_kernel_margin(frame(spark, x), 0.1, rounds=90)
+    assert dealt.gap <= 1e-9 * 0.1 * 1500 and dealt.rho == pytest.approx(held.rho, abs=1e-6)
+    one, other = ({r.id: r.score for r in kernel_margin.kernel_margin_score(frame(spark, x[:40] + 0.1), m).collect()} for m in (held, dealt))
+    assert one == pytest.approx(other, abs=1e-6)
+
+
+def test_products_by_tiles_are_those_of_the_whole_kernel(monkeypatch):
+    monkeypatch.setattr(kernel_margin, "TILE", 37)
+    x, p = X[:150, :5], Y[:150, 0]
+    parts = [kernel_margin.product(x, p, 0.7, kernel_margin.tiles(150)[k::3]) for k in range(3)]
+    assert sum(parts) == pytest.approx(kernel_margin.kernel(x, x, 0.7) @ p, abs=1e-10)
+
+
 def test_the_nu_that_accepts_most(spark):
     best = kernel_margin.best_kernel_margin(Rows(X[:120]))
     assert best.nu == 0.01 and best.gap <= 1e-9 * 0.01 * 120
