@@ -171,7 +171,7 @@ def test_margins_of_rows_without_structure_need_few_rounds(spark, monkeypatch):
 def test_products_by_tiles_are_those_of_the_whole_kernel(monkeypatch):
     monkeypatch.setattr(kernel_margin, "TILE", 37)
     x, p = X[:150, :5], Y[:150, 0]
-    parts = [kernel_margin.product(x, p, 0.7, kernel_margin.tiles(150)[k::3]) for k in range(3)]
+    parts = [kernel_margin.product(kernel_margin.bent(x, 0.7), p, kernel_margin.tiles(150)[k::3]) for k in range(3)]
     assert sum(parts) == pytest.approx(kernel_margin.kernel(x, x, 0.7) @ p, abs=1e-10)
 
 
